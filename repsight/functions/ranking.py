@@ -123,6 +123,16 @@ def running_sum(df: DataFrame, group: Sequence[str], key: str, value: str, out:
 
 # ------------------------------------------------------------ scalars
 
+def over_all(agg: Column) -> Column:
+    """An aggregate over the whole frame, on every row (``agg OVER ()``).
+
+    One task sees every row, so use it only on frames bounded by a dimension
+    (territories, products, channels), never on facts or on entities that
+    grow with the data. Several such columns share one exchange.
+    """
+    return agg.over(Window.partitionBy())
+
+
 def scalar(one_row: DataFrame, column: str) -> Column:
     """A column of a one-row aggregate as a scalar subquery (no join, no window).
 

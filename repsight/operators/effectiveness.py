@@ -3,9 +3,9 @@
 Distinct counts are taken over facts first reduced to the finest key they
 need (rep × product × month for sales, rep × HCP × month for calls), so the
 Expand step behind several ``count(distinct)`` only copies the reduced rows.
-The best rep's revenue per call is a one-row scalar, not an ``OVER ()``
-window; the quartile uses the distributed NTILE once the rep frame outgrows
-one task.
+The best rep's revenue per call and the quartile are global; they use a
+window over the rep frame while it fits one task and a checkpoint plus the
+distributed NTILE beyond (see ``sfe_metrics``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repsight.functions.exprs import as_int, exact_mean, money_sum, round_half_away, safe_div, to_money
-from repsight.functions.ranking import fits_one_task, ntile, scalar
+from repsight.functions.ranking import fits_one_task, ntile, over_all, scalar
 from repsight.params import Params
 
 
@@ -33,11 +33,14 @@ def rep_sales_totals(sales: DataFrame) -> DataFrame:
     return _rep_sales_dec(sales).withColumn("total_revenue", to_money("total_revenue"))
 
 
-def rep_call_stats(call_logs: DataFrame) -> DataFrame:
-    """#12 calls, conversions, rate, distinct HCPs and months, mean duration per rep."""
-    fine = (call_logs.groupBy("rep_id", "hcp_id", "month")
+def _rep_call_fine(call_logs: DataFrame) -> DataFrame:
+    """Calls reduced to rep × HCP × month; shared by #12 and #13 so one plan reuses its exchange."""
+    return (call_logs.groupBy("rep_id", "hcp_id", "month")
             .agg(F.count(F.lit(1)).alias("_n"), F.sum(as_int("converted")).alias("_conv"),
                  F.sum("call_duration_min").alias("_dur")))
+
+
+def _rep_call_stats(fine: DataFrame) -> DataFrame:
     return (fine.groupBy("rep_id")
             .agg(F.sum("_n").cast("bigint").alias("total_calls"),
                  F.sum("_conv").cast("bigint").alias("total_conversions"),
@@ -50,27 +53,47 @@ def rep_call_stats(call_logs: DataFrame) -> DataFrame:
                     safe_div("_dur", "total_calls").alias("avg_call_duration_min")))
 
 
-def rep_tier_mix(call_logs: DataFrame, physicians: DataFrame) -> DataFrame:
-    """#13 calls to tier A / B / C HCPs per rep (0 when none)."""
-    per_hcp = call_logs.groupBy("rep_id", "hcp_id").agg(F.count(F.lit(1)).alias("_n"))
+def _rep_tier_mix(fine: DataFrame, physicians: DataFrame) -> DataFrame:
     tier = F.col("prescriber_tier")
-    return (per_hcp.join(physicians.select("hcp_id", "prescriber_tier"), "hcp_id")
+    return (fine.join(physicians.select("hcp_id", "prescriber_tier"), "hcp_id")
             .groupBy("rep_id")
             .agg(F.sum(F.when(tier == "A", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_a_calls"),
                  F.sum(F.when(tier == "B", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_b_calls"),
                  F.sum(F.when(tier == "C", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_c_calls")))
 
 
+def rep_call_stats(call_logs: DataFrame) -> DataFrame:
+    """#12 calls, conversions, rate, distinct HCPs and months, mean duration per rep."""
+    return _rep_call_stats(_rep_call_fine(call_logs))
+
+
+def rep_tier_mix(call_logs: DataFrame, physicians: DataFrame) -> DataFrame:
+    """#13 calls to tier A / B / C HCPs per rep (0 when none)."""
+    return _rep_tier_mix(_rep_call_fine(call_logs), physicians)
+
+
 def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame,
                 p: Params) -> DataFrame:
     """#14 one row per rep with both sales and calls: rates, per-call and per-HCP revenue,
-    productivity index against the best rep, revenue quartile."""
-    rs, rc, rh = _rep_sales_dec(sales), rep_call_stats(call_logs), rep_tier_mix(call_logs, physicians)
+    productivity index against the best rep, revenue quartile.
+
+    Up to ``p.single_task_window_rows`` reps, the best rep and the quartile are
+    windows over the whole rep frame (one small exchange). Beyond that, the
+    rep frame is checkpointed once, the best rep is a scalar over it and the
+    quartile is numbered in parallel (``ranking.ntile_distributed``).
+    """
+    fine = _rep_call_fine(call_logs)
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
-            .join(rs, "rep_id").join(rc, "rep_id").join(rh, "rep_id")
+            .join(_rep_sales_dec(sales), "rep_id").join(_rep_call_stats(fine), "rep_id")
+            .join(_rep_tier_mix(fine, physicians), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))
-    best = base.agg(F.max("_rpc").alias("best"))
+    one_task = fits_one_task(reps, p.single_task_window_rows)
+    if one_task:
+        best = over_all(F.max("_rpc"))
+    else:
+        base = base.checkpoint(eager=True)
+        best = scalar(base.agg(F.max("_rpc").alias("best")), "best")
     out = base.select(
         "rep_id", "rep_name", "territory_id", "region", "experience_years", "education",
         "total_revenue", "total_units", "products_sold", "total_calls", "total_conversions",
@@ -81,8 +104,7 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         round_half_away(safe_div("total_calls", "months_active"), 1).alias("avg_monthly_calls"),
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),
         round_half_away(safe_div("total_revenue", "unique_hcps_visited"), 2).alias("revenue_per_hcp"),
-        round_half_away(F.col("_rpc") / scalar(best, "best") * F.lit(100.0), 1).alias("productivity_index"))
-    one_task = fits_one_task(reps, p.single_task_window_rows)
+        round_half_away(F.col("_rpc") / best * F.lit(100.0), 1).alias("productivity_index"))
     return ntile(out, p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile", single_task=one_task)
 
 

@@ -2,7 +2,7 @@
 
 Sales are reduced to one row per territory and year before the territory
 dimension (bounded by geography; 25 nations on the fixtures) is broadcast
-onto them. Money stays decimal until the public output.
+onto them. Money stays an exact count of cents until the public output.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def territory_year_rollup(sales: DataFrame, territories: DataFrame) -> DataFrame
 
 
 def _pivot(sales: DataFrame, p: Params) -> DataFrame:
-    """Years to columns, money still decimal; ``active_reps`` is the max over the years."""
+    """Years to columns, money still in cents; ``active_reps`` is the max over the years."""
     y0, y1 = p.prior_year, p.current_year
     yr = F.col("year")
     return (_yearly(sales).groupBy("territory_id")
@@ -53,7 +53,7 @@ def territory_year_pivot(sales: DataFrame, territories: DataFrame, p: Params) ->
 
 
 def _performance_base(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
-    """Pivot joined to the territory attributes, money decimal (territories with sales only)."""
+    """Pivot joined to the territory attributes, money in cents (territories with sales only)."""
     dims = territories.select("territory_id", "region", "state", *TERRITORY_ATTRS)
     return _pivot(sales, p).join(F.broadcast(dims), "territory_id")
 
@@ -61,7 +61,7 @@ def _performance_base(sales: DataFrame, territories: DataFrame, p: Params) -> Da
 def sales_performance(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
     """#3 pivot + territory attributes, YoY %, revenue per MPI point and revenue quintile."""
     y0, y1 = p.prior_year, p.current_year
-    prev, cur = F.col(f"rev_{y0}").cast("double"), F.col(f"rev_{y1}").cast("double")
+    prev, cur = to_money(f"rev_{y0}"), to_money(f"rev_{y1}")
     out = _performance_base(sales, territories, p).select(
         "territory_id", "region", prev.alias(f"rev_{y0}"), cur.alias(f"rev_{y1}"),
         f"units_{y0}", f"units_{y1}", "active_reps", *TERRITORY_ATTRS,

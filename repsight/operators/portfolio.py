@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money
-from repsight.functions.ranking import scalar
+from repsight.functions.ranking import over_all
 from repsight.params import Params
 
 PRODUCT_ATTRS = ("product_id", "product_name", "therapeutic_area", "bcg_quadrant", "market_share_pct",
@@ -64,14 +64,14 @@ def product_totals(sales: DataFrame, products: DataFrame, p: Params) -> DataFram
 
 def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
     """#22 product totals + YoY growth % and share of all revenue %."""
-    totals = product_totals(sales, products, p)
-    grand = _product_totals_dec(sales, products, p).agg(to_money(F.sum("total_revenue")).alias("g"))
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
-    return totals.select(
-        "*",
+    # one row per product (a bounded catalog): the grand total is a window over the whole frame
+    grand = to_money(over_all(F.sum("total_revenue")))
+    return _product_totals_dec(sales, products, p).select(
+        *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
+        to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",
         round_half_away(pct_change(y1, y0), 1).alias("revenue_growth_pct"),
-        round_half_away(safe_div("total_revenue", scalar(grand, "g")) * F.lit(100.0), 1)
-        .alias("portfolio_share_pct"))
+        round_half_away(safe_div(to_money("total_revenue"), grand) * F.lit(100.0), 1).alias("portfolio_share_pct"))
 
 
 def product_monthly_trend(sales: DataFrame, products: DataFrame) -> DataFrame:

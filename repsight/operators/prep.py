@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repsight.functions.exprs import bcg_label, deployment_label, lookup, money_sum, round_half_away
-from repsight.functions.ranking import running_sum, scalar
+from repsight.functions.exprs import (bcg_label, deployment_label, lookup, money_sum, round_half_away, safe_div,
+                                      to_money)
+from repsight.functions.ranking import over_all, running_sum, scalar
 from repsight.params import Params
 from repsight.sources.schema import Star
 
@@ -44,10 +45,9 @@ def rep_region_enrichment(reps: DataFrame, territories: DataFrame) -> DataFrame:
 
 def territory_hcp_share(territories: DataFrame) -> DataFrame:
     """#43 each territory's share of all target HCPs."""
-    total = territories.agg(F.sum("num_target_hcps").alias("t"))
+    total = over_all(F.sum("num_target_hcps"))   # territories: a bounded dimension
     return territories.select("territory_id", "num_target_hcps",
-                              (F.col("num_target_hcps").cast("double")
-                               / F.nullif(scalar(total, "t"), F.lit(0)).cast("double")).alias("hcp_share"))
+                              safe_div("num_target_hcps", total).alias("hcp_share"))
 
 
 def _tier_weight(p: Params) -> F.Column:
@@ -64,8 +64,7 @@ def call_plan_weights(physicians: DataFrame, p: Params) -> DataFrame:
     w = physicians.select("territory_id", "hcp_id", _tier_weight(p).alias("_w"))
     totals = w.groupBy("territory_id").agg(F.sum("_w").alias("_tot"))
     return (w.join(F.broadcast(totals), "territory_id")
-            .select("territory_id", "hcp_id", (F.col("_w").cast("double") / F.col("_tot").cast("double"))
-                    .alias("weight")))
+            .select("territory_id", "hcp_id", safe_div("_w", "_tot").alias("weight")))
 
 
 def _key_int(df: DataFrame, col: str) -> F.Column:
@@ -120,7 +119,7 @@ def rep_month_spine(reps: DataFrame, sales: DataFrame, p: Params) -> DataFrame:
     spine = reps.select("rep_id", F.explode(months).alias("month"))
     monthly = sales.groupBy("rep_id", "month").agg(money_sum("revenue_usd").alias("_rev"))
     return (spine.join(monthly, ["rep_id", "month"], "left")
-            .select("rep_id", "month", F.coalesce(F.col("_rev").cast("double"), F.lit(0.0)).alias("revenue"),
+            .select("rep_id", "month", F.coalesce(to_money("_rev"), F.lit(0.0)).alias("revenue"),
                     F.col("_rev").isNull().alias("is_silent")))
 
 
@@ -135,7 +134,7 @@ def deployment_segment(reps: DataFrame, territories: DataFrame, p: Params) -> Da
 def dataset_summary(star: Star) -> DataFrame:
     """#48 row count per table, total revenue, first and last month (one row)."""
     s = star.sales.agg(F.count(F.lit(1)).alias("sales"),
-                       round_half_away(money_sum("revenue_usd").cast("double"), 2).alias("total_revenue_usd"),
+                       round_half_away(to_money(money_sum("revenue_usd")), 2).alias("total_revenue_usd"),
                        F.min("month").alias("first_month"), F.max("month").alias("last_month"))
     n = lambda df: scalar(df.agg(F.count(F.lit(1)).alias("n")), "n")
     return s.select(n(star.territories).alias("territories"), n(star.products).alias("products"),

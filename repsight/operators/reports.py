@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import exact_mean, pct_change, round_half_away, safe_div, to_money
+from repsight.functions.exprs import cents, exact_mean, money_sum, pct_change, round_half_away, safe_div, to_money
 from repsight.operators.performance import _performance_base
 from repsight.params import Params
 
@@ -21,12 +21,12 @@ def state_map(sales: DataFrame, territories: DataFrame, ws: DataFrame, p: Params
     whitespace count from all territories of the state; states without sales drop out."""
     y0, y1 = p.prior_year, p.current_year
     perf = (_performance_base(sales, territories, p).groupBy("state")
-            .agg(F.sum(f"rev_{y1}").cast("double").alias("_cur"),
-                 F.sum(f"rev_{y0}").cast("double").alias("_prior"),
+            .agg(to_money(F.sum(f"rev_{y1}")).alias("_cur"),
+                 to_money(F.sum(f"rev_{y0}")).alias("_prior"),
                  F.count(F.lit(1)).alias("territory_count")))
     gaps = (ws.join(F.broadcast(territories.select("territory_id", "state")), "territory_id")
             .groupBy("state")
-            .agg(F.sum(F.col("opportunity_gap_usd").cast("decimal(38,2)")).cast("double").alias("_gap"),
+            .agg(to_money(money_sum("opportunity_gap_usd")).alias("_gap"),
                  F.count(F.when(F.col("whitespace_quadrant") == "Whitespace", F.lit(1))).alias("whitespace_count")))
     return (perf.join(gaps, "state", "left")
             .select("state", round_half_away("_cur", 0).alias(f"rev_{y1}"), F.col("_prior").alias(f"rev_{y0}"),
@@ -53,8 +53,8 @@ def whitespace_kpis(ws: DataFrame) -> DataFrame:
     q = F.col("whitespace_quadrant")
     return ws.agg(
         F.count(F.when(q == "Whitespace", F.lit(1))).alias("whitespace_territories"),
-        F.coalesce(F.sum(F.when(q == "Whitespace", F.col("opportunity_gap_usd").cast("decimal(38,2)")))
-                   .cast("double"), F.lit(0.0)).alias("total_gap"),
+        F.coalesce(to_money(F.sum(F.when(q == "Whitespace", cents("opportunity_gap_usd")))), F.lit(0.0))
+        .alias("total_gap"),
         F.count(F.when(q == "Star", F.lit(1))).alias("star_territories"),
         round_half_away(exact_mean("realization_pct", 1), 1).alias("avg_realization_pct"))
 

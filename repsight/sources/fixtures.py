@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repsight.functions.exprs import bcg_label, lookup
 from repsight.params import Params
@@ -20,6 +21,23 @@ from repsight.sources.schema import Star
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+_I, _L, _D, _S, _TS = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+# Declared schemas of the test tables: no footer read for schema inference per query.
+TPCH_SCHEMAS: dict[str, T.StructType] = {
+    name: T.StructType([T.StructField(c, t, True) for c, t in cols]) for name, cols in {
+        "region": [("r_regionkey", _I), ("r_name", _S)],
+        "nation": [("n_nationkey", _I), ("n_name", _S), ("n_regionkey", _I)],
+        "customer": [("c_custkey", _L), ("c_name", _S), ("c_nationkey", _I), ("c_acctbal", _D), ("c_mktsegment", _S)],
+        "supplier": [("s_suppkey", _L), ("s_name", _S), ("s_nationkey", _I), ("s_acctbal", _D)],
+        "part": [("p_partkey", _L), ("p_name", _S), ("p_brand", _S), ("p_type", _S), ("p_size", _I),
+                 ("p_retailprice", _D)],
+        "orders": [("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
+                   ("o_orderdate", _TS), ("o_orderpriority", _S)],
+        "lineitem": [("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I),
+                     ("l_quantity", _D), ("l_extendedprice", _D), ("l_discount", _D), ("l_tax", _D),
+                     ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _TS)],
+    }.items()}
+
 # Fixed values of the fixture mapping (FIXTURES.md §2): product attributes per part type;
 # any other type gets the last value.
 PRODUCT_LIST_PRICE = (("ECONOMY", 420), ("STANDARD", 680), ("MEDIUM", 1250), ("SMALL", 310), ("PROMO", 290))
@@ -34,7 +52,8 @@ ENGAGEMENT = ("High", "Medium", "Low")                                         #
 
 
 def read_tpch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in TPCH_TABLES}
+    return {t: spark.read.schema(TPCH_SCHEMAS[t]).parquet(os.path.join(sf_dir, f"{t}.parquet"))
+            for t in TPCH_TABLES}
 
 
 def _pick(idx, values) -> F.Column:
@@ -138,7 +157,23 @@ def call_logs(t: dict[str, DataFrame], p: Params) -> DataFrame:
         (F.col("l_linestatus") == "F").alias("samples_dropped")))
 
 
-def fixture_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
+def build_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
     t = read_tpch(spark, sf_dir)
     return Star(territories=territories(t), products=products(t, p), reps=reps(t),
                 physicians=physicians(t), sales=sales(t, p), call_logs=call_logs(t, p))
+
+
+_STARS: dict[tuple, Star] = {}
+
+
+def fixture_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
+    """The star views of ``sf_dir``, built once per session, directory and parameters.
+
+    Only the lazy plans are kept (no data): every query still scans and joins
+    the test tables when it runs.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), p)
+    star = _STARS.get(key)
+    if star is None:
+        star = _STARS[key] = build_star(spark, sf_dir, p)
+    return star
