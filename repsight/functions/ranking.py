@@ -140,3 +140,12 @@ def scalar(one_row: DataFrame, column: str) -> Column:
     loudly if the frame ever held more than one row.
     """
     return one_row.select(column).scalar()
+
+
+def scalars(one_row: DataFrame) -> Column:
+    """All columns of a one-row aggregate as one struct-valued scalar subquery.
+
+    Take fields with ``.getField(name)``: the identical subquery is computed
+    once (``spark.sql.execution.reuseSubquery``), however many fields are used.
+    """
+    return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()

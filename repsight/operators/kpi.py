@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money
-from repsight.functions.ranking import scalar
+from repsight.functions.ranking import scalars
 from repsight.params import Params
 
 
@@ -44,10 +44,11 @@ def kpi_summary(sales: DataFrame, ws: DataFrame, coverage: DataFrame, p: Params)
     crit = coverage.where(F.col("coverage_status") == "Critical Gap").agg(
         F.coalesce(F.sum("estimated_monthly_revenue_potential"), F.lit(0.0)).alias("monthly"),
         F.count(F.lit(1)).alias("n"))
+    w, c = scalars(white), scalars(crit)
     return kpi_sales(sales, p).select(
         "*",
-        round_half_away(scalar(white, "gap"), 0).alias("total_whitespace_opportunity"),
-        round_half_away(scalar(crit, "monthly") * F.lit(float(p.months_per_year)), 0)
+        round_half_away(w.getField("gap"), 0).alias("total_whitespace_opportunity"),
+        round_half_away(c.getField("monthly") * F.lit(float(p.months_per_year)), 0)
         .alias("annual_revenue_at_risk_critical_gaps"),
-        scalar(white, "n").alias("whitespace_territories"),
-        scalar(crit, "n").alias("critical_gap_hcps"))
+        w.getField("n").alias("whitespace_territories"),
+        c.getField("n").alias("critical_gap_hcps"))

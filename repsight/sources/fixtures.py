@@ -9,6 +9,7 @@ lazy, so Catalyst prunes columns and pushes the date range into the
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 
 from repsight.functions.exprs import bcg_label, lookup
 from repsight.params import Params
+from repsight.plans.session import ensure_checkpoint_dir
 from repsight.sources.schema import Star
+from repsight.sources.sinks import read_written_star, write_star
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -166,14 +169,30 @@ def build_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
 _STARS: dict[tuple, Star] = {}
 
 
-def fixture_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
-    """The star views of ``sf_dir``, built once per session, directory and parameters.
+def _star_dir(spark: SparkSession, sf_dir: str, p: Params) -> str:
+    """A folder for this session's star tables inside the shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    tag = hashlib.sha1(repr((os.path.abspath(sf_dir), p)).encode()).hexdigest()[:12]
+    return f"{base.rstrip('/')}/star-{spark.sparkContext.applicationId}-{tag}"
 
-    Only the lazy plans are kept (no data): every query still scans and joins
-    the test tables when it runs.
+
+def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool = True) -> Star:
+    """The star tables of ``sf_dir``, derived once per session, directory and parameters.
+
+    With ``materialize`` (the default) Spark derives the six tables from the
+    test tables once and writes them as Parquet into the session's shared
+    checkpoint folder (facts partitioned by year), the way the original loads
+    its tables before running its statements; every query then reads those
+    tables. Without it, the views stay lazy and each query joins the test
+    tables again.
     """
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), p)
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), p, materialize)
     star = _STARS.get(key)
     if star is None:
-        star = _STARS[key] = build_star(spark, sf_dir, p)
+        star = build_star(spark, sf_dir, p)
+        if materialize:
+            path = _star_dir(spark, sf_dir, p)
+            write_star(star, path)
+            star = read_written_star(spark, path, star)
+        _STARS[key] = star
     return star
