@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,7 +193,10 @@ def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool
         star = build_star(spark, sf_dir, p)
         if materialize:
             path = _star_dir(spark, sf_dir, p)
-            write_star(star, path)
-            star = read_written_star(spark, path, star)
+            try:
+                write_star(star, path)
+                star = read_written_star(spark, path, star)
+            except Exception as exc:  # no writable shared folder: keep the lazy views
+                warnings.warn(f"star tables not written ({exc.__class__.__name__}); using lazy views")
         _STARS[key] = star
     return star
