@@ -94,6 +94,8 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
     else:
         base = base.checkpoint(eager=True)
         best = scalar(base.agg(F.max("_rpc").alias("best")), "best")
+    # bind the best value once; the rounding below references its input several times
+    base = base.withColumn("_pi", F.col("_rpc") / best * F.lit(100.0))
     out = base.select(
         "rep_id", "rep_name", "territory_id", "region", "experience_years", "education",
         "total_revenue", "total_units", "products_sold", "total_calls", "total_conversions",
@@ -104,7 +106,7 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         round_half_away(safe_div("total_calls", "months_active"), 1).alias("avg_monthly_calls"),
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),
         round_half_away(safe_div("total_revenue", "unique_hcps_visited"), 2).alias("revenue_per_hcp"),
-        round_half_away(F.col("_rpc") / best * F.lit(100.0), 1).alias("productivity_index"))
+        round_half_away("_pi", 1).alias("productivity_index"))
     return ntile(out, p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile", single_task=one_task)
 
 

@@ -44,11 +44,13 @@ def kpi_summary(sales: DataFrame, ws: DataFrame, coverage: DataFrame, p: Params)
     crit = coverage.where(F.col("coverage_status") == "Critical Gap").agg(
         F.coalesce(F.sum("estimated_monthly_revenue_potential"), F.lit(0.0)).alias("monthly"),
         F.count(F.lit(1)).alias("n"))
-    w, c = scalars(white), scalars(crit)
-    return kpi_sales(sales, p).select(
-        "*",
-        round_half_away(w.getField("gap"), 0).alias("total_whitespace_opportunity"),
-        round_half_away(c.getField("monthly") * F.lit(float(p.months_per_year)), 0)
+    # bind each one-row frame once (a struct-valued scalar subquery), then derive from the
+    # bound columns: a subquery referenced inside rounding would otherwise be copied per use
+    bound = kpi_sales(sales, p).select("*", scalars(white).alias("_w"), scalars(crit).alias("_c"))
+    return bound.select(
+        *[c for c in bound.columns if c not in ("_w", "_c")],
+        round_half_away(F.col("_w.gap"), 0).alias("total_whitespace_opportunity"),
+        round_half_away(F.col("_c.monthly") * F.lit(float(p.months_per_year)), 0)
         .alias("annual_revenue_at_risk_critical_gaps"),
-        w.getField("n").alias("whitespace_territories"),
-        c.getField("n").alias("critical_gap_hcps"))
+        F.col("_w.n").alias("whitespace_territories"),
+        F.col("_c.n").alias("critical_gap_hcps"))
