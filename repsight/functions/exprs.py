@@ -26,17 +26,17 @@ def _c(x) -> Column:
 
 
 def round_half_away(x, digits: int = 0) -> Column:
-    """``round(x, digits)`` half away from zero, on the double ``x * 10^digits``.
+    """``round(x, digits)`` half away from zero, on the double ``y = x * 10^digits``.
 
-    Exact: for a finite double ``y``, ``y mod 1`` is exact, so the tie test
-    ``frac >= 0.5`` never suffers from the ``floor(y + 0.5)`` rounding error.
+    Spark's ``round(y, 0)`` rounds the shortest decimal text of ``y`` half-up;
+    that text lies on the same side of ``k + 0.5`` as the binary ``y`` (``k + 0.5``
+    is exact in binary), so the result equals C ``round(y)`` — the rule of the
+    original engine — also for inputs such as 1.005 whose text rounds the
+    other way. Negative inputs go through ``-round(-y)`` to keep ``-0.0``.
     """
     scale = float(10 ** digits)
     y = _c(x).cast("double") * F.lit(scale)
-    a = F.abs(y)
-    frac = a % F.lit(1.0)
-    r = (a - frac) + F.when(frac >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(y < 0, -r).otherwise(r) / F.lit(scale)
+    return F.when(y < 0, -F.round(-y, 0)).otherwise(F.round(y, 0)) / F.lit(scale)
 
 
 def safe_div(num, den) -> Column:

@@ -23,6 +23,8 @@ def test_round_half_away_matches_duckdb(spark):
     rnd = random.Random(7)
     vals = [rnd.uniform(-1e6, 1e6) for _ in range(3000)]
     vals += [k / 1000 for k in range(-3000, 3000, 5)] + [k / 100 + 0.005 for k in range(-500, 500)]
+    vals += [k + 0.5 for k in range(-300, 300)] + [k / 10 + 0.05 for k in range(-300, 300)]
+    vals += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-3, 12) for _ in range(2000)]
     con = duckdb.connect()
     con.execute("CREATE TABLE v(i INTEGER, x DOUBLE)")
     con.executemany("INSERT INTO v VALUES (?, ?)", list(enumerate(vals)))
