@@ -88,16 +88,6 @@ def exact_mean(x, scale: int = 2) -> Column:
     return F.sum(_c(x).cast(f"decimal(38,{scale})")).cast("double") / F.count(_c(x)).cast("double")
 
 
-def sum_when(cond: Column, value) -> Column:
-    """``SUM(CASE WHEN cond THEN value END)`` — null when nothing matches."""
-    return F.sum(F.when(cond, _c(value)))
-
-
-def count_when(cond: Column) -> Column:
-    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` — 0 when nothing matches."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
-
-
 def lookup(key, pairs: Iterable[tuple], default=None) -> Column:
     """Simple ``CASE key WHEN k1 THEN v1 ... [ELSE default] END`` from parameter pairs."""
     k = _c(key)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import as_int, exact_mean, money_sum, round_half_away, safe_div, to_money
 from repsight.functions.ranking import fits_one_task, ntile, over_all, scalar
 from repsight.params import Params
+from repsight.plans.session import ensure_checkpoint_dir
 
 
 def _rep_sales_dec(sales: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
     if one_task:
         best = over_all(F.max("_rpc"))
     else:
+        ensure_checkpoint_dir(base.sparkSession)
         base = base.checkpoint(eager=True)
         best = scalar(base.agg(F.max("_rpc").alias("best")), "best")
     # bind the best value once; the rounding below references its input several times

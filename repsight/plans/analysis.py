@@ -12,7 +12,8 @@ import os
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion, reports,
                                 whitespace)
@@ -20,6 +21,29 @@ from repsight.params import Params
 from repsight.sources.schema import Star
 from repsight.sources.sinks import write_result
 
+
+def _sink_order(p: Params) -> dict[str, list[Column]]:
+    """Row order of each written result (the original orders only at the end; so do we).
+
+    A global ``orderBy`` is a range-partitioned sort, so even the HCP-level
+    result is sorted in parallel, never in one task.
+    """
+    y1 = f"rev_{p.current_year}"
+    return {
+        "m1_sales_performance": [F.col(y1).desc_nulls_last(), F.col("territory_id")],
+        "m2_whitespace_analysis": [F.col("opportunity_gap_usd").desc_nulls_last(), F.col("territory_id")],
+        "m3_sfe_metrics": [F.col("total_revenue").desc_nulls_last(), F.col("rep_id")],
+        "m4_hcp_coverage_gap": [F.col("prescriber_tier").asc_nulls_last(), F.col("monthly_rx_volume").desc_nulls_last(),
+                                F.col("hcp_id")],
+        "m5_product_portfolio": [F.col("total_revenue").desc_nulls_last(), F.col("product_id")],
+        "m5b_product_monthly_trend": [F.col("product_id"), F.col("month")],
+        "m6_promotional_response": [F.col("roi_rank").asc_nulls_last(), F.col("channel")],
+        "state_map_data": [F.col(y1).desc_nulls_last(), F.col("state")],
+        "revenue_by_region": [F.col("revenue").desc_nulls_last(), F.col("region")],
+        "top_territories": [F.col("revenue").desc_nulls_last(), F.col("territory_id")],
+    }
+
+
 # Output names of the original run, plus the dashboard datasets.
 RESULTS = ("m1_sales_performance", "m2_whitespace_analysis", "m3_sfe_metrics", "m4_hcp_coverage_gap",
            "m5_product_portfolio", "m5b_product_monthly_trend", "m6_promotional_response", "kpi_summary",
@@ -54,10 +78,14 @@ def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
                  only: tuple[str, ...] | None = None) -> list[str]:
     """Write every result under ``out_dir/<name>``; the dataset summary also as JSON."""
     builders, cached = analysis_results(star, p)
+    order = _sink_order(p)
     written = []
     try:
         for name in only or RESULTS:
-            write_result(builders[name](), os.path.join(out_dir, name), fmt)
+            df = builders[name]()
+            if name in order:
+                df = df.orderBy(*order[name])
+            write_result(df, os.path.join(out_dir, name), fmt)
             written.append(name)
         if only is None or "dataset_summary" in only:
             write_result(builders["dataset_summary"](), os.path.join(out_dir, "dataset_summary_json"), "json")

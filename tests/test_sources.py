@@ -34,6 +34,9 @@ def test_run_analysis_writes_every_result(spark, star):  # noqa: F811
     assert written == list(RESULTS)
     for name in RESULTS:
         assert any(f.endswith(".csv") for f in os.listdir(os.path.join(out, name))), name
+    m4 = spark.read.option("header", True).option("inferSchema", True).csv(os.path.join(out, "m4_hcp_coverage_gap"))
+    tiers = [(r.prescriber_tier, r.monthly_rx_volume) for r in m4.collect()]
+    assert tiers == sorted(tiers, key=lambda t: (t[0], -t[1]))       # sink order: tier, then Rx desc
     kpi = spark.read.option("header", True).option("inferSchema", True).csv(os.path.join(out, "kpi_summary"))
     row = kpi.collect()[0]
     assert row.whitespace_territories == 1 and row.critical_gap_hcps == 1
