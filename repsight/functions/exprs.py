@@ -5,8 +5,9 @@ whole-stage codegen. Conventions enforced here:
 
 * money (two decimals) is summed as an exact 64-bit count of cents
   (order-independent, and far cheaper than wide decimals, whose arithmetic
-  falls back to BigDecimal); it becomes a ``double`` of dollars only at the
-  output (``to_money``);
+  falls back to BigDecimal); sums that may span the grand total add up the
+  per-group counts as ``decimal(38,0)`` (``wide_sum``); money becomes a
+  ``double`` of dollars only at the output (``to_money``);
 * division is always guarded (``x / nullif(y, 0)``), so ANSI mode never raises;
 * rounding is half away from zero on the binary double, the rule of the
   original SQL engine (``round_half_away``); Spark's ``round`` works on the
@@ -75,6 +76,15 @@ def money_sum(x) -> Column:
     return F.sum(cents(x))
 
 
+def wide_sum(c) -> Column:
+    """Second-level sum of cent counts that may span the grand total (decimal, cannot overflow).
+
+    Use it on already-reduced rows (per-group cents); the first level stays a
+    fast 64-bit ``money_sum``.
+    """
+    return F.sum(_c(c).cast("decimal(38,0)"))
+
+
 def to_money(c) -> Column:
     """Cents to dollars at the output: a double (equal to casting the exact decimal)."""
     return _c(c).cast("double") / F.lit(100.0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money
+from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
 from repsight.functions.ranking import scalars
 from repsight.params import Params
 
@@ -21,9 +21,9 @@ def kpi_sales(sales: DataFrame, p: Params) -> DataFrame:
     y0, y1 = p.prior_year, p.current_year
     fine = sales.groupBy("year", "territory_id", "rep_id").agg(money_sum("revenue_usd").alias("_rev"))
     yr, rev = F.col("year"), F.col("_rev")
-    agg = fine.agg(to_money(F.sum(rev)).alias("_all"),
-                   to_money(F.sum(F.when(yr == y0, rev))).alias("_prior"),
-                   to_money(F.sum(F.when(yr == y1, rev))).alias("_cur"),
+    agg = fine.agg(to_money(wide_sum(rev)).alias("_all"),
+                   to_money(wide_sum(F.when(yr == y0, rev))).alias("_prior"),
+                   to_money(wide_sum(F.when(yr == y1, rev))).alias("_cur"),
                    F.countDistinct(F.when(yr == y1, F.col("territory_id"))).alias("active_territories"),
                    F.countDistinct(F.when(yr == y1, F.col("rep_id"))).alias("active_reps"))
     return agg.select(

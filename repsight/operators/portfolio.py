@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money
+from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
 from repsight.functions.ranking import over_all
 from repsight.params import Params
 
@@ -66,7 +66,7 @@ def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataF
     """#22 product totals + YoY growth % and share of all revenue %."""
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
     # one row per product (a bounded catalog): the grand total is a window over the whole frame
-    grand = to_money(over_all(F.sum("total_revenue")))
+    grand = to_money(over_all(wide_sum("total_revenue")))
     return _product_totals_dec(sales, products, p).select(
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repsight.functions.exprs import (bcg_label, deployment_label, lookup, money_sum, round_half_away, safe_div,
-                                      to_money)
+                                      to_money, wide_sum)
 from repsight.functions.ranking import over_all, running_sum, scalar
 from repsight.params import Params
 from repsight.sources.schema import Star
@@ -133,9 +133,10 @@ def deployment_segment(reps: DataFrame, territories: DataFrame, p: Params) -> Da
 
 def dataset_summary(star: Star) -> DataFrame:
     """#48 row count per table, total revenue, first and last month (one row)."""
-    s = star.sales.agg(F.count(F.lit(1)).alias("sales"),
-                       round_half_away(to_money(money_sum("revenue_usd")), 2).alias("total_revenue_usd"),
-                       F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    monthly = star.sales.groupBy("month").agg(F.count(F.lit(1)).alias("_n"), money_sum("revenue_usd").alias("_rev"))
+    s = monthly.agg(F.sum("_n").cast("bigint").alias("sales"),
+                    round_half_away(to_money(wide_sum("_rev")), 2).alias("total_revenue_usd"),
+                    F.min("month").alias("first_month"), F.max("month").alias("last_month"))
     n = lambda df: scalar(df.agg(F.count(F.lit(1)).alias("n")), "n")
     return s.select(n(star.territories).alias("territories"), n(star.products).alias("products"),
                     n(star.reps).alias("reps"), n(star.physicians).alias("physicians"), "sales",

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import cents, exact_mean, money_sum, pct_change, round_half_away, safe_div, to_money
+from repsight.functions.exprs import (cents, exact_mean, money_sum, pct_change, round_half_away, safe_div, to_money,
+                                      wide_sum)
 from repsight.operators.performance import _performance_base
 from repsight.params import Params
 
@@ -21,14 +22,14 @@ def state_map(sales: DataFrame, territories: DataFrame, ws: DataFrame, p: Params
     whitespace count from all territories of the state; states without sales drop out."""
     y0, y1 = p.prior_year, p.current_year
     perf = (_performance_base(sales, territories, p).groupBy("state")
-            .agg(to_money(F.sum(f"rev_{y1}")).alias("_cur"),
-                 to_money(F.sum(f"rev_{y0}")).alias("_prior"),
+            .agg(to_money(wide_sum(f"rev_{y1}")).alias("_cur"),
+                 to_money(wide_sum(f"rev_{y0}")).alias("_prior"),
                  F.count(F.lit(1)).alias("territory_count")))
     gaps = (ws.join(F.broadcast(territories.select("territory_id", "state")), "territory_id")
             .groupBy("state")
             .agg(to_money(money_sum("opportunity_gap_usd")).alias("_gap"),
                  F.count(F.when(F.col("whitespace_quadrant") == "Whitespace", F.lit(1))).alias("whitespace_count")))
-    return (perf.join(gaps, "state", "left")
+    return (perf.join(F.broadcast(gaps), "state", "left")      # one row per state: bounded
             .select("state", round_half_away("_cur", 0).alias(f"rev_{y1}"), F.col("_prior").alias(f"rev_{y0}"),
                     "territory_count", round_half_away(pct_change("_cur", "_prior"), 1).alias("yoy_growth_pct"),
                     round_half_away("_gap", 0).alias("opportunity_gap"), "whitespace_count"))
@@ -37,7 +38,7 @@ def state_map(sales: DataFrame, territories: DataFrame, ws: DataFrame, p: Params
 def revenue_by_region(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
     """#31 current-year revenue per region (territories with sales)."""
     return (_performance_base(sales, territories, p).groupBy("region")
-            .agg(to_money(F.sum(f"rev_{p.current_year}")).alias("revenue")))
+            .agg(to_money(wide_sum(f"rev_{p.current_year}")).alias("revenue")))
 
 
 def top_territories(sales: DataFrame, territories: DataFrame, p: Params, n: int | None = None) -> DataFrame:
