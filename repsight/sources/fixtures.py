@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,6 +169,7 @@ def build_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
 
 
 _STARS: dict[tuple, Star] = {}
+_STARS_LOCK = threading.Lock()
 
 
 def _star_dir(spark: SparkSession, sf_dir: str, p: Params) -> str:
@@ -188,15 +190,18 @@ def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool
     tables again.
     """
     key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), p, materialize)
-    star = _STARS.get(key)
-    if star is None:
-        star = build_star(spark, sf_dir, p)
-        if materialize:
-            path = _star_dir(spark, sf_dir, p)
-            try:
-                write_star(star, path)
-                star = read_written_star(spark, path, star)
-            except Exception as exc:  # no writable shared folder: keep the lazy views
-                warnings.warn(f"star tables not written ({exc.__class__.__name__}); using lazy views")
-        _STARS[key] = star
+    with _STARS_LOCK:      # queries run from several threads must not write the same folder twice
+        return _STARS[key] if key in _STARS else _derive(spark, sf_dir, p, materialize, key)
+
+
+def _derive(spark: SparkSession, sf_dir: str, p: Params, materialize: bool, key: tuple) -> Star:
+    star = build_star(spark, sf_dir, p)
+    if materialize:
+        path = _star_dir(spark, sf_dir, p)
+        try:
+            write_star(star, path)
+            star = read_written_star(spark, path, star)
+        except Exception as exc:  # no writable shared folder: keep the lazy views
+            warnings.warn(f"star tables not written ({exc.__class__.__name__}); using lazy views")
+    _STARS[key] = star
     return star
