@@ -25,6 +25,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repsight.plans.session import ensure_checkpoint_dir
 
@@ -102,15 +103,20 @@ def ntile(df: DataFrame, k: int, order: Sequence, out: str, single_task: bool =
 # ------------------------------------------------------------ running sums
 
 def running_sum(df: DataFrame, group: Sequence[str], key: str, value: str, out: str,
-                bucket_width: int = 1 << 16) -> DataFrame:
-    """Inclusive running sum of ``value`` within ``group`` in ascending ``key`` order.
-
-    ``key`` is an integer that is unique within a group. Rows are cut into
-    buckets of ``bucket_width`` consecutive keys; bucket totals give offsets,
-    and the in-bucket window never holds more than ``bucket_width`` rows, so a
-    group holding a third of all rows is still spread over many tasks.
+                bucket_width: int = 1 << 16, hash_buckets: int = 1 << 12) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``group``, ordered by (bucket, ``key``).
+
+    ``key`` is unique within a group. An integer key is cut into buckets of
+    ``bucket_width`` consecutive values, so the order is plain ``key`` order;
+    any other key goes to one of ``hash_buckets`` hash buckets (a fixed,
+    repeatable order). Bucket totals give offsets, and the in-bucket window
+    holds a bounded share of a group, so a group holding a third of all rows is
+    still spread over many tasks.
     """
-    b = F.floor(F.col(key) / F.lit(bucket_width)).cast("bigint")
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        b = F.expr(f"`{key}` div {bucket_width}")
+    else:
+        b = F.pmod(F.xxhash64(F.col(key)), F.lit(hash_buckets))
     with_b = df.withColumn("_bucket", b)
     totals = with_b.groupBy(*group, "_bucket").agg(F.sum(value).alias("_btot"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

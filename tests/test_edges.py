@@ -145,3 +145,12 @@ def test_empty_facts_keep_schema(spark, star):
     assert len(rows) == 6 and all(r.actual_revenue == 0.0 for r in rows)
     assert performance.sales_performance(empty_sales, star.territories, P).count() == 0
     assert promotion.promotional_response(empty_calls, P).count() == 0
+
+
+def test_call_plan_sample_with_string_ids(star):
+    from repsight.operators import prep
+    draws = prep.call_plan_sample(star.reps, star.physicians, P).collect()
+    # only R1's territory T1 has HCPs: 6 of them, so n = min(floor(0.6 * 20), 6) = 6 a month
+    assert {r.rep_id for r in draws} == {"R1"}
+    assert len(draws) == 6 * P.period_months
+    assert {r.hcp_id for r in draws} <= {"H1", "H2", "H3", "H4", "H5", "H6"}
