@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 # Fixed values that must equal the original analysis for equal results.
 # Channel cost per interaction, in the order the analysis lists them.
-REFERENCE_CHANNEL_COSTS: tuple[tuple[str, int], ...] = (
+DEFAULT_CHANNEL_COSTS: tuple[tuple[str, int], ...] = (
     ("In-Person Visit", 180),
     ("Virtual Detail", 35),
     ("Conference", 450),
@@ -28,9 +28,9 @@ FIXTURE_CHANNEL_COSTS: tuple[tuple[str, int], ...] = (
     ("5-LOW", 280),
 )
 # Revenue factor per prescriber tier for the monthly potential; others get ``other_tier_factor``.
-REFERENCE_TIER_FACTORS: tuple[tuple[str, float], ...] = (("A", 1.0), ("B", 0.6))
+DEFAULT_TIER_FACTORS: tuple[tuple[str, float], ...] = (("A", 1.0), ("B", 0.6))
 # Call-plan weights per tier (0.5 / 0.3 / 0.2), kept as integers in tenths so sums are exact.
-REFERENCE_TIER_WEIGHTS_TENTHS: tuple[tuple[str, int], ...] = (("A", 5), ("B", 3), ("C", 2))
+DEFAULT_TIER_WEIGHTS_TENTHS: tuple[tuple[str, int], ...] = (("A", 5), ("B", 3), ("C", 2))
 
 
 @dataclass(frozen=True)
@@ -49,11 +49,11 @@ class Params:
     tier_a_under: float = 2.0
     tier_b_under: float = 0.5
     revenue_per_rx: float = 420.0
-    tier_factors: tuple[tuple[str, float], ...] = REFERENCE_TIER_FACTORS
+    tier_factors: tuple[tuple[str, float], ...] = DEFAULT_TIER_FACTORS
     other_tier_factor: float = 0.3
 
     # promotion
-    channel_costs: tuple[tuple[str, int], ...] = REFERENCE_CHANNEL_COSTS
+    channel_costs: tuple[tuple[str, int], ...] = DEFAULT_CHANNEL_COSTS
 
     # tiles
     revenue_tiles: int = 5             # territory quintiles
@@ -79,7 +79,7 @@ class Params:
     over_productivity: float = 0.7
 
     # call plan sample
-    tier_weights_tenths: tuple[tuple[str, int], ...] = REFERENCE_TIER_WEIGHTS_TENTHS
+    tier_weights_tenths: tuple[tuple[str, int], ...] = DEFAULT_TIER_WEIGHTS_TENTHS
     calls_per_productivity: float = 20.0
     min_monthly_calls: int = 5
     max_monthly_calls: int = 22
