@@ -8,7 +8,7 @@ carries the values tuned to the TPC-H-shaped test tables (see FIXTURES.md).
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the original analysis for equal results.
 # Channel cost per interaction, in the order the analysis lists them.
