@@ -87,6 +87,21 @@ class Params:
     # report scope
     top_n: int = 5
 
+    def __post_init__(self) -> None:
+        problems = []
+        if self.prior_year >= self.current_year:
+            problems.append("prior_year must be before current_year")
+        if self.period_months < 1 or self.months_per_year < 1:
+            problems.append("period_months and months_per_year must be positive")
+        if min(self.revenue_tiles, self.rep_tiles, self.top_n) < 1:
+            problems.append("tile counts and top_n must be positive")
+        if not self.tier_a_critical <= self.tier_a_under:
+            problems.append("tier_a_critical must not exceed tier_a_under")
+        if any(w < 0 for _, w in self.tier_weights_tenths) or self.min_monthly_calls > self.max_monthly_calls:
+            problems.append("call-plan weights must be >= 0 and min_monthly_calls <= max_monthly_calls")
+        if problems:
+            raise ValueError("; ".join(problems))
+
     @property
     def period_start(self) -> _dt.date:
         return _dt.date(self.prior_year, 1, 1)

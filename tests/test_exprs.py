@@ -48,3 +48,13 @@ def test_cents_are_exact(spark):
         .select(F.col("s").cast("decimal(18,2)").alias("m"))
     got = [tuple(r) for r in df.select(cents("m"), to_money(cents("m"))).collect()]
     assert got == [(7, 0.07), (12345678999, 123456789.99), (-29, -0.29), (110, 1.1)]
+
+
+def test_params_are_validated():
+    import pytest
+    from repsight.params import Params, fixture_params
+    assert fixture_params().prior_year == 1999
+    with pytest.raises(ValueError):
+        Params(prior_year=2024, current_year=2024)
+    with pytest.raises(ValueError):
+        Params(rep_tiles=0)
