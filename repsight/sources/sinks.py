@@ -29,8 +29,9 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_star(star: Star, path: str, mode: str = "overwrite") -> None:
-    """Write the six tables as Parquet under ``path`` (facts partitioned by year).
+def write_star(star: Star, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Write the six tables under ``path``: Parquet (facts partitioned by year) or
+    CSV with a header (one ``<name>.csv`` folder per table, the original layout).
 
     The six writes are independent jobs; they are submitted together so the
     scheduler can run them side by side.
@@ -38,6 +39,9 @@ def write_star(star: Star, path: str, mode: str = "overwrite") -> None:
     def one(item: tuple[str, DataFrame]) -> None:
         name, df = item
         w = df.write.mode(mode)
+        if fmt == "csv":
+            w.option("header", True).csv(os.path.join(path, f"{name}.csv"))
+            return
         if name in FACTS and "year" in df.columns:
             w = w.partitionBy("year")
         w.parquet(os.path.join(path, name))

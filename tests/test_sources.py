@@ -9,7 +9,7 @@ from test_edges import P, star  # noqa: F401  (module fixture reused)
 from repsight.operators import whitespace
 from repsight.plans.analysis import RESULTS, run_analysis
 from repsight.sources.readers import read_star
-from repsight.sources.sinks import write_result
+from repsight.sources.sinks import write_result, write_star
 
 
 def _rows(df):
@@ -18,8 +18,7 @@ def _rows(df):
 
 def test_csv_layout_round_trip(spark, star):  # noqa: F811
     d = tempfile.mkdtemp(prefix="repsight-csv-")
-    for name, df in star.tables().items():
-        df.coalesce(1).write.option("header", True).csv(os.path.join(d, f"{name}.csv"))
+    write_star(star, d, fmt="csv")
     back = read_star(spark, d, fmt="csv")
     for name, df in star.tables().items():
         assert back.tables()[name].schema == df.schema, name
@@ -52,3 +51,13 @@ def test_write_result_formats(spark, star):  # noqa: F811
     for fmt in ("csv", "parquet", "json"):
         write_result(star.territories, os.path.join(d, fmt), fmt)
         assert os.listdir(os.path.join(d, fmt))
+
+
+def test_command_line_run(spark, star):  # noqa: F811
+    from repsight.__main__ import main
+    d = tempfile.mkdtemp(prefix="repsight-cli-")
+    write_star(star, os.path.join(d, "star"), fmt="csv")
+    out = os.path.join(d, "out")
+    assert main(["--star", os.path.join(d, "star"), "--out", out, "--only", "kpi_summary", "m6_promotional_response",
+                 "--set", "revenue_per_mpi_point=9000.0"]) == 0
+    assert sorted(os.listdir(out)) == ["kpi_summary", "m6_promotional_response"]
