@@ -28,3 +28,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 25
     assert {"whitespace_quadrant", "opportunity_gap_usd", "med_mpi", "med_revenue"} <= set(df.columns)
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN"}
+
+
+def test_column_types_match_oracle(spark, duck001):
+    bad = {}
+    for name, q in QUERIES.items():
+        st = {c: SPARK_TO_DUCK.get(t, t) for c, t in q(spark, SF001).dtypes}
+        rel = duck001.sql(ORACLE[name])
+        dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if st != dt:
+            bad[name] = {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+    assert not bad, bad
