@@ -98,6 +98,11 @@ def exact_mean(x, scale: int = 2) -> Column:
     return F.sum(_c(x).cast(f"decimal(38,{scale})")).cast("double") / F.count(_c(x)).cast("double")
 
 
+def distinct_count(x, approx_rsd: float | None = None) -> Column:
+    """``COUNT(DISTINCT x)``: exact, or HyperLogLog++ when ``approx_rsd`` is given (opt-in)."""
+    return F.countDistinct(_c(x)) if approx_rsd is None else F.approx_count_distinct(_c(x), rsd=approx_rsd)
+
+
 def lookup(key, pairs: Iterable[tuple], default=None) -> Column:
     """Simple ``CASE key WHEN k1 THEN v1 ... [ELSE default] END`` from parameter pairs."""
     k = _c(key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import as_int, coverage_status, lookup, round_half_away, safe_div
+from repsight.functions.exprs import as_int, coverage_status, distinct_count, lookup, round_half_away, safe_div
 from repsight.params import Params
 
 PHYSICIAN_COLS = ("hcp_id", "hcp_name", "territory_id", "specialty", "prescriber_tier", "monthly_rx_volume",
@@ -24,8 +24,8 @@ def hcp_call_stats(call_logs: DataFrame, p: Params) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n"), F.sum(as_int("converted")).alias("_conv")))
     return (fine.groupBy("hcp_id")
             .agg(F.sum("_n").cast("bigint").alias("total_calls_received"),
-                 F.countDistinct("rep_id").alias("unique_reps"),
-                 F.countDistinct("month").alias("months_contacted"),
+                 distinct_count("rep_id", p.approx_distinct_rsd).alias("unique_reps"),
+                 distinct_count("month", p.approx_distinct_rsd).alias("months_contacted"),
                  F.sum("_conv").alias("_conv"))
             .select("hcp_id", "total_calls_received", "unique_reps", "months_contacted",
                     safe_div("_conv", "total_calls_received").alias("conversion_rate"),

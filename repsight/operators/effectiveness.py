@@ -13,25 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import as_int, exact_mean, money_sum, round_half_away, safe_div, to_money
+from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, round_half_away, safe_div,
+                                      to_money)
 from repsight.functions.ranking import fits_one_task, ntile, over_all, scalar
 from repsight.params import Params
 from repsight.plans.session import ensure_checkpoint_dir
 
 
-def _rep_sales_dec(sales: DataFrame) -> DataFrame:
+def _rep_sales_dec(sales: DataFrame, rsd: float | None = None) -> DataFrame:
     fine = (sales.groupBy("rep_id", "product_id", "month")
             .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
     return (fine.groupBy("rep_id")
             .agg(F.sum("_rev").alias("total_revenue"),
                  F.sum("_units").cast("bigint").alias("total_units"),
-                 F.countDistinct("product_id").alias("products_sold"),
-                 F.countDistinct("month").alias("active_months")))
+                 distinct_count("product_id", rsd).alias("products_sold"),
+                 distinct_count("month", rsd).alias("active_months")))
 
 
-def rep_sales_totals(sales: DataFrame) -> DataFrame:
+def rep_sales_totals(sales: DataFrame, p: Params | None = None) -> DataFrame:
     """#11 revenue, units, distinct products and distinct active months per rep."""
-    return _rep_sales_dec(sales).withColumn("total_revenue", to_money("total_revenue"))
+    return _rep_sales_dec(sales, p.approx_distinct_rsd if p else None).withColumn("total_revenue", to_money("total_revenue"))
 
 
 def _rep_call_fine(call_logs: DataFrame) -> DataFrame:
@@ -41,12 +42,12 @@ def _rep_call_fine(call_logs: DataFrame) -> DataFrame:
                  F.sum("call_duration_min").alias("_dur")))
 
 
-def _rep_call_stats(fine: DataFrame) -> DataFrame:
+def _rep_call_stats(fine: DataFrame, rsd: float | None = None) -> DataFrame:
     return (fine.groupBy("rep_id")
             .agg(F.sum("_n").cast("bigint").alias("total_calls"),
                  F.sum("_conv").cast("bigint").alias("total_conversions"),
-                 F.countDistinct("hcp_id").alias("unique_hcps_visited"),
-                 F.countDistinct("month").alias("months_active"),
+                 distinct_count("hcp_id", rsd).alias("unique_hcps_visited"),
+                 distinct_count("month", rsd).alias("months_active"),
                  F.sum("_dur").alias("_dur"))
             .select("rep_id", "total_calls", "total_conversions",
                     safe_div("total_conversions", "total_calls").alias("conversion_rate"),
@@ -63,9 +64,9 @@ def _rep_tier_mix(fine: DataFrame, physicians: DataFrame) -> DataFrame:
                  F.sum(F.when(tier == "C", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_c_calls")))
 
 
-def rep_call_stats(call_logs: DataFrame) -> DataFrame:
+def rep_call_stats(call_logs: DataFrame, p: Params | None = None) -> DataFrame:
     """#12 calls, conversions, rate, distinct HCPs and months, mean duration per rep."""
-    return _rep_call_stats(_rep_call_fine(call_logs))
+    return _rep_call_stats(_rep_call_fine(call_logs), p.approx_distinct_rsd if p else None)
 
 
 def rep_tier_mix(call_logs: DataFrame, physicians: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
     """
     fine = _rep_call_fine(call_logs)
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
-            .join(_rep_sales_dec(sales), "rep_id").join(_rep_call_stats(fine), "rep_id")
+            .join(_rep_sales_dec(sales, p.approx_distinct_rsd), "rep_id")
+            .join(_rep_call_stats(fine, p.approx_distinct_rsd), "rep_id")
             .join(_rep_tier_mix(fine, physicians), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))

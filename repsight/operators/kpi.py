@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
+from repsight.functions.exprs import distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
 from repsight.functions.ranking import scalars
 from repsight.params import Params
 
@@ -24,8 +24,9 @@ def kpi_sales(sales: DataFrame, p: Params) -> DataFrame:
     agg = fine.agg(to_money(wide_sum(rev)).alias("_all"),
                    to_money(wide_sum(F.when(yr == y0, rev))).alias("_prior"),
                    to_money(wide_sum(F.when(yr == y1, rev))).alias("_cur"),
-                   F.countDistinct(F.when(yr == y1, F.col("territory_id"))).alias("active_territories"),
-                   F.countDistinct(F.when(yr == y1, F.col("rep_id"))).alias("active_reps"))
+                   distinct_count(F.when(yr == y1, F.col("territory_id")), p.approx_distinct_rsd)
+                   .alias("active_territories"),
+                   distinct_count(F.when(yr == y1, F.col("rep_id")), p.approx_distinct_rsd).alias("active_reps"))
     return agg.select(
         round_half_away("_all", 0).alias("total_revenue_all_years"),
         round_half_away("_cur", 0).alias(f"total_revenue_{y1}"),

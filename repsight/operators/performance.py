@@ -10,24 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money
+from repsight.functions.exprs import distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money
 from repsight.functions.ranking import ntile
 from repsight.params import Params
 
 TERRITORY_ATTRS = ("market_potential_index", "competitor_intensity", "urban_index", "num_target_hcps")
 
 
-def _yearly(sales: DataFrame) -> DataFrame:
+def _yearly(sales: DataFrame, rsd: float | None = None) -> DataFrame:
     return (sales.groupBy("territory_id", "year")
             .agg(money_sum("revenue_usd").alias("revenue"),
                  money_sum("net_revenue_usd").alias("net_revenue"),
                  F.sum("units_sold").cast("bigint").alias("units"),
-                 F.countDistinct("rep_id").alias("active_reps")))
+                 distinct_count("rep_id", rsd).alias("active_reps")))
 
 
-def territory_year_rollup(sales: DataFrame, territories: DataFrame) -> DataFrame:
+def territory_year_rollup(sales: DataFrame, territories: DataFrame, p: Params | None = None) -> DataFrame:
     """#1 revenue, net revenue, units and distinct reps per territory, region and year."""
-    return (_yearly(sales).join(F.broadcast(territories.select("territory_id", "region")), "territory_id")
+    return (_yearly(sales, p.approx_distinct_rsd if p else None).join(F.broadcast(territories.select("territory_id", "region")), "territory_id")
             .select("territory_id", "region", "year", to_money("revenue").alias("revenue"),
                     to_money("net_revenue").alias("net_revenue"), "units", "active_reps"))
 
@@ -36,7 +36,7 @@ def _pivot(sales: DataFrame, p: Params) -> DataFrame:
     """Years to columns, money still in cents; ``active_reps`` is the max over the years."""
     y0, y1 = p.prior_year, p.current_year
     yr = F.col("year")
-    return (_yearly(sales).groupBy("territory_id")
+    return (_yearly(sales, p.approx_distinct_rsd).groupBy("territory_id")
             .agg(F.max(F.when(yr == y0, F.col("revenue"))).alias(f"rev_{y0}"),
                  F.max(F.when(yr == y1, F.col("revenue"))).alias(f"rev_{y1}"),
                  F.max(F.when(yr == y0, F.col("units"))).alias(f"units_{y0}"),

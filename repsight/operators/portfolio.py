@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
+from repsight.functions.exprs import (distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money,
+                                      wide_sum)
 from repsight.functions.ranking import over_all
 from repsight.params import Params
 
@@ -25,27 +26,27 @@ def _products(products: DataFrame) -> DataFrame:
                            "bcg_quadrant", "market_share_pct", "market_growth_rate", "list_price")
 
 
-def _product_month_dec(sales: DataFrame, products: DataFrame) -> DataFrame:
+def _product_month_dec(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
     fine = (sales.groupBy("product_id", "year", "month_num", "month", "rep_id", "territory_id")
             .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
     monthly = (fine.groupBy("product_id", "year", "month_num", "month")
                .agg(F.sum("_rev").alias("monthly_revenue"),
                     F.sum("_units").cast("bigint").alias("monthly_units"),
-                    F.countDistinct("rep_id").alias("reps_selling"),
-                    F.countDistinct("territory_id").alias("territories_active")))
+                    distinct_count("rep_id", rsd).alias("reps_selling"),
+                    distinct_count("territory_id", rsd).alias("territories_active")))
     return monthly.join(_products(products), "product_id")
 
 
-def product_month_rollup(sales: DataFrame, products: DataFrame) -> DataFrame:
+def product_month_rollup(sales: DataFrame, products: DataFrame, p: Params | None = None) -> DataFrame:
     """#20 monthly revenue, units, distinct reps and territories per product."""
-    return _product_month_dec(sales, products).select(
+    return _product_month_dec(sales, products, p.approx_distinct_rsd if p else None).select(
         *PRODUCT_ATTRS, "year", "month_num", "month", to_money("monthly_revenue").alias("monthly_revenue"),
         "monthly_units", "reps_selling", "territories_active")
 
 
 def _product_totals_dec(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
     yr, rev = F.col("year"), F.col("monthly_revenue")
-    return (_product_month_dec(sales, products).groupBy(*PRODUCT_ATTRS)
+    return (_product_month_dec(sales, products, p.approx_distinct_rsd).groupBy(*PRODUCT_ATTRS)
             .agg(F.sum(rev).alias("total_revenue"),
                  F.sum("monthly_units").cast("bigint").alias("total_units"),
                  F.sum(F.when(yr == p.prior_year, rev)).alias(f"rev_{p.prior_year}"),

@@ -87,6 +87,10 @@ class Params:
     # report scope
     top_n: int = 5
 
+    # COUNT(DISTINCT ..): exact when None; else HyperLogLog++ with this relative standard
+    # deviation (no Expand, no extra shuffle of the distinct values)
+    approx_distinct_rsd: float | None = None
+
     def __post_init__(self) -> None:
         problems = []
         if self.prior_year >= self.current_year:

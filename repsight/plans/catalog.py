@@ -37,7 +37,7 @@ def _sfe(s: Star, p: Params) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # M1 sales performance
-    "territory_year_rollup": lambda s, p: performance.territory_year_rollup(s.sales, s.territories),
+    "territory_year_rollup": lambda s, p: performance.territory_year_rollup(s.sales, s.territories, p),
     "territory_year_pivot": lambda s, p: performance.territory_year_pivot(s.sales, s.territories, p),
     "sales_performance": lambda s, p: performance.sales_performance(s.sales, s.territories, p),
     # M2 whitespace
@@ -50,8 +50,8 @@ QUERIES: dict[str, Query] = {
     "quadrant_counts": lambda s, p: whitespace.quadrant_counts(_ws(s, p)),
     "whitespace_total_gap": lambda s, p: whitespace.whitespace_total_gap(_ws(s, p)),
     # M3 effectiveness
-    "rep_sales_totals": lambda s, p: effectiveness.rep_sales_totals(s.sales),
-    "rep_call_stats": lambda s, p: effectiveness.rep_call_stats(s.call_logs),
+    "rep_sales_totals": lambda s, p: effectiveness.rep_sales_totals(s.sales, p),
+    "rep_call_stats": lambda s, p: effectiveness.rep_call_stats(s.call_logs, p),
     "rep_tier_mix": lambda s, p: effectiveness.rep_tier_mix(s.call_logs, s.physicians),
     "sfe_metrics": _sfe,
     "sfe_averages": lambda s, p: effectiveness.sfe_averages(_sfe(s, p)),
@@ -61,7 +61,7 @@ QUERIES: dict[str, Query] = {
     "coverage_status_counts": lambda s, p: coverage.coverage_status_counts(_cov(s, p)),
     "critical_gap_revenue": lambda s, p: coverage.critical_gap_revenue(_cov(s, p)),
     # M5 portfolio
-    "product_month_rollup": lambda s, p: portfolio.product_month_rollup(s.sales, s.products),
+    "product_month_rollup": lambda s, p: portfolio.product_month_rollup(s.sales, s.products, p),
     "product_totals": lambda s, p: portfolio.product_totals(s.sales, s.products, p),
     "product_portfolio": lambda s, p: portfolio.product_portfolio(s.sales, s.products, p),
     "product_monthly_trend": lambda s, p: portfolio.product_monthly_trend(s.sales, s.products),

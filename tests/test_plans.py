@@ -59,3 +59,13 @@ def test_whole_stage_codegen(spark, name):
     df = entry.queries()[name](spark, SF001)
     df.collect()                      # the final adaptive plan carries the codegen stage ids
     assert "codegen id" in plan_text(df)
+
+
+def test_approximate_distinct_counts_are_opt_in(spark, fp, star001):
+    exact = effectiveness.rep_call_stats(star001.call_logs, fp)
+    approx = effectiveness.rep_call_stats(star001.call_logs, fp.with_(approx_distinct_rsd=0.02))
+    assert "Expand" in plan_text(exact) and "Expand" not in plan_text(approx)
+    e = {r.rep_id: r.unique_hcps_visited for r in exact.collect()}
+    a = {r.rep_id: r.unique_hcps_visited for r in approx.collect()}
+    assert set(e) == set(a)
+    assert all(abs(a[k] - e[k]) <= max(2, 0.1 * e[k]) for k in e)
