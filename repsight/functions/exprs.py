@@ -36,8 +36,8 @@ def round_half_away(x, digits: int = 0) -> Column:
     other way. Negative inputs go through ``-round(-y)`` to keep ``-0.0``.
     """
     scale = float(10 ** digits)
-    y = _c(x).cast("double") * F.lit(scale)
-    return F.when(y < 0, -F.round(-y, 0)).otherwise(F.round(y, 0)) / F.lit(scale)
+    y = _c(x).cast("double") * scale
+    return F.when(y < 0, -F.round(-y, 0)).otherwise(F.round(y, 0)) / scale
 
 
 def safe_div(num, den) -> Column:
@@ -49,7 +49,7 @@ def safe_div(num, den) -> Column:
 def pct_change(current, prior) -> Column:
     """``(current - prior) / nullif(prior, 0) * 100``."""
     cur, pri = _c(current).cast("double"), _c(prior).cast("double")
-    return (cur - pri) / F.when(pri != 0, pri) * F.lit(100.0)
+    return (cur - pri) / F.when(pri != 0, pri) * 100.0
 
 
 def as_int(flag) -> Column:
@@ -68,7 +68,7 @@ def cents(x) -> Column:
     The value's double is within an ulp of ``cents / 100``; ``rint`` of it
     times 100 recovers the cents exactly for any amount below 10^13 dollars.
     """
-    return F.rint(_c(x).cast("double") * F.lit(100.0)).cast("bigint")
+    return F.rint(_c(x).cast("double") * 100.0).cast("bigint")
 
 
 def money_sum(x) -> Column:
@@ -87,7 +87,7 @@ def wide_sum(c) -> Column:
 
 def to_money(c) -> Column:
     """Cents to dollars at the output: a double (equal to casting the exact decimal)."""
-    return _c(c).cast("double") / F.lit(100.0)
+    return _c(c).cast("double") / 100.0
 
 
 def exact_mean(x, scale: int = 2) -> Column:
@@ -108,10 +108,10 @@ def lookup(key, pairs: Iterable[tuple], default=None) -> Column:
     k = _c(key)
     expr = None
     for kk, vv in pairs:
-        expr = F.when(k == F.lit(kk), F.lit(vv)) if expr is None else expr.when(k == F.lit(kk), F.lit(vv))
+        expr = F.when(k == kk, vv) if expr is None else expr.when(k == kk, vv)
     if expr is None:
         return F.lit(default)
-    return expr.otherwise(F.lit(default)) if default is not None else expr
+    return expr.otherwise(default) if default is not None else expr
 
 
 # ---------------------------------------------------------------- labels
@@ -129,25 +129,25 @@ def whitespace_quadrant(mpi, revenue, med_mpi, med_revenue) -> Column:
 def coverage_status(tier, monthly_calls, total_calls, p) -> Column:
     """First-match coverage rule; an unreached tier A/B HCP is never 'Not Reached'."""
     t, m = _c(tier), _c(monthly_calls)
-    return (F.when((t == "A") & (m < F.lit(p.tier_a_critical)), "Critical Gap")
-            .when((t == "A") & (m < F.lit(p.tier_a_under)), "Undercovered")
-            .when((t == "B") & (m < F.lit(p.tier_b_under)), "Undercovered")
+    return (F.when((t == "A") & (m < p.tier_a_critical), "Critical Gap")
+            .when((t == "A") & (m < p.tier_a_under), "Undercovered")
+            .when((t == "B") & (m < p.tier_b_under), "Undercovered")
             .when(_c(total_calls) == 0, "Not Reached")
             .otherwise("Adequately Covered"))
 
 
 def bcg_label(share, growth, p) -> Column:
     s, g = _c(share), _c(growth)
-    hi_s, hi_g = s >= F.lit(p.bcg_share_cut), g >= F.lit(p.bcg_growth_cut)
+    hi_s, hi_g = s >= p.bcg_share_cut, g >= p.bcg_growth_cut
     return (F.when(hi_s & hi_g, "Star")
-            .when(hi_s & (g < F.lit(p.bcg_growth_cut)), "Cash Cow")
-            .when((s < F.lit(p.bcg_share_cut)) & hi_g, "Question Mark")
+            .when(hi_s & (g < p.bcg_growth_cut), "Cash Cow")
+            .when((s < p.bcg_share_cut) & hi_g, "Question Mark")
             .otherwise("Dog"))
 
 
 def deployment_label(mpi, productivity, p) -> Column:
-    m = _c(mpi).cast("double") / F.lit(100.0)
+    m = _c(mpi).cast("double") / 100.0
     pr = _c(productivity)
-    return (F.when((m > F.lit(p.under_mpi)) & (pr < F.lit(p.under_productivity)), "Underperforming")
-            .when((m < F.lit(p.over_mpi)) & (pr > F.lit(p.over_productivity)), "Oversaturated")
+    return (F.when((m > p.under_mpi) & (pr < p.under_productivity), "Underperforming")
+            .when((m < p.over_mpi) & (pr > p.over_productivity), "Oversaturated")
             .otherwise("Normal"))

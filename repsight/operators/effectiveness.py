@@ -99,13 +99,13 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         base = base.checkpoint(eager=True)
         best = scalar(base.agg(F.max("_rpc").alias("best")), "best")
     # bind the best value once; the rounding below references its input several times
-    base = base.withColumn("_pi", F.col("_rpc") / best * F.lit(100.0))
+    base = base.withColumn("_pi", F.col("_rpc") / best * 100.0)
     out = base.select(
         "rep_id", "rep_name", "territory_id", "region", "experience_years", "education",
         "total_revenue", "total_units", "products_sold", "total_calls", "total_conversions",
-        round_half_away(F.col("conversion_rate") * F.lit(100.0), 1).alias("conversion_rate_pct"),
+        round_half_away(F.col("conversion_rate") * 100.0, 1).alias("conversion_rate_pct"),
         "unique_hcps_visited", "avg_call_duration_min", "tier_a_calls", "tier_b_calls", "tier_c_calls",
-        round_half_away(safe_div(F.col("tier_a_calls").cast("double") * F.lit(100.0), "total_calls"), 1)
+        round_half_away(safe_div(F.col("tier_a_calls").cast("double") * 100.0, "total_calls"), 1)
         .alias("tier_a_call_pct"),
         round_half_away(safe_div("total_calls", "months_active"), 1).alias("avg_monthly_calls"),
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),

@@ -72,7 +72,7 @@ def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataF
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",
         round_half_away(pct_change(y1, y0), 1).alias("revenue_growth_pct"),
-        round_half_away(safe_div(to_money("total_revenue"), grand) * F.lit(100.0), 1).alias("portfolio_share_pct"))
+        round_half_away(safe_div(to_money("total_revenue"), grand) * 100.0, 1).alias("portfolio_share_pct"))
 
 
 def product_monthly_trend(sales: DataFrame, products: DataFrame) -> DataFrame:

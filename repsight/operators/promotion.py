@@ -37,13 +37,13 @@ def channel_summary(call_logs: DataFrame, weighted: bool = False) -> DataFrame:
         return (call_logs.groupBy("channel")
                 .agg(F.count(F.lit(1)).alias("total_interactions"),
                      F.sum(as_int("converted")).cast("bigint").alias("total_conversions"),
-                     round_half_away(rate("converted") * F.lit(100.0), 1).alias("avg_conversion_rate_pct"),
+                     round_half_away(rate("converted") * 100.0, 1).alias("avg_conversion_rate_pct"),
                      round_half_away(F.avg("call_duration_min"), 1).alias("avg_duration_min"),
                      F.sum(as_int("samples_dropped")).cast("bigint").alias("total_samples_dropped")))
     return (channel_product_territory_perf(call_logs).groupBy("channel")
             .agg(F.sum("total_interactions").cast("bigint").alias("total_interactions"),
                  F.sum("conversions").cast("bigint").alias("total_conversions"),
-                 round_half_away(F.avg("conversion_rate") * F.lit(100.0), 1).alias("avg_conversion_rate_pct"),
+                 round_half_away(F.avg("conversion_rate") * 100.0, 1).alias("avg_conversion_rate_pct"),
                  round_half_away(F.avg("avg_duration_min"), 1).alias("avg_duration_min"),
                  F.sum("samples_dropped").cast("bigint").alias("total_samples_dropped")))
 

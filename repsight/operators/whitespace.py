@@ -45,7 +45,7 @@ def territory_potential(territories: DataFrame, sales: DataFrame, call_logs: Dat
                     F.coalesce(F.col("total_calls"), F.lit(0)).cast("bigint").alias("call_volume"),
                     F.coalesce(F.col("conversion_rate"), F.lit(0.0)).alias("conversion_rate"),
                     round_half_away(potential, 2).alias("potential_revenue"),
-                    round_half_away(safe_div(actual, potential) * F.lit(100.0), 1).alias("realization_pct")))
+                    round_half_away(safe_div(actual, potential) * 100.0, 1).alias("realization_pct")))
 
 
 def territory_medians(potential: DataFrame) -> DataFrame:
