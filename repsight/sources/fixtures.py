@@ -172,11 +172,18 @@ _STARS: dict[tuple, Star] = {}
 _STARS_LOCK = threading.Lock()
 
 
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # a session without a local context (e.g. Spark Connect)
+        return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
+
+
 def _star_dir(spark: SparkSession, sf_dir: str, p: Params) -> str:
     """A folder for this session's star tables inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     tag = hashlib.sha1(repr((os.path.abspath(sf_dir), p)).encode()).hexdigest()[:12]
-    return f"{base.rstrip('/')}/star-{spark.sparkContext.applicationId}-{tag}"
+    return f"{base.rstrip('/')}/star-{_app_id(spark)}-{tag}"
 
 
 def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool = True) -> Star:
@@ -189,7 +196,7 @@ def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool
     tables. Without it, the views stay lazy and each query joins the test
     tables again.
     """
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), p, materialize)
+    key = (_app_id(spark), id(spark), os.path.abspath(sf_dir), p, materialize)
     with _STARS_LOCK:      # queries run from several threads must not write the same folder twice
         return _STARS[key] if key in _STARS else _derive(spark, sf_dir, p, materialize, key)
 
@@ -197,8 +204,8 @@ def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool
 def _derive(spark: SparkSession, sf_dir: str, p: Params, materialize: bool, key: tuple) -> Star:
     star = build_star(spark, sf_dir, p)
     if materialize:
-        path = _star_dir(spark, sf_dir, p)
         try:
+            path = _star_dir(spark, sf_dir, p)
             write_star(star, path)
             star = read_written_star(spark, path, star)
         except Exception as exc:  # no writable shared folder: keep the lazy views
