@@ -22,7 +22,7 @@ from repsight.functions.exprs import bcg_label, lookup
 from repsight.params import Params
 from repsight.plans.session import ensure_checkpoint_dir
 from repsight.sources.schema import Star
-from repsight.sources.sinks import read_written_star, write_star
+from repsight.sources.sinks import read_tables, write_tables
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -129,7 +129,12 @@ def _window_lines(t: dict[str, DataFrame], p: Params) -> DataFrame:
             .join(t["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")))
 
 
-def sales(t: dict[str, DataFrame], p: Params) -> DataFrame:
+def order_lines(t: dict[str, DataFrame], p: Params) -> DataFrame:
+    """Every line item of the window with the columns of both facts.
+
+    Sales are all of these rows and calls their first two lines, so one pass
+    over the large join (line items × orders × suppliers × parts) feeds both.
+    """
     od = F.col("o_orderdate")
     rev = F.col("l_extendedprice").cast("decimal(18,2)")
     disc = F.col("l_discount").cast("decimal(5,3)")
@@ -137,29 +142,38 @@ def sales(t: dict[str, DataFrame], p: Params) -> DataFrame:
         F.col("l_suppkey").alias("rep_id"),
         F.col("s_nationkey").cast("bigint").alias("territory_id"),
         F.col("p_type").alias("product_id"),
+        F.col("o_custkey").alias("hcp_id"),
+        od.cast("date").alias("call_date"),
         F.trunc(od.cast("date"), "month").alias("month"),
         F.year(od).cast("int").alias("year"),
         F.month(od).cast("int").alias("month_num"),
         F.col("l_quantity").cast("bigint").alias("units_sold"),
         rev.alias("revenue_usd"),
         disc.alias("discount_pct"),
-        F.round(rev * (F.lit(1) - disc), 2).cast("decimal(18,2)").alias("net_revenue_usd"))
+        F.round(rev * (F.lit(1) - disc), 2).cast("decimal(18,2)").alias("net_revenue_usd"),
+        F.col("o_orderpriority").alias("channel"),
+        ((F.col("o_orderstatus") == "F") & (F.col("l_returnflag") == "R")).alias("converted"),
+        (F.col("l_linestatus") == "F").alias("samples_dropped"),
+        F.col("l_linenumber").alias("line_no"))
+
+
+def sales_of(lines: DataFrame) -> DataFrame:
+    return lines.select("rep_id", "territory_id", "product_id", "month", "year", "month_num", "units_sold",
+                        "revenue_usd", "discount_pct", "net_revenue_usd")
+
+
+def calls_of(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("line_no") <= 2).select(
+        "rep_id", "hcp_id", "territory_id", F.col("product_id").alias("product_promoted"), "call_date", "month",
+        "year", "channel", "converted", F.col("units_sold").alias("call_duration_min"), "samples_dropped")
+
+
+def sales(t: dict[str, DataFrame], p: Params) -> DataFrame:
+    return sales_of(order_lines(t, p))
 
 
 def call_logs(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    od = F.col("o_orderdate")
-    return (_window_lines(t, p).where(F.col("l_linenumber") <= 2).select(
-        F.col("l_suppkey").alias("rep_id"),
-        F.col("o_custkey").alias("hcp_id"),
-        F.col("s_nationkey").cast("bigint").alias("territory_id"),
-        F.col("p_type").alias("product_promoted"),
-        od.cast("date").alias("call_date"),
-        F.trunc(od.cast("date"), "month").alias("month"),
-        F.year(od).cast("int").alias("year"),
-        F.col("o_orderpriority").alias("channel"),
-        ((F.col("o_orderstatus") == "F") & (F.col("l_returnflag") == "R")).alias("converted"),
-        F.col("l_quantity").cast("bigint").alias("call_duration_min"),
-        (F.col("l_linestatus") == "F").alias("samples_dropped")))
+    return calls_of(order_lines(t, p))
 
 
 def build_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
@@ -189,26 +203,42 @@ def _star_dir(spark: SparkSession, sf_dir: str, p: Params) -> str:
 def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool = True) -> Star:
     """The star tables of ``sf_dir``, derived once per session, directory and parameters.
 
-    With ``materialize`` (the default) Spark derives the six tables from the
-    test tables once and writes them as Parquet into the session's shared
-    checkpoint folder (facts partitioned by year), the way the original loads
-    its tables before running its statements; every query then reads those
-    tables. Without it, the views stay lazy and each query joins the test
-    tables again.
+    With ``materialize`` (the default) Spark derives the star from the test
+    tables once and writes it as Parquet into the session's shared checkpoint
+    folder (``materialize_star``), the way the original loads its tables before
+    running its statements; every query then reads those tables. Without it,
+    the views stay lazy and each query joins the test tables again.
     """
     key = (_app_id(spark), id(spark), os.path.abspath(sf_dir), p, materialize)
     with _STARS_LOCK:      # queries run from several threads must not write the same folder twice
         return _STARS[key] if key in _STARS else _derive(spark, sf_dir, p, materialize, key)
 
 
-def _derive(spark: SparkSession, sf_dir: str, p: Params, materialize: bool, key: tuple) -> Star:
-    star = build_star(spark, sf_dir, p)
-    if materialize:
+def materialize_star(spark: SparkSession, sf_dir: str, p: Params, path: str) -> Star:
+    """Derive the star from the test tables and write it under ``path``; return it read back.
+
+    The four dimensions and one fact table of order lines (partitioned by year)
+    are written by concurrent jobs; sales and calls are projections of the
+    order lines, so the large join runs once.
+    """
+    t = read_tpch(spark, sf_dir)
+    tables = {"territories": territories(t), "products": products(t, p), "reps": reps(t),
+              "physicians": physicians(t), "order_lines": order_lines(t, p)}
+    write_tables(tables, path, partition_by={"order_lines": "year"})
+    back = read_tables(spark, path, tables)
+    return Star(territories=back["territories"], products=back["products"], reps=back["reps"],
+                physicians=back["physicians"], sales=sales_of(back["order_lines"]),
+                call_logs=calls_of(back["order_lines"]))
+
+
+def _derive(spark: SparkSession, sf_dir: str, p: Params, materialize_: bool, key: tuple) -> Star:
+    star = None
+    if materialize_:
         try:
-            path = _star_dir(spark, sf_dir, p)
-            write_star(star, path)
-            star = read_written_star(spark, path, star)
+            star = materialize_star(spark, sf_dir, p, _star_dir(spark, sf_dir, p))
         except Exception as exc:  # no writable shared folder: keep the lazy views
             warnings.warn(f"star tables not written ({exc.__class__.__name__}); using lazy views")
+    if star is None:
+        star = build_star(spark, sf_dir, p)
     _STARS[key] = star
     return star
