@@ -69,3 +69,9 @@ def test_approximate_distinct_counts_are_opt_in(spark, fp, star001):
     a = {r.rep_id: r.unique_hcps_visited for r in approx.collect()}
     assert set(e) == set(a)
     assert all(abs(a[k] - e[k]) <= max(2, 0.1 * e[k]) for k in e)
+
+
+def test_calls_push_line_filter_and_prune_columns(star001):
+    text = plan_text(star001.call_logs.groupBy("channel").count())
+    assert "LessThanOrEqual(line_no,2)" in text
+    assert "ReadSchema: struct<channel:string,line_no:int>" in text
