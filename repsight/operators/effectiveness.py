@@ -20,7 +20,7 @@ from repsight.params import Params
 from repsight.plans.session import ensure_checkpoint_dir
 
 
-def _rep_sales_dec(sales: DataFrame, rsd: float | None = None) -> DataFrame:
+def _rep_sales_cents(sales: DataFrame, rsd: float | None = None) -> DataFrame:
     fine = (sales.groupBy("rep_id", "product_id", "month")
             .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
     return (fine.groupBy("rep_id")
@@ -32,7 +32,8 @@ def _rep_sales_dec(sales: DataFrame, rsd: float | None = None) -> DataFrame:
 
 def rep_sales_totals(sales: DataFrame, p: Params | None = None) -> DataFrame:
     """#11 revenue, units, distinct products and distinct active months per rep."""
-    return _rep_sales_dec(sales, p.approx_distinct_rsd if p else None).withColumn("total_revenue", to_money("total_revenue"))
+    rsd = p.approx_distinct_rsd if p else None
+    return _rep_sales_cents(sales, rsd).withColumn("total_revenue", to_money("total_revenue"))
 
 
 def _rep_call_fine(call_logs: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
     """
     fine = _rep_call_fine(call_logs)
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
-            .join(_rep_sales_dec(sales, p.approx_distinct_rsd), "rep_id")
+            .join(_rep_sales_cents(sales, p.approx_distinct_rsd), "rep_id")
             .join(_rep_call_stats(fine, p.approx_distinct_rsd), "rep_id")
             .join(_rep_tier_mix(fine, physicians), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))

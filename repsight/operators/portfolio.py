@@ -26,7 +26,7 @@ def _products(products: DataFrame) -> DataFrame:
                            "bcg_quadrant", "market_share_pct", "market_growth_rate", "list_price")
 
 
-def _product_month_dec(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
+def _product_month_cents(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
     fine = (sales.groupBy("product_id", "year", "month_num", "month", "rep_id", "territory_id")
             .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
     monthly = (fine.groupBy("product_id", "year", "month_num", "month")
@@ -39,14 +39,14 @@ def _product_month_dec(sales: DataFrame, products: DataFrame, rsd: float | None
 
 def product_month_rollup(sales: DataFrame, products: DataFrame, p: Params | None = None) -> DataFrame:
     """#20 monthly revenue, units, distinct reps and territories per product."""
-    return _product_month_dec(sales, products, p.approx_distinct_rsd if p else None).select(
+    return _product_month_cents(sales, products, p.approx_distinct_rsd if p else None).select(
         *PRODUCT_ATTRS, "year", "month_num", "month", to_money("monthly_revenue").alias("monthly_revenue"),
         "monthly_units", "reps_selling", "territories_active")
 
 
-def _product_totals_dec(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
+def _product_totals_cents(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
     yr, rev = F.col("year"), F.col("monthly_revenue")
-    return (_product_month_dec(sales, products, p.approx_distinct_rsd).groupBy(*PRODUCT_ATTRS)
+    return (_product_month_cents(sales, products, p.approx_distinct_rsd).groupBy(*PRODUCT_ATTRS)
             .agg(F.sum(rev).alias("total_revenue"),
                  F.sum("monthly_units").cast("bigint").alias("total_units"),
                  F.sum(F.when(yr == p.prior_year, rev)).alias(f"rev_{p.prior_year}"),
@@ -58,7 +58,7 @@ def _product_totals_dec(sales: DataFrame, products: DataFrame, p: Params) -> Dat
 def product_totals(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
     """#21 totals per product; a year without sales gives null revenue for that year."""
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
-    return _product_totals_dec(sales, products, p).select(
+    return _product_totals_cents(sales, products, p).select(
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories")
 
@@ -68,7 +68,7 @@ def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataF
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
     # one row per product (a bounded catalog): the grand total is a window over the whole frame
     grand = to_money(over_all(wide_sum("total_revenue")))
-    return _product_totals_dec(sales, products, p).select(
+    return _product_totals_cents(sales, products, p).select(
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",
         round_half_away(pct_change(y1, y0), 1).alias("revenue_growth_pct"),

@@ -74,6 +74,6 @@ def quadrant_counts(ws: DataFrame) -> DataFrame:
 
 
 def whitespace_total_gap(ws: DataFrame) -> DataFrame:
-    """#10 summed opportunity gap of the Whitespace quadrant (exact decimal sum)."""
+    """#10 summed opportunity gap of the Whitespace quadrant (exact sum in cents)."""
     return (ws.where(F.col("whitespace_quadrant") == "Whitespace")
             .agg(F.coalesce(to_money(money_sum("opportunity_gap_usd")), F.lit(0.0)).alias("total_gap")))
