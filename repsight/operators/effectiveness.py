@@ -17,7 +17,6 @@ from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_
                                       to_money)
 from repsight.functions.ranking import fits_one_task, ntile, over_all, scalar
 from repsight.params import Params
-from repsight.plans.session import ensure_checkpoint_dir
 
 
 def _rep_sales_cents(sales: DataFrame, rsd: float | None = None) -> DataFrame:
@@ -82,8 +81,9 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
 
     Up to ``p.single_task_window_rows`` reps, the best rep and the quartile are
     windows over the whole rep frame (one small exchange). Beyond that, the
-    rep frame is checkpointed once, the best rep is a scalar over it and the
-    quartile is numbered in parallel (``ranking.ntile_distributed``).
+    quartile is numbered in parallel (``ranking.ntile_distributed``, which
+    checkpoints the rep frame once) and the best rep is a scalar over that
+    written frame.
     """
     fine = _rep_call_fine(call_logs)
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
@@ -92,16 +92,7 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
             .join(_rep_tier_mix(fine, physicians), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))
-    one_task = fits_one_task(reps, p.single_task_window_rows)
-    if one_task:
-        best = over_all(F.max("_rpc"))
-    else:
-        ensure_checkpoint_dir(base.sparkSession)
-        base = base.checkpoint(eager=True)
-        best = scalar(base.agg(F.max("_rpc").alias("best")), "best")
-    # bind the best value once; the rounding below references its input several times
-    base = base.withColumn("_pi", F.col("_rpc") / best * 100.0)
-    out = base.select(
+    cols = [
         "rep_id", "rep_name", "territory_id", "region", "experience_years", "education",
         "total_revenue", "total_units", "products_sold", "total_calls", "total_conversions",
         round_half_away(F.col("conversion_rate") * 100.0, 1).alias("conversion_rate_pct"),
@@ -111,8 +102,21 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         round_half_away(safe_div("total_calls", "months_active"), 1).alias("avg_monthly_calls"),
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),
         round_half_away(safe_div("total_revenue", "unique_hcps_visited"), 2).alias("revenue_per_hcp"),
-        round_half_away("_pi", 1).alias("productivity_index"))
-    return ntile(out, p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile", single_task=one_task)
+        "_rpc"]
+    if fits_one_task(reps, p.single_task_window_rows):
+        # one small exchange carries the rep frame to one task for both windows
+        out = ntile(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile")
+        best = over_all(F.max("_rpc"))
+    else:
+        # numbered in parallel; the numbering checkpoints the rep frame, so the best-rep
+        # scalar below reads the written frame instead of recomputing the aggregates
+        out = ntile(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile",
+                    single_task=False)
+        best = scalar(out.agg(F.max("_rpc").alias("best")), "best")
+    # bind the best value once; the rounding below references its input several times
+    out = out.withColumn("_pi", F.col("_rpc") / best * 100.0)
+    return out.select(*[c for c in out.columns if c not in ("_rpc", "_pi", "performance_quartile")],
+                      round_half_away("_pi", 1).alias("productivity_index"), "performance_quartile")
 
 
 def sfe_averages(sfe: DataFrame) -> DataFrame:
