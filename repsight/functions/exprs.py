@@ -98,6 +98,26 @@ def exact_mean(x, scale: int = 2) -> Column:
     return F.sum(_c(x).cast(f"decimal(38,{scale})")).cast("double") / F.count(_c(x)).cast("double")
 
 
+# Fixed point of the exact mean of ratios: each ratio is kept as floor(ratio * 10^15).
+RATIO_FIXED = 10 ** 15
+
+
+def fixed_ratio(num: str, den: str) -> Column:
+    """``floor(num / den * 10^15)`` of two non-negative integer columns, exactly (decimal(38,0))."""
+    return F.expr(f"CAST(CAST(`{num}` AS DECIMAL(38,0)) * {RATIO_FIXED} div `{den}` AS DECIMAL(38,0))")
+
+
+def round_mean_of_fixed(total: str, count: str, scale: float, digits: int) -> Column:
+    """``round(total / count / 10^15 * scale, digits)`` half up, in integer arithmetic.
+
+    ``total`` is a sum of ``fixed_ratio`` values, so the mean of ratios is exact
+    up to 10^-15 and independent of summation order (a double ``avg`` is not).
+    """
+    mult = int(round(scale * 10 ** digits))
+    den = f"CAST(`{count}` AS DECIMAL(38,0)) * {RATIO_FIXED}"
+    return F.expr(f"(2 * (`{total}` * {mult}) + {den}) div (2 * {den})") / float(10 ** digits)
+
+
 def distinct_count(x, approx_rsd: float | None = None) -> Column:
     """``COUNT(DISTINCT x)``: exact, or HyperLogLog++ when ``approx_rsd`` is given (opt-in)."""
     return F.countDistinct(_c(x)) if approx_rsd is None else F.approx_count_distinct(_c(x), rsd=approx_rsd)

@@ -12,21 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import as_int, lookup, rate, round_half_away, safe_div
+from repsight.functions.exprs import (as_int, fixed_ratio, lookup, rate, round_half_away, round_mean_of_fixed,
+                                      safe_div)
 from repsight.functions.ranking import rank_window
 from repsight.params import Params
 
 
-def channel_product_territory_perf(call_logs: DataFrame) -> DataFrame:
-    """#24 interactions, conversions, rate, mean duration and samples per channel × product × territory."""
+def _cells(call_logs: DataFrame) -> DataFrame:
     return (call_logs.groupBy("channel", "product_promoted", "territory_id")
             .agg(F.count(F.lit(1)).alias("total_interactions"),
                  F.sum(as_int("converted")).cast("bigint").alias("conversions"),
-                 rate("converted").alias("conversion_rate"),
-                 F.avg("call_duration_min").alias("avg_duration_min"),
+                 F.sum("call_duration_min").cast("bigint").alias("_duration"),
                  F.sum(as_int("samples_dropped")).cast("bigint").alias("samples_dropped")))
 
 
+def channel_product_territory_perf(call_logs: DataFrame) -> DataFrame:
+    """#24 interactions, conversions, rate, mean duration and samples per channel × product × territory."""
+    return _cells(call_logs).select(
+        "channel", "product_promoted", "territory_id", "total_interactions", "conversions",
+        safe_div("conversions", "total_interactions").alias("conversion_rate"),
+        safe_div("_duration", "total_interactions").alias("avg_duration_min"), "samples_dropped")
+
+
 def channel_summary(call_logs: DataFrame, weighted: bool = False) -> DataFrame:
     """#25 per channel: totals, conversion % and mean duration.
 
@@ -40,12 +47,19 @@ def channel_summary(call_logs: DataFrame, weighted: bool = False) -> DataFrame:
                      round_half_away(rate("converted") * 100.0, 1).alias("avg_conversion_rate_pct"),
                      round_half_away(F.avg("call_duration_min"), 1).alias("avg_duration_min"),
                      F.sum(as_int("samples_dropped")).cast("bigint").alias("total_samples_dropped")))
-    return (channel_product_territory_perf(call_logs).groupBy("channel")
+    # each cell counts once; its rate and mean duration enter as exact fixed-point ratios, so the
+    # means do not depend on the order in which partial sums meet
+    return (_cells(call_logs).groupBy("channel")
             .agg(F.sum("total_interactions").cast("bigint").alias("total_interactions"),
                  F.sum("conversions").cast("bigint").alias("total_conversions"),
-                 round_half_away(F.avg("conversion_rate") * 100.0, 1).alias("avg_conversion_rate_pct"),
-                 round_half_away(F.avg("avg_duration_min"), 1).alias("avg_duration_min"),
-                 F.sum("samples_dropped").cast("bigint").alias("total_samples_dropped")))
+                 F.sum(fixed_ratio("conversions", "total_interactions")).alias("_rate_fx"),
+                 F.sum(fixed_ratio("_duration", "total_interactions")).alias("_dur_fx"),
+                 F.count(F.lit(1)).alias("_cells"),
+                 F.sum("samples_dropped").cast("bigint").alias("total_samples_dropped"))
+            .select("channel", "total_interactions", "total_conversions",
+                    round_mean_of_fixed("_rate_fx", "_cells", 100.0, 1).alias("avg_conversion_rate_pct"),
+                    round_mean_of_fixed("_dur_fx", "_cells", 1.0, 1).alias("avg_duration_min"),
+                    "total_samples_dropped"))
 
 
 def channel_cost(call_logs: DataFrame, p: Params) -> DataFrame:

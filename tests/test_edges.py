@@ -154,3 +154,12 @@ def test_call_plan_sample_with_string_ids(star):
     assert {r.rep_id for r in draws} == {"R1"}
     assert len(draws) == 6 * P.period_months
     assert {r.hcp_id for r in draws} <= {"H1", "H2", "H3", "H4", "H5", "H6"}
+
+
+def test_unweighted_channel_mean_is_exact_on_a_tie(spark):
+    # cell rates 3/10 and 1/200: the mean is exactly 15.25 %, which rounds half away to 15.3
+    rows = [("T1", i < 3) for i in range(10)] + [("T2", i < 1) for i in range(200)]
+    calls = spark.createDataFrame(
+        [(f"C{i}", "R1", "H1", t, "P1", _d(2024, 1), _d(2024, 1), 2024, 1, "A", "x", cv, 10, False)
+         for i, (t, cv) in enumerate(rows)], CALL_LOGS)
+    assert promotion.channel_summary(calls).collect()[0].avg_conversion_rate_pct == 15.3
