@@ -26,7 +26,7 @@ def _norm(v):
     if isinstance(v, bool):
         return f"b{int(v)}"
     if isinstance(v, float):
-        return "f" + (repr(v + 0.0) if v == v else "nan")
+        return "f" + (repr(v) if v == v else "nan")      # repr keeps the sign of zero: strict
     if isinstance(v, int):
         return f"i{v}"
     if isinstance(v, decimal.Decimal):
