@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,9 @@ SF0001 = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from repsight.plans.session import local_session
-    s = local_session(cores=4, shuffle_partitions=4,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="repsight-test-ckpt-")})
+    # the configured spark.checkpoint.dir is used when there is one; otherwise local_session
+    # sets a temporary folder (local mode only)
+    s = local_session(cores=4, shuffle_partitions=4)
     yield s
     s.stop()
 
