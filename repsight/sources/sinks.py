@@ -29,8 +29,14 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         raise ValueError(f"unknown format {fmt!r}")
 
 
+# Rows per written file: a task that holds a skewed share of a table still writes
+# files of bounded size (readers then split them over many tasks).
+MAX_RECORDS_PER_FILE = 5_000_000
+
+
 def write_tables(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None,
-                 fmt: str = "parquet", mode: str = "overwrite") -> None:
+                 fmt: str = "parquet", mode: str = "overwrite",
+                 max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
     """Write each frame to ``path/<name>`` (CSV: ``path/<name>.csv`` with a header).
 
     The writes are independent jobs; they are submitted together so the
@@ -40,7 +46,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, partition_by: dict[str
 
     def one(item: tuple[str, DataFrame]) -> None:
         name, df = item
-        w = df.write.mode(mode)
+        w = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
         if fmt == "csv":
             w.option("header", True).csv(os.path.join(path, f"{name}.csv"))
             return
