@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion,
                                 reports, whitespace)
-from repsight.oracle import FILTER_SCOPE_REGION
 from repsight.params import Params
+from repsight.sources.fixtures import SCOPE_REGION
 from repsight.sources.schema import Star
 
 Query = Callable[[Star, Params], DataFrame]
@@ -79,7 +79,7 @@ QUERIES: dict[str, Query] = {
     "top_territories": lambda s, p: reports.top_territories(s.sales, s.territories, p),
     "whitespace_kpis": lambda s, p: reports.whitespace_kpis(_ws(s, p)),
     "quadrant_scatter": lambda s, p: reports.quadrant_scatter(_ws(s, p)),
-    "filter_scope": lambda s, p: reports.filter_scope(_ws(s, p), region=FILTER_SCOPE_REGION),
+    "filter_scope": lambda s, p: reports.filter_scope(_ws(s, p), region=SCOPE_REGION),
     "high_potential_low_realization": lambda s, p: reports.high_potential_low_realization(_ws(s, p), p),
     "coverage_mandate_list": lambda s, p: reports.coverage_mandate_list(_cov(s, p), p),
     "channel_cost_ratio": lambda s, p: reports.channel_cost_ratio(_promo(s, p)),
