@@ -68,9 +68,12 @@ def channel_cost(call_logs: DataFrame, p: Params) -> DataFrame:
             .select("channel", lookup("channel", p.channel_costs).cast("bigint").alias("cost_per_interaction")))
 
 
-def promotional_response(call_logs: DataFrame, p: Params, weighted: bool = False) -> DataFrame:
-    """#27 channel summary + cost, cost per conversion (from the rounded rate) and two ranks."""
-    summary = channel_summary(call_logs, weighted)
+def promotional_response(call_logs: DataFrame, p: Params, weighted: bool | None = None) -> DataFrame:
+    """#27 channel summary + cost, cost per conversion (from the rounded rate) and two ranks.
+
+    ``weighted`` defaults to ``p.weighted_channel_rates``.
+    """
+    summary = channel_summary(call_logs, p.weighted_channel_rates if weighted is None else weighted)
     cost = channel_cost(call_logs, p)
     cpi = F.col("cost_per_interaction").cast("double")
     cpc = safe_div(cpi, F.col("avg_conversion_rate_pct") / F.lit(100.0))

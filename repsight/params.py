@@ -54,6 +54,9 @@ class Params:
 
     # promotion
     channel_costs: tuple[tuple[str, int], ...] = DEFAULT_CHANNEL_COSTS
+    # channel rates: unweighted mean of channel x product x territory cells (the published
+    # rule) or, when True, conversions over interactions
+    weighted_channel_rates: bool = False
 
     # tiles
     revenue_tiles: int = 5             # territory quintiles

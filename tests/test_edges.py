@@ -163,3 +163,11 @@ def test_unweighted_channel_mean_is_exact_on_a_tie(spark):
         [(f"C{i}", "R1", "H1", t, "P1", _d(2024, 1), _d(2024, 1), 2024, 1, "A", "x", cv, 10, False)
          for i, (t, cv) in enumerate(rows)], CALL_LOGS)
     assert promotion.channel_summary(calls).collect()[0].avg_conversion_rate_pct == 15.3
+
+
+def test_weighted_rates_through_params(star):
+    un = {r.channel: r.avg_conversion_rate_pct for r in promotion.promotional_response(star.call_logs, P).collect()}
+    we = {r.channel: r.avg_conversion_rate_pct
+          for r in promotion.promotional_response(star.call_logs, P.with_(weighted_channel_rates=True)).collect()}
+    assert set(un) == set(we)
+    assert we["In-Person Visit"] == 50.0          # 12 of 24 calls
