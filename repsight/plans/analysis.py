@@ -44,6 +44,12 @@ def _sink_order(p: Params) -> dict[str, list[Column]]:
     }
 
 
+# Results bounded by a dimension (territories, products, channels, states, one KPI row) are
+# written as one file, like the original; rep- and HCP-level results keep one file per task.
+SINGLE_FILE = ("m1_sales_performance", "m2_whitespace_analysis", "m5_product_portfolio",
+               "m5b_product_monthly_trend", "m6_promotional_response", "kpi_summary", "state_map_data",
+               "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary")
+
 # Output names of the original run, plus the dashboard datasets.
 RESULTS = ("m1_sales_performance", "m2_whitespace_analysis", "m3_sfe_metrics", "m4_hcp_coverage_gap",
            "m5_product_portfolio", "m5b_product_monthly_trend", "m6_promotional_response", "kpi_summary",
@@ -85,10 +91,13 @@ def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
             df = builders[name]()
             if name in order:
                 df = df.orderBy(*order[name])
+            if name in SINGLE_FILE:
+                df = df.coalesce(1)        # keeps the sorted order: partitions are concatenated in order
             write_result(df, os.path.join(out_dir, name), fmt)
             written.append(name)
         if only is None or "dataset_summary" in only:
-            write_result(builders["dataset_summary"](), os.path.join(out_dir, "dataset_summary_json"), "json")
+            write_result(builders["dataset_summary"]().coalesce(1), os.path.join(out_dir, "dataset_summary_json"),
+                         "json")
     finally:
         for df in cached:
             df.unpersist()
