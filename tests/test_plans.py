@@ -75,3 +75,22 @@ def test_calls_push_line_filter_and_prune_columns(star001):
     text = plan_text(star001.call_logs.groupBy("channel").count())
     assert "LessThanOrEqual(line_no,2)" in text
     assert "ReadSchema: struct<channel:string,line_no:int>" in text
+
+
+def test_plans_stay_within_budget(spark, fp, star001):
+    """No query gains a shuffle, a single-partition exchange or a subquery unnoticed
+    (budget recorded from the reviewed plans in tests/plan_budget.json)."""
+    import json
+    import os
+
+    from repsight.plans.catalog import QUERIES
+    from repsight.plans.inspect import census
+    budget = json.load(open(os.path.join(os.path.dirname(__file__), "plan_budget.json")))
+    assert set(budget) == set(QUERIES)
+    over = {}
+    for name, q in QUERIES.items():
+        c = census(q(star001, fp))
+        worse = {k: (c[k], v) for k, v in budget[name].items() if c[k] > v}
+        if worse:
+            over[name] = worse
+    assert not over, over
