@@ -79,8 +79,9 @@ def call_plan_sample(reps: DataFrame, physicians: DataFrame, p: Params) -> DataF
     weighted by tier. ``n = floor(clip(productivity × 20, 5, 22))``, at most the number
     of HCPs in the territory.
 
-    Within a territory, HCPs in ``hcp_id`` order own consecutive integer intervals
-    ``[lo, hi)`` of the cumulative weight; draw ``u`` picks the interval holding
+    Within a territory, HCPs in a fixed order (``hcp_id`` order for integer ids,
+    see ``ranking.running_sum``) own consecutive integer intervals ``[lo, hi)``
+    of the cumulative weight; draw ``u`` picks the interval holding
     ``u × total / M``. The lookup is an equi-join on (territory, cell of width
     max-weight) plus the exact interval test: each draw meets at most a few
     intervals, never all HCPs of its territory.
