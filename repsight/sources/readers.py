@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv"):
         return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
                 .option("dateFormat", "yyyy-MM-dd").csv(path))
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
+        # a partition column (year of the facts) comes back last: restore the declared order
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     raise ValueError(f"unknown format {fmt!r}")
 
 

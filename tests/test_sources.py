@@ -64,3 +64,12 @@ def test_command_line_run(spark, star):  # noqa: F811
     assert main(["--star", os.path.join(d, "star"), "--out", out, "--only", "kpi_summary", "m6_promotional_response",
                  "--set", "revenue_per_mpi_point=9000.0"]) == 0
     assert sorted(os.listdir(out)) == ["kpi_summary", "m6_promotional_response"]
+
+
+def test_parquet_layout_round_trip(spark, star):  # noqa: F811
+    d = tempfile.mkdtemp(prefix="repsight-pq-")
+    write_star(star, d)                       # facts partitioned by year
+    back = read_star(spark, d, fmt="parquet")
+    for name, df in star.tables().items():
+        assert back.tables()[name].schema == df.schema, name
+        assert _rows(back.tables()[name].select(df.columns)) == _rows(df), name
