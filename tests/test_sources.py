@@ -73,3 +73,21 @@ def test_parquet_layout_round_trip(spark, star):  # noqa: F811
     for name, df in star.tables().items():
         assert back.tables()[name].schema == df.schema, name
         assert _rows(back.tables()[name].select(df.columns)) == _rows(df), name
+
+
+def test_reads_original_style_csv(spark):
+    from repsight.sources.readers import read_table
+    d = tempfile.mkdtemp(prefix="repsight-orig-")
+    with open(os.path.join(d, "call_logs.csv"), "w") as f:
+        f.write("call_id,rep_id,hcp_id,territory_id,product_promoted,call_date,month,year,month_num,channel,"
+                "call_outcome,converted,call_duration_min,samples_dropped\n"
+                "C0000001,R001,H0001,T001,P003,2023-01-17,2023-01-01,2023,1,In-Person Visit,"
+                "Positive - Prescription Written,True,23,False\n")
+    with open(os.path.join(d, "sales.csv"), "w") as f:
+        f.write("sale_id,rep_id,territory_id,product_id,month,year,month_num,units_sold,revenue_usd,discount_pct,"
+                "net_revenue_usd\nS000001,R001,T001,P003,2023-01-01,2023,1,12,15234.56,0.125,13330.24\n")
+    calls = read_table(spark, os.path.join(d, "call_logs.csv"), "call_logs").collect()[0]
+    sales = read_table(spark, os.path.join(d, "sales.csv"), "sales").collect()[0]
+    assert calls.converted is True and calls.samples_dropped is False and calls.call_duration_min == 23
+    assert str(calls.call_date) == "2023-01-17" and calls.year == 2023
+    assert str(sales.revenue_usd) == "15234.56" and str(sales.discount_pct) == "0.125"
