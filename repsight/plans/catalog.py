@@ -99,3 +99,7 @@ QUERIES: dict[str, Query] = {
     "deployment_segment": lambda s, p: prep.deployment_segment(s.reps, s.territories, p),
     "dataset_summary": lambda s, p: prep.dataset_summary(s),
 }
+
+
+# Operator number of each registered query in the inventory.
+INVENTORY_NUMBER: dict[str, int] = {name: i for i, name in enumerate(QUERIES, start=1)}

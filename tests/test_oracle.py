@@ -43,3 +43,11 @@ def test_column_types_match_oracle(spark, duck001):
         if st != dt:
             bad[name] = {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
     assert not bad, bad
+
+
+def test_inventory_numbers():
+    from repsight.plans.catalog import INVENTORY_NUMBER
+    assert sorted(INVENTORY_NUMBER.values()) == list(range(1, 49))
+    assert [INVENTORY_NUMBER[n] for n in ("whitespace_analysis", "sfe_metrics", "hcp_coverage_gap",
+                                          "promotional_response", "kpi_summary", "state_map",
+                                          "call_plan_sample", "dataset_summary")] == [8, 14, 17, 27, 29, 30, 45, 48]
