@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import license_scans, secret_scans, sql
 from .common import table
+from .html_extraction import extract_pages
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .nearest import nearest
 from .packing import pack
 from .quality_rules import quality
 from .token_output import token_binary
@@ -23,16 +25,36 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#3 HTML extraction: the main text of all pages."""
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """#4 Line dedup: the texts of all documents without globally repeated multi-line chunks."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#5 Approximate nearest neighbours: every 50th vector against all, the 5 of largest cosine."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#6 Secret scans: spans in all documents, encoded layers included."""
+    return secret_scans.digest(secret_scans.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """#7 Quality rules: measurements, failure bits and verdict of all documents."""
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#8 License scans: phrases, templates and scores of all documents."""
+    return license_scans.digest(license_scans.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """#9 Best-fit packing: the pieces of all documents in sequences of 4096 ids."""
     return pack(table(spark, sf_dir, "documents")).drop("fill", "round")
@@ -44,6 +66,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_line_dedup, op7_quality_rules, op9_packing, op10_token_output)
+    f.__name__: f for f in (op1_mixing, op3_html_extraction, op4_line_dedup, op5_nearest, op6_secret_scans, op7_quality_rules, op8_license_scans, op9_packing, op10_token_output)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": sql.MIXING, "op4_line_dedup": sql.LINE_DEDUP, "op7_quality_rules": sql.QUALITY}
