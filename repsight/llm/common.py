@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package where they could not import it by themselves."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_repsight_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="repsight-ship-"), "repsight.zip")  # on the driver; Spark's file server hands it out
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.glob("repsight/**/*.py")):
+            z.write(f, f.relative_to(root))
+    sys_path = list(sys.path)
+    spark.sparkContext.addPyFile(str(path))
+    sys.path[:] = sys_path  # the driver keeps its own copy
+    spark.sparkContext._repsight_shipped = True
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 

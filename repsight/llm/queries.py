@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scans, secret_scans, sql
-from .common import table
+from .common import ship, table
 from .html_extraction import extract_pages
+from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .nearest import nearest
@@ -25,6 +27,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#2 N-gram Jaccard join: shingle counts, components and links of all documents."""
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """#3 HTML extraction: the main text of all pages."""
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -65,7 +72,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_html_extraction, op4_line_dedup, op5_nearest, op6_secret_scans, op7_quality_rules, op8_license_scans, op9_packing, op10_token_output)
+    f.__name__: _shipped(f) for f in (op1_mixing, op2_jaccard_join, op3_html_extraction, op4_line_dedup, op5_nearest, op6_secret_scans,
+                                      op7_quality_rules, op8_license_scans, op9_packing, op10_token_output)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": sql.MIXING, "op4_line_dedup": sql.LINE_DEDUP, "op7_quality_rules": sql.QUALITY}
