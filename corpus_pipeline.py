@@ -33,8 +33,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass every rule of the default policy."""
-    return apply_policy(ledger(docs)).filter("kept").select(*docs.columns)
+    """Keeps the documents that pass every rule of the default policy.
+
+    The ledger is stored first: a filter on its bits would otherwise be pushed
+    below the projections that measure, and measure again for every rule.
+    """
+    return apply_policy(written(ledger(docs), "ledger")).filter("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
