@@ -19,12 +19,14 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-#: Entries of a worker's chunk table; it is emptied when full, which costs time only.
-CHUNK_ENTRIES = 500_000
+#: Entries of a worker's tables of chunks and of pieces, and ids held for them; a full table is emptied, which costs time only.
+CHUNK_ENTRIES, PIECE_ENTRIES, HELD_IDS = 600_000, 600_000, 8_000_000
 #: Characters handled at once, so that one very long text needs no list of all its words.
 SEGMENT_CHARS = 1 << 20
-# The tokenizer's split pattern, restricted to printable ASCII after lower-casing.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The tokenizer's split pattern, restricted to printable ASCII and the Latin letters U+00C0..U+017F after lower-casing.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Chunks of these characters are in normal form, lower-case letter by letter, and hold no white space.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 def default_vocabulary() -> str:
@@ -34,8 +36,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_names() -> list[str]:
+    """The characters that stand for the bytes in byte-level vocabularies: printable Latin-1 for itself, the others in turn from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class _Chunks(dict):
-    """chunk -> number; the chunk's ids stand in ``flat`` from ``first[number]`` on."""
+    """chunk -> number; the chunk's ids stand in ``flat`` from ``first[number]`` on, and so do those of its pieces."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -44,30 +53,46 @@ class _Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.names = _byte_names()
+        self.pieces: dict[str, int] = {}
         self.flat, self.first = array("i"), array("q", [0])
 
+    def _put(self, ids: list[int] | array) -> int:
+        self.flat.extend(ids)
+        self.first.append(len(self.flat))
+        return len(self.first) - 2
+
+    def _piece(self, piece: str) -> int:
+        n = self.pieces.get(piece)
+        if n is None:
+            named = piece if piece.isascii() else "".join([self.names[b] for b in piece.encode()])
+            self.pieces[piece] = n = self._put([t.id for t in self.tokenizer.model.tokenize(named)])
+        return n
+
     def __missing__(self, chunk: str) -> int:
-        if chunk.isascii() and chunk.isprintable():
-            tokenize = self.tokenizer.model.tokenize
-            for piece in _ASCII_PIECES.findall(chunk.lower()):
-                self.flat.extend([t.id for t in tokenize(piece)])
+        if _PLAIN.fullmatch(chunk):
+            parts = [self._piece(p) for p in _PIECES.findall(chunk.lower())]
+            first, flat = self.first, self.flat
+            n = parts[0] if len(parts) == 1 else self._put([x for p in parts for x in flat[first[p] : first[p + 1]]])
         else:
-            self.flat.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        self.first.append(len(self.flat))
-        self[chunk] = n = len(self.first) - 2
+            n = self._put(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        self[chunk] = n
         return n
 
     def ids(self, chunks: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         first, flat = np.frombuffer(self.first, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
         start, n = first[at], first[at + 1] - first[at]
-        where = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else start, n)
+        where = np.repeat(start - (np.cumsum(n) - n), n)
         return flat[where + np.arange(len(where))]
 
     def trim(self) -> None:
-        if len(self) > CHUNK_ENTRIES:
+        if len(self.flat) > HELD_IDS or len(self.pieces) > PIECE_ENTRIES:
             self.clear()
+            self.pieces.clear()
             self.flat, self.first = array("i"), array("q", [0])
+        elif len(self) > CHUNK_ENTRIES:
+            self.clear()
 
 
 @lru_cache(maxsize=2)
