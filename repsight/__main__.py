@@ -3,8 +3,8 @@
     python -m repsight --star DIR [--star-format csv|parquet] --out DIR [--format csv|parquet|json]
     python -m repsight --tpch DIR --out DIR            # the TPC-H-shaped test tables, fixture parameters
 
-Under ``spark-submit`` the session of the submission is used; otherwise a
-local one. Parameters can be overridden with ``--set name=value``.
+Under ``spark-submit`` the job runs on the submitted master; with plain
+``python`` on the one of Spark's own settings (local if there are none). Parameters can be overridden with ``--set name=value``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from repsight.params import Params, fixture_params
+from repsight.plans.session import RECOMMENDED_CONF
 from repsight.plans.analysis import RESULTS, run_analysis
 
 
@@ -43,15 +44,13 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", required=True, help="output folder (one sub-folder per result)")
     ap.add_argument("--format", default="csv", choices=("csv", "parquet", "json"))
     ap.add_argument("--only", nargs="*", choices=RESULTS, help="write only these results")
+    ap.add_argument("--region", help="narrow the results that carry a region")
+    ap.add_argument("--territory", help="narrow the results that carry a territory")
     ap.add_argument("--set", nargs="*", default=[], metavar="NAME=VALUE", help="override a parameter")
     args = ap.parse_args(argv)
 
-    active = SparkSession.getActiveSession()
-    if active is None:
-        from repsight.plans.session import local_session
-        spark = local_session()
-    else:
-        spark = active
+    # the master comes from the submission or the Spark settings, never from here
+    spark = SparkSession.getActiveSession() or SparkSession.builder.config(map=RECOMMENDED_CONF).getOrCreate()
     if args.tpch:
         from repsight.sources.fixtures import fixture_star
         p = _params(fixture_params(), args.set)
@@ -60,7 +59,8 @@ def main(argv: list[str] | None = None) -> int:
         from repsight.sources.readers import read_star
         p = _params(Params(), args.set)
         star = read_star(spark, args.star, fmt=args.star_format)
-    written = run_analysis(star, p, args.out, fmt=args.format, only=tuple(args.only) if args.only else None)
+    written = run_analysis(star, p, args.out, fmt=args.format, only=tuple(args.only) if args.only else None,
+                           region=args.region, territory_id=args.territory)
     print("\n".join(f"wrote {args.out.rstrip('/')}/{name}" for name in written))
     return 0
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,12 @@ def round_half_away(x, digits: int = 0) -> Column:
     return F.when(y < 0, -F.round(-y, 0)).otherwise(F.round(y, 0)) / scale
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, computed once per row however often later columns use it
+    (a projection would be inlined into each of them, scalar subqueries and all)."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def safe_div(num, den) -> Column:
     """``num / nullif(den, 0)`` as a double; null when the denominator is 0 or null."""
     d = _c(den)
@@ -98,24 +104,26 @@ def exact_mean(x, scale: int = 2) -> Column:
     return F.sum(_c(x).cast(f"decimal(38,{scale})")).cast("double") / F.count(_c(x)).cast("double")
 
 
-# Fixed point of the exact mean of ratios: each ratio is kept as floor(ratio * 10^15).
+# Fixed point of the mean of ratios: each ratio is kept as round(ratio * 10^15).
 RATIO_FIXED = 10 ** 15
 
 
 def fixed_ratio(num: str, den: str) -> Column:
-    """``floor(num / den * 10^15)`` of two non-negative integer columns, exactly (decimal(38,0))."""
-    return F.expr(f"CAST(CAST(`{num}` AS DECIMAL(38,0)) * {RATIO_FIXED} div `{den}` AS DECIMAL(38,0))")
+    """``num / den * 10^15`` of two non-negative integer columns, rounded to nearest (decimal(38,0))."""
+    return F.expr(f"CAST((2 * CAST(`{num}` AS DECIMAL(38,0)) * {RATIO_FIXED} + `{den}`) div (2 * CAST(`{den}` AS DECIMAL(38,0))) AS DECIMAL(38,0))")
 
 
 def round_mean_of_fixed(total: str, count: str, scale: float, digits: int) -> Column:
-    """``round(total / count / 10^15 * scale, digits)`` half up, in integer arithmetic.
+    """Mean of ``fixed_ratio`` values times ``scale``, rounded half up to ``digits`` places.
 
-    ``total`` is a sum of ``fixed_ratio`` values, so the mean of ratios is exact
-    up to 10^-15 and independent of summation order (a double ``avg`` is not).
+    The mean is first rounded to 10^-12. A mean that is a tie, built from
+    ratios that 10^-15 can't hold, so is that tie again, and rounds up; and
+    the result does not depend on the order of summation.
     """
     mult = int(round(scale * 10 ** digits))
-    den = f"CAST(`{count}` AS DECIMAL(38,0)) * {RATIO_FIXED}"
-    return F.expr(f"(2 * (`{total}` * {mult}) + {den}) div (2 * {den})") / float(10 ** digits)
+    step = f"CAST(`{count}` AS DECIMAL(38,0)) * 1000"
+    snapped = f"CAST((2 * `{total}` + {step}) div (2 * {step}) AS DECIMAL(38,0))"
+    return F.expr(f"(2 * {snapped} * {mult} + {10 ** 12}) div (2 * {10 ** 12})") / float(10 ** digits)
 
 
 def distinct_count(x, approx_rsd: float | None = None) -> Column:
@@ -136,14 +144,15 @@ def lookup(key, pairs: Iterable[tuple], default=None) -> Column:
 
 # ---------------------------------------------------------------- labels
 
+def _by_two(first: Column, second: Column, labels: tuple[str, str, str, str]) -> Column:
+    """The label of two tests: both, only the first, only the second, none."""
+    place = F.lit(1) + F.when(first, 0).otherwise(2) + F.when(second, 0).otherwise(1)
+    return F.element_at(F.array(*map(F.lit, labels)), place)
+
+
 def whitespace_quadrant(mpi, revenue, med_mpi, med_revenue) -> Column:
-    """Star / Whitespace / Saturated / Abandon by ``>=`` against the medians."""
-    hi_pot = _c(mpi) >= _c(med_mpi)
-    hi_rev = _c(revenue) >= _c(med_revenue)
-    return (F.when(hi_pot & hi_rev, "Star")
-            .when(hi_pot & (_c(revenue) < _c(med_revenue)), "Whitespace")
-            .when((_c(mpi) < _c(med_mpi)) & hi_rev, "Saturated")
-            .otherwise("Abandon"))
+    """Star / Whitespace / Saturated / Abandon by ``>=`` against the medians; a missing value counts as low."""
+    return _by_two(_c(mpi) >= _c(med_mpi), _c(revenue) >= _c(med_revenue), ("Star", "Whitespace", "Saturated", "Abandon"))
 
 
 def coverage_status(tier, monthly_calls, total_calls, p) -> Column:
@@ -157,12 +166,8 @@ def coverage_status(tier, monthly_calls, total_calls, p) -> Column:
 
 
 def bcg_label(share, growth, p) -> Column:
-    s, g = _c(share), _c(growth)
-    hi_s, hi_g = s >= p.bcg_share_cut, g >= p.bcg_growth_cut
-    return (F.when(hi_s & hi_g, "Star")
-            .when(hi_s & (g < p.bcg_growth_cut), "Cash Cow")
-            .when((s < p.bcg_share_cut) & hi_g, "Question Mark")
-            .otherwise("Dog"))
+    """Star / Cash Cow / Question Mark / Dog by ``>=`` against the cut-offs; a missing value counts as low."""
+    return _by_two(_c(share) >= p.bcg_share_cut, _c(growth) >= p.bcg_growth_cut, ("Star", "Cash Cow", "Question Mark", "Dog"))
 
 
 def deployment_label(mpi, productivity, p) -> Column:

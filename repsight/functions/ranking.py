@@ -1,4 +1,4 @@
-"""Global NTILE / RANK / ROW_NUMBER, running sums, and one-row scalars.
+"""Global NTILE / RANK / ROW_NUMBER and one-row scalars.
 
 An un-partitioned window (``ntile(k) OVER (ORDER BY x)``) moves every row to
 one task. That is right for a bounded frame (territories, products, channels)
@@ -9,7 +9,8 @@ and wrong for entities that grow with the data (reps, HCPs). For the latter,
    held by a third of the rows, because the unique key is part of the sort
    key), sort within partitions;
 2. write a reliable checkpoint, so the counting pass and the numbering pass
-   see the very same partitions (re-sampling could move bounds);
+   see the very same partitions (re-sampling could move bounds); its files go
+   with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``);
 3. count rows per partition (one row per partition — bounded by the
    partition count, so broadcasting it is safe) and turn the counts into
    offsets;
@@ -25,8 +26,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from repsight.functions.exprs import once
 from repsight.plans.session import ensure_checkpoint_dir
 
 
@@ -34,11 +35,6 @@ def _order(cols: Sequence) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c).asc_nulls_last() for c in cols]
 
 
-def fits_one_task(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 # ------------------------------------------------------------ window forms
 
 def ntile_window(df: DataFrame, k: int, order: Sequence, out: str) -> DataFrame:
@@ -89,42 +85,8 @@ def tile_of(row_number: Column, n_rows: Column, k: int) -> Column:
 
 def ntile_distributed(df: DataFrame, k: int, order: Sequence, out: str) -> DataFrame:
     numbered = global_row_number(df, order, out="_rn")
-    n_rows = numbered.agg(F.count(F.lit(1))).scalar()
-    return numbered.withColumn(out, tile_of(F.col("_rn"), n_rows, k)).drop("_rn")
-
-
-def ntile(df: DataFrame, k: int, order: Sequence, out: str, single_task: bool = True) -> DataFrame:
-    """NTILE with the plain window for bounded frames and the distributed form beyond."""
-    if single_task:
-        return ntile_window(df, k, order, out)
-    return ntile_distributed(df, k, order, out)
-
-
-# ------------------------------------------------------------ running sums
-
-def running_sum(df: DataFrame, group: Sequence[str], key: str, value: str, out: str,
-                bucket_width: int = 1 << 16, hash_buckets: int = 1 << 12) -> DataFrame:
-    """Inclusive running sum of ``value`` within ``group``, ordered by (bucket, ``key``).
-
-    ``key`` is unique within a group. An integer key is cut into buckets of
-    ``bucket_width`` consecutive values, so the order is plain ``key`` order;
-    any other key goes to one of ``hash_buckets`` hash buckets (a fixed,
-    repeatable order). Bucket totals give offsets, and the in-bucket window
-    holds a bounded share of a group, so a group holding a third of all rows is
-    still spread over many tasks.
-    """
-    if isinstance(df.schema[key].dataType, T.IntegralType):
-        b = F.expr(f"`{key}` div {bucket_width}")
-    else:
-        b = F.pmod(F.xxhash64(F.col(key)), F.lit(hash_buckets))
-    with_b = df.withColumn("_bucket", b)
-    totals = with_b.groupBy(*group, "_bucket").agg(F.sum(value).alias("_btot"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_bucket", F.coalesce(F.sum("_btot").over(before), F.lit(0)).alias("_boff"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (with_b.join(offsets, [*group, "_bucket"])
-            .withColumn(out, F.col("_boff") + F.sum(value).over(inside))
-            .drop("_bucket", "_boff"))
+    numbered = once(numbered, "_n_rows", numbered.agg(F.count(F.lit(1))).scalar())
+    return numbered.withColumn(out, tile_of(F.col("_rn"), F.col("_n_rows"), k)).drop("_rn", "_n_rows")
 
 
 # ------------------------------------------------------------ scalars

@@ -1,7 +1,7 @@
 """M4 — HCP coverage gap (operators 16-19).
 
-Calls are reduced per HCP (one partial aggregation, distinct counts over the
-HCP × rep × month reduction), then the HCP dimension is left-joined so that
+Calls are reduced per HCP straight from the facts (counts and distinct counts
+aggregate partially before the shuffle), then the HCP dimension is left-joined so that
 unreached HCPs stay, zero-filled. At scale both sides are keyed by ``hcp_id``
 and the aggregate's output partitioning feeds the join directly.
 """
@@ -20,13 +20,11 @@ PHYSICIAN_COLS = ("hcp_id", "hcp_name", "territory_id", "specialty", "prescriber
 
 def hcp_call_stats(call_logs: DataFrame, p: Params) -> DataFrame:
     """#16 calls, distinct reps and months, conversion rate and calls per month of the fixed period."""
-    fine = (call_logs.groupBy("hcp_id", "rep_id", "month")
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum(as_int("converted")).alias("_conv")))
-    return (fine.groupBy("hcp_id")
-            .agg(F.sum("_n").cast("bigint").alias("total_calls_received"),
+    return (call_logs.groupBy("hcp_id")
+            .agg(F.count(F.lit(1)).alias("total_calls_received"),
                  distinct_count("rep_id", p.approx_distinct_rsd).alias("unique_reps"),
                  distinct_count("month", p.approx_distinct_rsd).alias("months_contacted"),
-                 F.sum("_conv").alias("_conv"))
+                 F.sum(as_int("converted")).alias("_conv"))
             .select("hcp_id", "total_calls_received", "unique_reps", "months_contacted",
                     safe_div("_conv", "total_calls_received").alias("conversion_rate"),
                     (F.col("total_calls_received").cast("double") / F.lit(float(p.period_months)))

@@ -1,11 +1,9 @@
 """M3 — sales-force effectiveness per rep (operators 11-15).
 
-Distinct counts are taken over facts first reduced to the finest key they
-need (rep × product × month for sales, rep × HCP × month for calls), so the
-Expand step behind several ``count(distinct)`` only copies the reduced rows.
-The best rep's revenue per call and the quartile are global; they use a
-window over the rep frame while it fits one task and a checkpoint plus the
-distributed NTILE beyond (see ``sfe_metrics``).
+Counts, sums and distinct counts come straight from the facts, so their
+partial aggregation runs before the only shuffle. The quartile of a rep is
+numbered in parallel (``ranking.ntile_distributed``), whatever the number of
+reps, and the best rep's revenue per call is a one-row scalar.
 """
 
 from __future__ import annotations
@@ -13,18 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, round_half_away, safe_div,
+from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, once, round_half_away, safe_div,
                                       to_money)
-from repsight.functions.ranking import fits_one_task, ntile, over_all, scalar
+from repsight.functions.ranking import ntile_distributed, scalar
 from repsight.params import Params
 
 
 def _rep_sales_cents(sales: DataFrame, rsd: float | None = None) -> DataFrame:
-    fine = (sales.groupBy("rep_id", "product_id", "month")
-            .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
-    return (fine.groupBy("rep_id")
-            .agg(F.sum("_rev").alias("total_revenue"),
-                 F.sum("_units").cast("bigint").alias("total_units"),
+    return (sales.groupBy("rep_id")
+            .agg(money_sum("revenue_usd").alias("total_revenue"),
+                 F.sum("units_sold").cast("bigint").alias("total_units"),
                  distinct_count("product_id", rsd).alias("products_sold"),
                  distinct_count("month", rsd).alias("active_months")))
 
@@ -35,61 +31,57 @@ def rep_sales_totals(sales: DataFrame, p: Params | None = None) -> DataFrame:
     return _rep_sales_cents(sales, rsd).withColumn("total_revenue", to_money("total_revenue"))
 
 
-def _rep_call_fine(call_logs: DataFrame) -> DataFrame:
-    """Calls reduced to rep × HCP × month; shared by #12 and #13 so one plan reuses its exchange."""
-    return (call_logs.groupBy("rep_id", "hcp_id", "month")
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum(as_int("converted")).alias("_conv"),
-                 F.sum("call_duration_min").alias("_dur")))
+def _call_aggregates(rsd: float | None) -> list[F.Column]:
+    return [F.count(F.lit(1)).alias("total_calls"), F.sum(as_int("converted")).cast("bigint").alias("total_conversions"),
+            distinct_count("hcp_id", rsd).alias("unique_hcps_visited"), distinct_count("month", rsd).alias("months_active"),
+            F.sum("call_duration_min").alias("_dur")]
 
 
-def _rep_call_stats(fine: DataFrame, rsd: float | None = None) -> DataFrame:
-    return (fine.groupBy("rep_id")
-            .agg(F.sum("_n").cast("bigint").alias("total_calls"),
-                 F.sum("_conv").cast("bigint").alias("total_conversions"),
-                 distinct_count("hcp_id", rsd).alias("unique_hcps_visited"),
-                 distinct_count("month", rsd).alias("months_active"),
-                 F.sum("_dur").alias("_dur"))
-            .select("rep_id", "total_calls", "total_conversions",
-                    safe_div("total_conversions", "total_calls").alias("conversion_rate"),
-                    "unique_hcps_visited", "months_active",
-                    safe_div("_dur", "total_calls").alias("avg_call_duration_min")))
+def _call_ratios() -> list[F.Column]:
+    return [safe_div("total_conversions", "total_calls").alias("conversion_rate"),
+            safe_div("_dur", "total_calls").alias("avg_call_duration_min")]
 
 
-def _rep_tier_mix(fine: DataFrame, physicians: DataFrame) -> DataFrame:
-    tier = F.col("prescriber_tier")
-    return (fine.join(physicians.select("hcp_id", "prescriber_tier"), "hcp_id")
-            .groupBy("rep_id")
-            .agg(F.sum(F.when(tier == "A", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_a_calls"),
-                 F.sum(F.when(tier == "B", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_b_calls"),
-                 F.sum(F.when(tier == "C", F.col("_n")).otherwise(0)).cast("bigint").alias("tier_c_calls")))
+def _tier_aggregates() -> list[F.Column]:
+    return [F.sum(F.when(F.col("prescriber_tier") == t, 1).otherwise(0)).cast("bigint").alias(f"tier_{t.lower()}_calls")
+            for t in ("A", "B", "C")]
 
 
 def rep_call_stats(call_logs: DataFrame, p: Params | None = None) -> DataFrame:
     """#12 calls, conversions, rate, distinct HCPs and months, mean duration per rep."""
-    return _rep_call_stats(_rep_call_fine(call_logs), p.approx_distinct_rsd if p else None)
+    rate, duration = _call_ratios()
+    return (call_logs.groupBy("rep_id").agg(*_call_aggregates(p.approx_distinct_rsd if p else None))
+            .select("rep_id", "total_calls", "total_conversions", rate, "unique_hcps_visited", "months_active", duration))
 
 
 def rep_tier_mix(call_logs: DataFrame, physicians: DataFrame) -> DataFrame:
     """#13 calls to tier A / B / C HCPs per rep (0 when none)."""
-    return _rep_tier_mix(_rep_call_fine(call_logs), physicians)
+    return (call_logs.select("rep_id", "hcp_id").join(physicians.select("hcp_id", "prescriber_tier"), "hcp_id")
+            .groupBy("rep_id").agg(*_tier_aggregates()))
+
+
+def _rep_calls(call_logs: DataFrame, physicians: DataFrame, rsd: float | None) -> DataFrame:
+    """#12 and #13 in one pass over the calls; a rep needs a call to a known HCP, as #13 does."""
+    known = physicians.select("hcp_id", "prescriber_tier", F.lit(1).alias("_known"))
+    rate, duration = _call_ratios()
+    return (call_logs.select("rep_id", "hcp_id", "month", "converted", "call_duration_min").join(known, "hcp_id", "left")
+            .groupBy("rep_id").agg(*_call_aggregates(rsd), *_tier_aggregates(), F.sum("_known").alias("_matched"))
+            .where(F.col("_matched") > 0)
+            .select("rep_id", "total_calls", "total_conversions", rate, "unique_hcps_visited", "months_active", duration,
+                    "tier_a_calls", "tier_b_calls", "tier_c_calls"))
 
 
 def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame,
                 p: Params) -> DataFrame:
     """#14 one row per rep with both sales and calls: rates, per-call and per-HCP revenue,
-    productivity index against the best rep, revenue quartile.
+    productivity index against the best rep (null when no rep has revenue), revenue quartile.
 
-    Up to ``p.single_task_window_rows`` reps, the best rep and the quartile are
-    windows over the whole rep frame (one small exchange). Beyond that, the
-    quartile is numbered in parallel (``ranking.ntile_distributed``, which
-    checkpoints the rep frame once) and the best rep is a scalar over that
-    written frame.
+    The numbering checkpoints the rep frame once; the best rep is a scalar over
+    that written frame.
     """
-    fine = _rep_call_fine(call_logs)
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
             .join(_rep_sales_cents(sales, p.approx_distinct_rsd), "rep_id")
-            .join(_rep_call_stats(fine, p.approx_distinct_rsd), "rep_id")
-            .join(_rep_tier_mix(fine, physicians), "rep_id")
+            .join(_rep_calls(call_logs, physicians, p.approx_distinct_rsd), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))
     cols = [
@@ -103,18 +95,9 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),
         round_half_away(safe_div("total_revenue", "unique_hcps_visited"), 2).alias("revenue_per_hcp"),
         "_rpc"]
-    if fits_one_task(reps, p.single_task_window_rows):
-        # one small exchange carries the rep frame to one task for both windows
-        out = ntile(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile")
-        best = over_all(F.max("_rpc"))
-    else:
-        # numbered in parallel; the numbering checkpoints the rep frame, so the best-rep
-        # scalar below reads the written frame instead of recomputing the aggregates
-        out = ntile(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile",
-                    single_task=False)
-        best = scalar(out.agg(F.max("_rpc").alias("best")), "best")
-    # bind the best value once; the rounding below references its input several times
-    out = out.withColumn("_pi", F.col("_rpc") / best * 100.0)
+    out = ntile_distributed(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile")
+    best = scalar(out.agg(F.max("_rpc").alias("best")), "best")
+    out = once(out, "_pi", F.col("_rpc") / F.nullif(best, F.lit(0.0)) * 100.0)
     return out.select(*[c for c in out.columns if c not in ("_rpc", "_pi", "performance_quartile")],
                       round_half_away("_pi", 1).alias("productivity_index"), "performance_quartile")
 

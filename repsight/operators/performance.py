@@ -1,8 +1,8 @@
 """M1 — sales performance per territory (operators 1-3).
 
 Sales are reduced to one row per territory and year before the territory
-dimension (bounded by geography; 25 nations on the fixtures) is broadcast
-onto them. Money stays an exact count of cents until the public output.
+dimension (bounded by geography; 25 nations on the fixtures) is joined to
+them. Money stays an exact count of cents until the public output.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repsight.functions.exprs import distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money
-from repsight.functions.ranking import ntile
+from repsight.functions.ranking import ntile_window
 from repsight.params import Params
 
 TERRITORY_ATTRS = ("market_potential_index", "competitor_intensity", "urban_index", "num_target_hcps")
@@ -27,7 +27,7 @@ def _yearly(sales: DataFrame, rsd: float | None = None) -> DataFrame:
 
 def territory_year_rollup(sales: DataFrame, territories: DataFrame, p: Params | None = None) -> DataFrame:
     """#1 revenue, net revenue, units and distinct reps per territory, region and year."""
-    return (_yearly(sales, p.approx_distinct_rsd if p else None).join(F.broadcast(territories.select("territory_id", "region")), "territory_id")
+    return (_yearly(sales, p.approx_distinct_rsd if p else None).join(territories.select("territory_id", "region"), "territory_id")
             .select("territory_id", "region", "year", to_money("revenue").alias("revenue"),
                     to_money("net_revenue").alias("net_revenue"), "units", "active_reps"))
 
@@ -47,7 +47,7 @@ def _pivot(sales: DataFrame, p: Params) -> DataFrame:
 def territory_year_pivot(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
     """#2 one row per territory with prior/current revenue and units."""
     y0, y1 = p.prior_year, p.current_year
-    return (_pivot(sales, p).join(F.broadcast(territories.select("territory_id", "region")), "territory_id")
+    return (_pivot(sales, p).join(territories.select("territory_id", "region"), "territory_id")
             .select("territory_id", "region", to_money(f"rev_{y0}").alias(f"rev_{y0}"),
                     to_money(f"rev_{y1}").alias(f"rev_{y1}"), f"units_{y0}", f"units_{y1}", "active_reps"))
 
@@ -55,7 +55,7 @@ def territory_year_pivot(sales: DataFrame, territories: DataFrame, p: Params) ->
 def _performance_base(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
     """Pivot joined to the territory attributes, money in cents (territories with sales only)."""
     dims = territories.select("territory_id", "region", "state", *TERRITORY_ATTRS)
-    return _pivot(sales, p).join(F.broadcast(dims), "territory_id")
+    return _pivot(sales, p).join(dims, "territory_id")
 
 
 def sales_performance(sales: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
@@ -69,4 +69,4 @@ def sales_performance(sales: DataFrame, territories: DataFrame, p: Params) -> Da
         round_half_away(safe_div(cur, "market_potential_index"), 2).alias("revenue_per_mpi"),
         "state")
     # territories are a bounded dimension: the plain window is the right plan
-    return ntile(out, p.revenue_tiles, [f"rev_{y1}", "territory_id"], "revenue_quintile")
+    return ntile_window(out, p.revenue_tiles, [f"rev_{y1}", "territory_id"], "revenue_quintile")

@@ -1,8 +1,7 @@
 """M5 — product portfolio (operators 20-23).
 
-Sales are reduced to product × month (distinct reps and territories counted
-over the product × month × rep × territory reduction) before the product
-dimension is joined. The product dimension is not hinted: its size is
+Sales are reduced to product × month straight from the facts, before the
+product dimension is joined. The product dimension is not hinted: its size is
 whatever the catalog holds, so the optimizer's size threshold (and AQE at
 run time, on the measured size) decides whether to broadcast it.
 """
@@ -12,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import (distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money,
+from repsight.functions.exprs import (distinct_count, money_sum, once, pct_change, round_half_away, to_money,
                                       wide_sum)
-from repsight.functions.ranking import over_all
+from repsight.functions.ranking import scalar
 from repsight.params import Params
 
 PRODUCT_ATTRS = ("product_id", "product_name", "therapeutic_area", "bcg_quadrant", "market_share_pct",
@@ -27,11 +26,9 @@ def _products(products: DataFrame) -> DataFrame:
 
 
 def _product_month_cents(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
-    fine = (sales.groupBy("product_id", "year", "month_num", "month", "rep_id", "territory_id")
-            .agg(money_sum("revenue_usd").alias("_rev"), F.sum("units_sold").alias("_units")))
-    monthly = (fine.groupBy("product_id", "year", "month_num", "month")
-               .agg(F.sum("_rev").alias("monthly_revenue"),
-                    F.sum("_units").cast("bigint").alias("monthly_units"),
+    monthly = (sales.groupBy("product_id", "year", "month_num", "month")
+               .agg(money_sum("revenue_usd").alias("monthly_revenue"),
+                    F.sum("units_sold").cast("bigint").alias("monthly_units"),
                     distinct_count("rep_id", rsd).alias("reps_selling"),
                     distinct_count("territory_id", rsd).alias("territories_active")))
     return monthly.join(_products(products), "product_id")
@@ -66,13 +63,13 @@ def product_totals(sales: DataFrame, products: DataFrame, p: Params) -> DataFram
 def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
     """#22 product totals + YoY growth % and share of all revenue %."""
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
-    # one row per product (a bounded catalog): the grand total is a window over the whole frame
-    grand = to_money(over_all(wide_sum("total_revenue")))
-    return _product_totals_cents(sales, products, p).select(
+    totals = _product_totals_cents(sales, products, p)
+    grand = to_money(scalar(totals.agg(wide_sum("total_revenue").alias("grand")), "grand"))
+    return once(totals, "_share", to_money("total_revenue") / F.nullif(grand, F.lit(0.0)) * 100.0).select(
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",
         round_half_away(pct_change(y1, y0), 1).alias("revenue_growth_pct"),
-        round_half_away(safe_div(to_money("total_revenue"), grand) * 100.0, 1).alias("portfolio_share_pct"))
+        round_half_away("_share", 1).alias("portfolio_share_pct"))
 
 
 def product_monthly_trend(sales: DataFrame, products: DataFrame) -> DataFrame:

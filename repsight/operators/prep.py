@@ -1,29 +1,21 @@
 """Data preparation steps, re-aimed from row loops to table jobs (operators 40-48).
 
-The original generator walks reps, months and HCPs in nested Python loops
-with a random generator. Here the deterministic parts become joins,
-generators (``explode(sequence(..))``) and aggregates; the weighted draw of
-HCPs (#45) uses a hash of the keys instead of a random state, so it is
-repeatable and can be checked against SQL.
+The original generator walks reps, months and HCPs in nested Python loops.
+Here its deterministic parts are joins, generators (``explode(sequence(..))``)
+and aggregates; its random draw (#45) is no query and isn't rebuilt.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from repsight.functions.exprs import (bcg_label, deployment_label, lookup, money_sum, round_half_away, safe_div,
                                       to_money, wide_sum)
-from repsight.functions.ranking import over_all, running_sum, scalar
+from repsight.functions.ranking import over_all, scalar
 from repsight.params import Params
 from repsight.sources.schema import Star
 
-# Fixed values of the repeatable draw: u = (rep*A + month*B + draw*C) mod M, uniform on [0, M).
-DRAW_MODULUS = 1_000_003
-DRAW_MULT_REP, DRAW_MULT_MONTH, DRAW_MULT_DRAW = 7919, 104729, 15485863
-
-
 def bcg_quadrant(products: DataFrame, p: Params) -> DataFrame:
     """#40 Star / Cash Cow / Question Mark / Dog from market share and market growth."""
     return (products.drop("bcg_quadrant")
@@ -39,7 +31,7 @@ def net_revenue(sales: DataFrame) -> DataFrame:
 def rep_region_enrichment(reps: DataFrame, territories: DataFrame) -> DataFrame:
     """#42 region of each rep, looked up through the rep's territory."""
     return (reps.select("rep_id", "territory_id")
-            .join(F.broadcast(territories.select("territory_id", "region")), "territory_id", "left")
+            .join(territories.select("territory_id", "region"), "territory_id", "left")
             .select("rep_id", "territory_id", "region"))
 
 
@@ -63,56 +55,10 @@ def call_plan_weights(physicians: DataFrame, p: Params) -> DataFrame:
     """
     w = physicians.select("territory_id", "hcp_id", _tier_weight(p).alias("_w"))
     totals = w.groupBy("territory_id").agg(F.sum("_w").alias("_tot"))
-    return (w.join(F.broadcast(totals), "territory_id")
+    return (w.join(totals, "territory_id")
             .select("territory_id", "hcp_id", safe_div("_w", "_tot").alias("weight")))
 
 
-def _key_int(df: DataFrame, col: str) -> F.Column:
-    """Integer form of a key for the hash draw: the key itself, or 48 bits of its md5."""
-    if isinstance(df.schema[col].dataType, T.IntegralType):
-        return F.col(col).cast("bigint")
-    return F.conv(F.substring(F.md5(F.col(col).cast("string")), 1, 12), 16, 10).cast("bigint")
-
-
-def call_plan_sample(reps: DataFrame, physicians: DataFrame, p: Params) -> DataFrame:
-    """#45 per rep and month, ``n`` HCPs of the rep's territory drawn with replacement,
-    weighted by tier. ``n = floor(clip(productivity × 20, 5, 22))``, at most the number
-    of HCPs in the territory.
-
-    Within a territory, HCPs in a fixed order (``hcp_id`` order for integer ids,
-    see ``ranking.running_sum``) own consecutive integer intervals ``[lo, hi)``
-    of the cumulative weight; draw ``u`` picks the interval holding
-    ``u × total / M``. The lookup is an equi-join on (territory, cell of width
-    max-weight) plus the exact interval test: each draw meets at most a few
-    intervals, never all HCPs of its territory.
-    """
-    m = DRAW_MODULUS
-    width = max(v for _, v in p.tier_weights_tenths)
-    w = physicians.select("territory_id", "hcp_id", _tier_weight(p).alias("_w")).where(F.col("_w") > 0)
-    hi = running_sum(w, ["territory_id"], "hcp_id", "_w", "_hi")
-    cells = (hi.withColumn("_lo", F.col("_hi") - F.col("_w"))
-             .withColumn("_cell", F.explode(F.sequence(F.expr(f"_lo div {width}"), F.expr(f"(_hi - 1) div {width}"))))
-             .select("territory_id", "_cell", "_lo", "_hi", "hcp_id"))
-    # one row per territory: bounded by the territory dimension
-    totals = w.groupBy("territory_id").agg(F.sum("_w").alias("_tot"), F.count(F.lit(1)).alias("_n_hcp"))
-    raw_n = F.floor(F.least(F.greatest(F.col("productivity_score") * F.lit(p.calls_per_productivity),
-                                       F.lit(float(p.min_monthly_calls))),
-                            F.lit(float(p.max_monthly_calls)))).cast("bigint")
-    draws = (reps.select("rep_id", "territory_id", "productivity_score", _key_int(reps, "rep_id").alias("_rk"))
-             .join(F.broadcast(totals), "territory_id")
-             .withColumn("_n", F.least(raw_n, F.col("_n_hcp")))
-             .withColumn("_mi", F.explode(F.sequence(F.lit(0), F.lit(p.period_months - 1))))
-             .withColumn("draw_no", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
-             .withColumn("_u", (F.col("_rk") * DRAW_MULT_REP + F.col("_mi").cast("bigint") * DRAW_MULT_MONTH
-                                + F.col("draw_no").cast("bigint") * DRAW_MULT_DRAW) % m)
-             .withColumn("_x", F.col("_u") * F.col("_tot"))
-             .withColumn("_cell", F.expr(f"_x div {width * m}")))
-    hit = (F.col("_x") >= F.col("_lo") * m) & (F.col("_x") < F.col("_hi") * m)
-    return (draws.join(cells, ["territory_id", "_cell"]).where(hit)
-            .select("rep_id", F.add_months(F.lit(p.period_start), F.col("_mi")).alias("month"),
-                    "draw_no", "hcp_id"))
-
-
 def rep_month_spine(reps: DataFrame, sales: DataFrame, p: Params) -> DataFrame:
     """#46 every rep × every month of the period, with revenue and a silent-month flag."""
     start = F.lit(p.period_start)
@@ -127,7 +73,7 @@ def rep_month_spine(reps: DataFrame, sales: DataFrame, p: Params) -> DataFrame:
 def deployment_segment(reps: DataFrame, territories: DataFrame, p: Params) -> DataFrame:
     """#47 Underperforming / Oversaturated / Normal from territory MPI and rep productivity."""
     return (reps.select("rep_id", "territory_id", "productivity_score")
-            .join(F.broadcast(territories.select("territory_id", "market_potential_index")), "territory_id")
+            .join(territories.select("territory_id", "market_potential_index"), "territory_id")
             .select("rep_id", "territory_id",
                     deployment_label("market_potential_index", "productivity_score", p).alias("deployment_segment")))
 

@@ -25,11 +25,11 @@ def state_map(sales: DataFrame, territories: DataFrame, ws: DataFrame, p: Params
             .agg(to_money(wide_sum(f"rev_{y1}")).alias("_cur"),
                  to_money(wide_sum(f"rev_{y0}")).alias("_prior"),
                  F.count(F.lit(1)).alias("territory_count")))
-    gaps = (ws.join(F.broadcast(territories.select("territory_id", "state")), "territory_id")
+    gaps = (ws.join(territories.select("territory_id", "state"), "territory_id")
             .groupBy("state")
             .agg(to_money(money_sum("opportunity_gap_usd")).alias("_gap"),
                  F.count(F.when(F.col("whitespace_quadrant") == "Whitespace", F.lit(1))).alias("whitespace_count")))
-    return (perf.join(F.broadcast(gaps), "state", "left")      # one row per state: bounded
+    return (perf.join(gaps, "state", "left")      # one row per state: bounded
             .select("state", round_half_away("_cur", 0).alias(f"rev_{y1}"), F.col("_prior").alias(f"rev_{y0}"),
                     "territory_count", round_half_away(pct_change("_cur", "_prior"), 1).alias("yoy_growth_pct"),
                     round_half_away("_gap", 0).alias("opportunity_gap"), "whitespace_count"))
@@ -89,6 +89,13 @@ def coverage_mandate_list(coverage: DataFrame, p: Params) -> DataFrame:
                         F.col("estimated_monthly_revenue_potential") * F.lit(float(p.months_per_year))))
 
 
+def coverage_mandate_tier(coverage: DataFrame, p: Params) -> DataFrame:
+    """#37, second list: HCPs of the mandate tier visited less than the mandate rate, with their annual revenue potential."""
+    return (coverage.where((F.col("prescriber_tier") == p.mandate_tier) & (F.col("avg_monthly_calls") < p.mandate_visits))
+            .withColumn("annual_revenue_potential",
+                        F.col("estimated_monthly_revenue_potential") * F.lit(float(p.months_per_year))))
+
+
 def channel_cost_ratio(promo: DataFrame) -> DataFrame:
     """#38 dearest and cheapest channel by cost per conversion, and their ratio."""
     cpc, ch = F.col("cost_per_conversion"), F.col("channel")

@@ -37,8 +37,8 @@ def territory_potential(territories: DataFrame, sales: DataFrame, call_logs: Dat
     mpi = F.col("market_potential_index")
     potential = mpi * F.lit(p.revenue_per_mpi_point)
     actual = F.coalesce(F.col("total_revenue"), F.lit(0.0))
-    # both aggregates hold at most one row per territory: bounded by the dimension, safe to broadcast
-    return (territories.join(F.broadcast(ts), "territory_id", "left").join(F.broadcast(tc), "territory_id", "left")
+    # both aggregates hold at most one row per territory; the measured size decides how they join
+    return (territories.join(ts, "territory_id", "left").join(tc, "territory_id", "left")
             .select("territory_id", "region", mpi.alias("mpi"), "competitor_intensity", "urban_index",
                     "num_target_hcps",
                     actual.alias("actual_revenue"),

@@ -19,14 +19,9 @@ DEFAULT_CHANNEL_COSTS: tuple[tuple[str, int], ...] = (
     ("Email Follow-up", 8),
     ("Speaker Program", 280),
 )
-# Same five costs keyed by the fixture's channel column (o_orderpriority).
-FIXTURE_CHANNEL_COSTS: tuple[tuple[str, int], ...] = (
-    ("1-URGENT", 180),
-    ("2-HIGH", 35),
-    ("3-MEDIUM", 450),
-    ("4-NOT SPECIFIED", 8),
-    ("5-LOW", 280),
-)
+# The same costs, in the same order, for the channels of the test tables (o_orderpriority).
+FIXTURE_CHANNEL_COSTS: tuple[tuple[str, int], ...] = tuple(
+    zip(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), (c for _, c in DEFAULT_CHANNEL_COSTS), strict=True))
 # Revenue factor per prescriber tier for the monthly potential; others get ``other_tier_factor``.
 DEFAULT_TIER_FACTORS: tuple[tuple[str, float], ...] = (("A", 1.0), ("B", 0.6))
 # Call-plan weights per tier (0.5 / 0.3 / 0.2), kept as integers in tenths so sums are exact.
@@ -39,6 +34,7 @@ class Params:
     prior_year: int = 2023
     current_year: int = 2024
     period_months: int = 24            # fixed period for HCP monthly calls
+    first_year: int | None = None      # first year of that period; None: prior_year
     months_per_year: int = 12          # annualisation of monthly potential
 
     # whitespace
@@ -61,9 +57,6 @@ class Params:
     # tiles
     revenue_tiles: int = 5             # territory quintiles
     rep_tiles: int = 4                 # rep quartiles
-    # an ordered window over at most this many rows runs as one task; beyond it
-    # the distributed numbering of functions.ranking is used
-    single_task_window_rows: int = 2_000_000
 
     # product portfolio (BCG) cut-offs
     bcg_share_cut: float = 0.15
@@ -74,6 +67,7 @@ class Params:
     low_realization_pct: float = 30.0
     mandate_rx: int = 50
     mandate_visits: float = 1.0
+    mandate_tier: str = "A"            # the finding's second list: this tier, visited less than that
 
     # deployment segments (MPI / 100 against productivity score)
     under_mpi: float = 0.7
@@ -81,11 +75,8 @@ class Params:
     over_mpi: float = 0.4
     over_productivity: float = 0.7
 
-    # call plan sample
+    # call plan weights
     tier_weights_tenths: tuple[tuple[str, int], ...] = DEFAULT_TIER_WEIGHTS_TENTHS
-    calls_per_productivity: float = 20.0
-    min_monthly_calls: int = 5
-    max_monthly_calls: int = 22
 
     # report scope
     top_n: int = 5
@@ -104,19 +95,14 @@ class Params:
             problems.append("tile counts and top_n must be positive")
         if not self.tier_a_critical <= self.tier_a_under:
             problems.append("tier_a_critical must not exceed tier_a_under")
-        if any(w < 0 for _, w in self.tier_weights_tenths) or self.min_monthly_calls > self.max_monthly_calls:
-            problems.append("call-plan weights must be >= 0 and min_monthly_calls <= max_monthly_calls")
+        if any(w < 0 for _, w in self.tier_weights_tenths):
+            problems.append("call-plan weights must be >= 0")
         if problems:
             raise ValueError("; ".join(problems))
 
     @property
     def period_start(self) -> _dt.date:
-        return _dt.date(self.prior_year, 1, 1)
-
-    @property
-    def period_end(self) -> _dt.date:
-        """Exclusive end of the two-year window."""
-        return _dt.date(self.current_year + 1, 1, 1)
+        return _dt.date(self.first_year or self.prior_year, 1, 1)
 
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)
@@ -127,11 +113,15 @@ def fixture_params() -> Params:
     return Params(
         prior_year=1999,
         current_year=2000,
+        first_year=1995,
+        period_months=84,
         revenue_per_mpi_point=400_000.0,
-        tier_a_critical=0.25,
-        tier_a_under=0.4,
-        tier_b_under=0.15,
+        tier_a_critical=0.35,
+        tier_a_under=0.5,
+        tier_b_under=0.3,
+        bcg_share_cut=1 / 6,
+        bcg_growth_cut=0.2555,
         channel_costs=FIXTURE_CHANNEL_COSTS,
         mandate_rx=50,
-        mandate_visits=0.25,
+        mandate_visits=0.45,
     )

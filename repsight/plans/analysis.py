@@ -46,14 +46,19 @@ def _sink_order(p: Params) -> dict[str, list[Column]]:
 
 # Results bounded by a dimension (territories, products, channels, states, one KPI row) are
 # written as one file, like the original; rep- and HCP-level results keep one file per task.
-SINGLE_FILE = ("m1_sales_performance", "m2_whitespace_analysis", "m5_product_portfolio",
-               "m5b_product_monthly_trend", "m6_promotional_response", "kpi_summary", "state_map_data",
-               "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary")
+SINGLE_FILE = ("m1_sales_performance", "m2_whitespace_analysis", "m6_promotional_response", "kpi_summary",
+               "state_map_data", "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary",
+               "quadrant_counts", "whitespace_total_gap", "sfe_averages", "coverage_status_counts",
+               "critical_gap_revenue", "quadrant_scatter", "high_potential_low_realization", "channel_cost_ratio",
+               "state_revenue_spread")
 
 # Output names of the original run, plus the dashboard datasets.
 RESULTS = ("m1_sales_performance", "m2_whitespace_analysis", "m3_sfe_metrics", "m4_hcp_coverage_gap",
            "m5_product_portfolio", "m5b_product_monthly_trend", "m6_promotional_response", "kpi_summary",
-           "state_map_data", "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary")
+           "state_map_data", "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary",
+           "quadrant_counts", "whitespace_total_gap", "sfe_averages", "coverage_status_counts", "critical_gap_revenue",
+           "quadrant_scatter", "high_potential_low_realization", "coverage_mandate_list", "coverage_mandate_tier",
+           "channel_cost_ratio", "state_revenue_spread")
 
 
 def analysis_results(star: Star, p: Params) -> tuple[dict[str, Callable[[], DataFrame]], list[DataFrame]]:
@@ -76,19 +81,36 @@ def analysis_results(star: Star, p: Params) -> tuple[dict[str, Callable[[], Data
         "top_territories": lambda: reports.top_territories(star.sales, star.territories, p),
         "whitespace_kpis": lambda: reports.whitespace_kpis(ws),
         "dataset_summary": lambda: prep.dataset_summary(star),
+        "quadrant_counts": lambda: whitespace.quadrant_counts(ws),
+        "whitespace_total_gap": lambda: whitespace.whitespace_total_gap(ws),
+        "sfe_averages": lambda: effectiveness.sfe_averages(builders["m3_sfe_metrics"]()),
+        "coverage_status_counts": lambda: coverage.coverage_status_counts(cov),
+        "critical_gap_revenue": lambda: coverage.critical_gap_revenue(cov),
+        "quadrant_scatter": lambda: reports.quadrant_scatter(ws),
+        "high_potential_low_realization": lambda: reports.high_potential_low_realization(ws, p),
+        "coverage_mandate_list": lambda: reports.coverage_mandate_list(cov, p),
+        "coverage_mandate_tier": lambda: reports.coverage_mandate_tier(cov, p),
+        "channel_cost_ratio": lambda: reports.channel_cost_ratio(promotion.promotional_response(star.call_logs, p)),
+        "state_revenue_spread": lambda: reports.state_revenue_spread(star.sales, star.territories, p),
     }
     return builders, [ws, cov]
 
 
 def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
-                 only: tuple[str, ...] | None = None) -> list[str]:
-    """Write every result under ``out_dir/<name>``; the dataset summary also as JSON."""
+                 only: tuple[str, ...] | None = None, region: str | None = None, territory_id=None) -> list[str]:
+    """Write every result under ``out_dir/<name>``; the dataset summary also as JSON.
+
+    ``region`` and ``territory_id`` narrow the finished results that carry
+    those columns (#35), after medians and ranks.
+    """
     builders, cached = analysis_results(star, p)
     order = _sink_order(p)
     written = []
     try:
         for name in only or RESULTS:
             df = builders[name]()
+            df = reports.filter_scope(df, region if "region" in df.columns else None,
+                                      territory_id if "territory_id" in df.columns else None)
             if name in order:
                 df = df.orderBy(*order[name])
             if name in SINGLE_FILE:

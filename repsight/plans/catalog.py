@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion,
                                 reports, whitespace)
 from repsight.params import Params
-from repsight.sources.fixtures import SCOPE_REGION
+from repsight.sources.fixtures import SCOPE_REGION, SCOPE_TERRITORY
 from repsight.sources.schema import Star
 
 Query = Callable[[Star, Params], DataFrame]
@@ -94,12 +94,20 @@ QUERIES: dict[str, Query] = {
     "rep_region_enrichment": lambda s, p: prep.rep_region_enrichment(s.reps, s.territories),
     "territory_hcp_share": lambda s, p: prep.territory_hcp_share(s.territories),
     "call_plan_weights": lambda s, p: prep.call_plan_weights(s.physicians, p),
-    "call_plan_sample": lambda s, p: prep.call_plan_sample(s.reps, s.physicians, p),
     "rep_month_spine": lambda s, p: prep.rep_month_spine(s.reps, s.sales, p),
     "deployment_segment": lambda s, p: prep.deployment_segment(s.reps, s.territories, p),
     "dataset_summary": lambda s, p: prep.dataset_summary(s),
 }
 
 
-# Operator number of each registered query in the inventory.
-INVENTORY_NUMBER: dict[str, int] = {name: i for i, name in enumerate(QUERIES, start=1)}
+# Operator number of each registered query in the inventory; #45, a random draw, is no query.
+INVENTORY_NUMBER: dict[str, int] = dict(zip(QUERIES, [i for i in range(1, 49) if i != 45], strict=True))
+
+# The checked options of some operators, registered beside them.
+QUERIES |= {
+    "filter_scope_territory": lambda s, p: reports.filter_scope(_ws(s, p), territory_id=SCOPE_TERRITORY),
+    "coverage_mandate_tier": lambda s, p: reports.coverage_mandate_tier(_cov(s, p), p),
+    "channel_summary_weighted": lambda s, p: promotion.channel_summary(s.call_logs, weighted=True),
+    "promotional_response_weighted": lambda s, p: promotion.promotional_response(s.call_logs, p, weighted=True),
+}
+INVENTORY_NUMBER |= {"filter_scope_territory": 35, "coverage_mandate_tier": 37, "channel_summary_weighted": 25, "promotional_response_weighted": 27}

@@ -23,6 +23,8 @@ RECOMMENDED_CONF: dict[str, str] = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files are removed once the frame that wrote them is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # no Python call-site capture on every Column function: cuts plan-building round trips ~4x
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # a full analysis run compiles a few hundred distinct whole-stage classes; the default

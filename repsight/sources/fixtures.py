@@ -1,26 +1,21 @@
 """The driver's TPC-H-shaped tables seen as the six star-schema tables.
 
 Mapping (FIXTURES.md §2): a nation is a territory, a supplier a rep, a
-customer an HCP, a part type a product; a line item of an order dated in the
-two-year window is a sale, and its first two lines are calls. Every view is
-lazy, so Catalyst prunes columns and pushes the date range into the
-``orders`` scan for each query separately.
+customer an HCP, a part type a product; every line item is a sale and a call,
+dated by its order. Every view is lazy: a query reads the given tables, and
+Catalyst prunes their columns for it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
-import threading
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repsight.functions.exprs import bcg_label, lookup
+from repsight.functions.exprs import bcg_label
 from repsight.params import Params
-from repsight.plans.session import ensure_checkpoint_dir
 from repsight.sources.schema import Star
 from repsight.sources.sinks import read_tables, write_tables
 
@@ -43,19 +38,13 @@ TPCH_SCHEMAS: dict[str, T.StructType] = {
                      ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _TS)],
     }.items()}
 
-# Fixed values of the fixture mapping (FIXTURES.md §2): product attributes per part type;
-# any other type gets the last value.
-PRODUCT_LIST_PRICE = (("ECONOMY", 420), ("STANDARD", 680), ("MEDIUM", 1250), ("SMALL", 310), ("PROMO", 290))
-PRODUCT_LIST_PRICE_OTHER = 890
-PRODUCT_SHARE = (("ECONOMY", 0.28), ("STANDARD", 0.18), ("MEDIUM", 0.12), ("SMALL", 0.31), ("PROMO", 0.08))
-PRODUCT_SHARE_OTHER = 0.05
-PRODUCT_GROWTH = (("ECONOMY", 0.04), ("STANDARD", 0.22), ("MEDIUM", 0.31), ("SMALL", 0.02), ("PROMO", 0.18))
-PRODUCT_GROWTH_OTHER = 0.06
-EDUCATION = ("B.Pharm", "MBA", "B.Sc Life Sciences", "M.Sc Pharmacology")      # by s_suppkey % 4
+# Own words for attributes that are only carried along.
+EDUCATION = ("College", "Apprenticeship", "Evening School", "Self-taught")      # by s_suppkey % 4
 # Region used by the registered page-scope query (#35) on these tables.
 SCOPE_REGION = "AMERICA"
-AFFILIATION = ("Academic", "Community", "Private Practice", "Group Practice")   # by c_custkey % 4
-ENGAGEMENT = ("High", "Medium", "Low")                                         # by c_custkey % 3
+SCOPE_TERRITORY = 7
+AFFILIATION = ("North Wing", "South Wing", "Harbour Clinic", "Hill Clinic")     # by c_custkey % 4
+ENGAGEMENT = ("online", "mixed", "offline")                                    # by c_custkey % 3
 
 
 def read_tpch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -73,7 +62,7 @@ def _pick(idx, values) -> F.Column:
 def territories(t: dict[str, DataFrame]) -> DataFrame:
     hcps = t["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("num_target_hcps"))
     k = F.col("n_nationkey")
-    return (t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
             .join(hcps, k == F.col("c_nationkey"), "left")
             .select(k.cast("bigint").alias("territory_id"),
                     F.col("r_name").alias("region"),
@@ -86,19 +75,22 @@ def territories(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def products(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    ty = F.col("p_type")
-    base = (t["part"].select(ty).distinct()
-            .select(ty.alias("product_id"), ty.alias("name"), ty.alias("therapeutic_area"),
-                    lookup(ty, PRODUCT_LIST_PRICE, PRODUCT_LIST_PRICE_OTHER).cast("bigint").alias("list_price"),
-                    lookup(ty, PRODUCT_SHARE, PRODUCT_SHARE_OTHER).cast("double").alias("market_share_pct"),
-                    lookup(ty, PRODUCT_GROWTH, PRODUCT_GROWTH_OTHER).cast("double").alias("market_growth_rate")))
+    """One product per part type: mean price, share of all parts, mean part size as growth."""
+    per = t["part"].groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p_size").cast("bigint")).alias("size"),
+                                          F.sum(F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("cents"))
+    every = t["part"].agg(F.count(F.lit(1))).scalar()
+    ty, n = F.col("p_type"), F.col("n")
+    base = per.select(ty.alias("product_id"), ty.alias("name"), ty.alias("therapeutic_area"),
+                      F.expr("cents div (100 * n)").cast("bigint").alias("list_price"),
+                      (n.cast("double") / every.cast("double")).alias("market_share_pct"),
+                      (F.col("size").cast("double") / (n * 100).cast("double")).alias("market_growth_rate"))
     return base.withColumn("bcg_quadrant", bcg_label("market_share_pct", "market_growth_rate", p))
 
 
 def reps(t: dict[str, DataFrame]) -> DataFrame:
     k = F.col("s_suppkey")
-    geo = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
-    return (t["supplier"].join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+    geo = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return (t["supplier"].join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(k.alias("rep_id"), F.col("s_name").alias("rep_name"),
                     F.col("s_nationkey").cast("bigint").alias("territory_id"),
                     F.col("r_name").alias("region"),
@@ -119,28 +111,21 @@ def physicians(t: dict[str, DataFrame]) -> DataFrame:
         _pick(k % 3, ENGAGEMENT).alias("digital_engagement"))
 
 
-def _window_lines(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    """Line items of orders dated inside the two-year window, with rep territory and product."""
-    start = F.lit(p.period_start.isoformat()).cast("timestamp_ntz")
-    end = F.lit(p.period_end.isoformat()).cast("timestamp_ntz")
-    od = F.col("o_orderdate")
-    orders = t["orders"].where((od >= start) & (od < end))
+def _lines(t: dict[str, DataFrame]) -> DataFrame:
+    """All line items with their order, rep territory and product."""
     return (t["lineitem"]
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(t["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")))
 
 
-def order_lines(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    """Every line item of the window with the columns of both facts.
-
-    Sales are all of these rows and calls their first two lines, so one pass
-    over the large join (line items × orders × suppliers × parts) feeds both.
-    """
+def order_lines(t: dict[str, DataFrame]) -> DataFrame:
+    """Every line item with the columns of both facts, so one pass over the large join
+    (line items × orders × suppliers × parts) feeds both."""
     od = F.col("o_orderdate")
     rev = F.col("l_extendedprice").cast("decimal(18,2)")
     disc = F.col("l_discount").cast("decimal(5,3)")
-    return _window_lines(t, p).select(
+    return _lines(t).select(
         F.col("l_suppkey").alias("rep_id"),
         F.col("s_nationkey").cast("bigint").alias("territory_id"),
         F.col("p_type").alias("product_id"),
@@ -155,8 +140,7 @@ def order_lines(t: dict[str, DataFrame], p: Params) -> DataFrame:
         F.round(rev * (F.lit(1) - disc), 2).cast("decimal(18,2)").alias("net_revenue_usd"),
         F.col("o_orderpriority").alias("channel"),
         ((F.col("o_orderstatus") == "F") & (F.col("l_returnflag") == "R")).alias("converted"),
-        (F.col("l_linestatus") == "F").alias("samples_dropped"),
-        F.col("l_linenumber").alias("line_no"))
+        (F.col("l_linestatus") == "F").alias("samples_dropped"))
 
 
 def sales_of(lines: DataFrame) -> DataFrame:
@@ -165,69 +149,35 @@ def sales_of(lines: DataFrame) -> DataFrame:
 
 
 def calls_of(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("line_no") <= 2).select(
+    return lines.select(
         "rep_id", "hcp_id", "territory_id", F.col("product_id").alias("product_promoted"), "call_date", "month",
         "year", "channel", "converted", F.col("units_sold").alias("call_duration_min"), "samples_dropped")
 
 
-def sales(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    return sales_of(order_lines(t, p))
+def sales(t: dict[str, DataFrame]) -> DataFrame:
+    return sales_of(order_lines(t))
 
 
-def call_logs(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    return calls_of(order_lines(t, p))
+def call_logs(t: dict[str, DataFrame]) -> DataFrame:
+    return calls_of(order_lines(t))
 
 
-def build_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
+def fixture_star(spark: SparkSession, sf_dir: str, p: Params) -> Star:
+    """The star as lazy views of the tables in ``sf_dir``: nothing is written or kept."""
     t = read_tpch(spark, sf_dir)
     return Star(territories=territories(t), products=products(t, p), reps=reps(t),
-                physicians=physicians(t), sales=sales(t, p), call_logs=call_logs(t, p))
-
-
-_STARS: dict[tuple, Star] = {}
-_STARS_LOCK = threading.Lock()
-
-
-def _app_id(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # a session without a local context (e.g. Spark Connect)
-        return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
-
-
-def _star_dir(spark: SparkSession, sf_dir: str, p: Params) -> str:
-    """A folder for this session's star tables inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    tag = hashlib.sha1(repr((os.path.abspath(sf_dir), p)).encode()).hexdigest()[:12]
-    return f"{base.rstrip('/')}/star-{_app_id(spark)}-{tag}"
-
-
-def fixture_star(spark: SparkSession, sf_dir: str, p: Params, materialize: bool = True) -> Star:
-    """The star tables of ``sf_dir``, derived once per session, directory and parameters.
-
-    With ``materialize`` (the default) Spark derives the star from the test
-    tables once and writes it as Parquet into the session's shared checkpoint
-    folder (``materialize_star``), the way the original loads its tables before
-    running its statements; every query then reads those tables. Without it,
-    the views stay lazy and each query joins the test tables again.
-    """
-    key = (_app_id(spark), id(spark), os.path.abspath(sf_dir), p, materialize)
-    with _STARS_LOCK:      # queries run from several threads must not write the same folder twice
-        return _STARS[key] if key in _STARS else _derive(spark, sf_dir, p, materialize, key)
+                physicians=physicians(t), sales=sales(t), call_logs=call_logs(t))
 
 
 def materialize_star(spark: SparkSession, sf_dir: str, p: Params, path: str) -> Star:
-    """Derive the star from the test tables and write it under ``path``; return it read back.
+    """Derive the star from the test tables, write it under ``path``, which the caller names, and return it read back.
 
     The four dimensions and one fact table of order lines (partitioned by year)
     are written by concurrent jobs; sales and calls are projections of the
     order lines, so the large join runs once.
     """
     t = read_tpch(spark, sf_dir)
-    # within each write task, lines are ordered by (year, line number): the writer sorts by the
-    # year partition anyway, and row-group min/max of line_no then let the calls (lines 1-2) skip
-    # row groups of later lines
-    lines = order_lines(t, p).sortWithinPartitions("year", "line_no")
+    lines = order_lines(t)
     tables = {"territories": territories(t), "products": products(t, p), "reps": reps(t),
               "physicians": physicians(t), "order_lines": lines}
     write_tables(tables, path, partition_by={"order_lines": "year"})
@@ -235,16 +185,3 @@ def materialize_star(spark: SparkSession, sf_dir: str, p: Params, path: str) ->
     return Star(territories=back["territories"], products=back["products"], reps=back["reps"],
                 physicians=back["physicians"], sales=sales_of(back["order_lines"]),
                 call_logs=calls_of(back["order_lines"]))
-
-
-def _derive(spark: SparkSession, sf_dir: str, p: Params, materialize_: bool, key: tuple) -> Star:
-    star = None
-    if materialize_:
-        try:
-            star = materialize_star(spark, sf_dir, p, _star_dir(spark, sf_dir, p))
-        except Exception as exc:  # no writable shared folder: keep the lazy views
-            warnings.warn(f"star tables not written ({exc.__class__.__name__}); using lazy views")
-    if star is None:
-        star = build_star(spark, sf_dir, p)
-    _STARS[key] = star
-    return star

@@ -24,13 +24,19 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv"):
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, on whatever file system Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_star(spark: SparkSession, directory: str, fmt: str = "csv") -> Star:
     """Read ``territories``, ``products``, ``reps``, ``physicians``, ``sales``, ``call_logs``
     from ``directory`` (``<name>.csv`` files or ``<name>`` / ``<name>.parquet`` folders)."""
     def path(name: str) -> str:
         for cand in (f"{name}.{fmt}", name):
             p = os.path.join(directory, cand)
-            if "://" in directory or os.path.exists(p):
+            if exists(spark, p):
                 return p
         return os.path.join(directory, f"{name}.{fmt}")
 

@@ -34,6 +34,7 @@ def fp():
 
 
 @pytest.fixture(scope="session")
-def star001(spark, fp):
-    from repsight.sources.fixtures import fixture_star
-    return fixture_star(spark, SF001, fp)
+def star001(spark, fp, tmp_path_factory):
+    """The star of the test tables, written once to a folder of the test run."""
+    from repsight.sources.fixtures import materialize_star
+    return materialize_star(spark, SF001, fp, str(tmp_path_factory.mktemp("star") / "star"))

@@ -5,6 +5,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from repsight.operators import coverage, effectiveness, performance, portfolio, promotion, reports, whitespace
 from repsight.params import Params
@@ -147,15 +148,6 @@ def test_empty_facts_keep_schema(spark, star):
     assert promotion.promotional_response(empty_calls, P).count() == 0
 
 
-def test_call_plan_sample_with_string_ids(star):
-    from repsight.operators import prep
-    draws = prep.call_plan_sample(star.reps, star.physicians, P).collect()
-    # only R1's territory T1 has HCPs: 6 of them, so n = min(floor(0.6 * 20), 6) = 6 a month
-    assert {r.rep_id for r in draws} == {"R1"}
-    assert len(draws) == 6 * P.period_months
-    assert {r.hcp_id for r in draws} <= {"H1", "H2", "H3", "H4", "H5", "H6"}
-
-
 def test_unweighted_channel_mean_is_exact_on_a_tie(spark):
     # cell rates 3/10 and 1/200: the mean is exactly 15.25 %, which rounds half away to 15.3
     rows = [("T1", i < 3) for i in range(10)] + [("T2", i < 1) for i in range(200)]
@@ -165,6 +157,22 @@ def test_unweighted_channel_mean_is_exact_on_a_tie(spark):
     assert promotion.channel_summary(calls).collect()[0].avg_conversion_rate_pct == 15.3
 
 
+def test_unweighted_channel_mean_is_a_tie_of_endless_fractions(spark):
+    # cell rates 1/3 and 503/3000: the mean is exactly 25.05 %, which rounds half away to 25.1
+    rows = [("T1", i < 1) for i in range(3)] + [("T2", i < 503) for i in range(3000)]
+    calls = spark.createDataFrame(
+        [(f"C{i}", "R1", "H1", t, "P1", _d(2024, 1), _d(2024, 1), 2024, 1, "A", "x", cv, 10, False)
+         for i, (t, cv) in enumerate(rows)], CALL_LOGS)
+    assert promotion.channel_summary(calls).collect()[0].avg_conversion_rate_pct == 25.1
+
+
+def test_no_revenue_at_all(star):
+    from repsight.operators import effectiveness
+    none = star.sales.withColumn("revenue_usd", F.lit(0).cast("decimal(18,2)"))
+    rows = effectiveness.sfe_metrics(star.reps, none, star.call_logs, star.physicians, P).collect()
+    assert rows and all(r.productivity_index is None and r.revenue_per_call == 0.0 for r in rows)
+
+
 def test_weighted_rates_through_params(star):
     un = {r.channel: r.avg_conversion_rate_pct for r in promotion.promotional_response(star.call_logs, P).collect()}
     we = {r.channel: r.avg_conversion_rate_pct

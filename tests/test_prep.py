@@ -1,33 +1,10 @@
 """Properties of the data-preparation jobs on the test tables (beyond the oracle match)."""
 
-from collections import Counter, defaultdict
-
 from pyspark.sql import functions as F
 
 from repsight.operators import prep
 
 
-def test_call_plan_sample_properties(star001, fp):
-    draws = prep.call_plan_sample(star001.reps, star001.physicians, fp)
-    rows = draws.join(star001.physicians.select("hcp_id", F.col("territory_id").alias("hcp_territory"),
-                                                "prescriber_tier"), "hcp_id") \
-        .join(star001.reps.select("rep_id", "territory_id", "productivity_score"), "rep_id").collect()
-    assert rows and all(r.hcp_territory == r.territory_id for r in rows)     # drawn inside the rep's territory
-    hcps_per_territory = Counter(r.territory_id for r in star001.physicians.select("territory_id").collect())
-    per_cell = defaultdict(list)
-    for r in rows:
-        per_cell[(r.rep_id, r.month)].append(r)
-    for (rep, month), cell in per_cell.items():
-        prod, terr = cell[0].productivity_score, cell[0].territory_id
-        want = min(int(min(max(prod * 20.0, 5.0), 22.0)), hcps_per_territory[terr])
-        assert sorted(r.draw_no for r in cell) == list(range(want)), (rep, month)
-    assert len({m for _, m in per_cell}) == fp.period_months
-    # tier A (weight 5) is drawn more often than its share of HCPs
-    tier_share = Counter(r.prescriber_tier for r in star001.physicians.select("prescriber_tier").collect())
-    drawn = Counter(r.prescriber_tier for r in rows)
-    assert drawn["A"] / len(rows) > tier_share["A"] / sum(tier_share.values())
-
-
 def test_call_plan_weights_sum_to_one(star001, fp):
     sums = prep.call_plan_weights(star001.physicians, fp).groupBy("territory_id").agg(F.sum("weight").alias("s"))
     assert all(abs(r.s - 1.0) < 1e-9 for r in sums.collect())

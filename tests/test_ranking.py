@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from repsight.functions.ranking import (global_row_number, ntile_distributed, ntile_window, running_sum,
+from repsight.functions.ranking import (global_row_number, ntile_distributed, ntile_window,
                                         tile_of)
 
 
@@ -53,13 +53,3 @@ def test_tile_formula(spark):
                 if r.rn <= edge:
                     break
             assert r.t == tile, (r, k)
-
-
-def test_running_sum_equals_window(spark):
-    rnd = random.Random(3)
-    rows = [(rnd.randint(0, 4), key, rnd.choice([2, 3, 5])) for key in rnd.sample(range(1, 10**6), 4000)]
-    df = spark.createDataFrame(rows, "g long, key long, w long")
-    got = {r.key: r.cum for r in running_sum(df, ["g"], "key", "w", "cum", bucket_width=1 << 12).collect()}
-    w = Window.partitionBy("g").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    want = {r.key: r.cum for r in df.select("key", F.sum("w").over(w).alias("cum")).collect()}
-    assert got == want

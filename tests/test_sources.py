@@ -91,3 +91,30 @@ def test_reads_original_style_csv(spark):
     assert calls.converted is True and calls.samples_dropped is False and calls.call_duration_min == 23
     assert str(calls.call_date) == "2023-01-17" and calls.year == 2023
     assert str(sales.revenue_usd) == "15234.56" and str(sales.discount_pct) == "0.125"
+
+
+def test_written_star_reads_back_through_a_url(spark, star001, tmp_path):
+    from repsight.sources.readers import exists, read_star
+    from repsight.sources.schema import Star
+    from repsight.sources.sinks import write_star
+    few = Star(**{n: df.limit(20) for n, df in star001.tables().items()})
+    url = f"file://{tmp_path}/star"
+    write_star(few, url)
+    assert exists(spark, f"{url}/territories") and not exists(spark, f"{url}/territories.parquet")
+    for path in (url, f"{tmp_path}/star"):
+        assert read_star(spark, path, fmt="parquet").sales.count() == 20
+
+
+def test_command_line_keeps_the_submitted_master(tmp_path):
+    import subprocess
+    import sys
+
+    from conftest import ROOT, SF0001
+    code = ("import sys; sys.argv = ['repsight']\n"
+            "from pyspark.sql import SparkSession\n"
+            "import repsight.__main__ as m\n"
+            "m.run_analysis = lambda *a, **k: print('MASTER', SparkSession.getActiveSession().sparkContext.master) or []\n"
+            f"m.main(['--tpch', '{SF0001}', '--out', '{tmp_path}/out'])\n")
+    env = dict(os.environ, PYSPARK_SUBMIT_ARGS="--master local[2] --conf spark.ui.enabled=false pyspark-shell")
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert "MASTER local[2]" in out.stdout, out.stderr[-2000:]
