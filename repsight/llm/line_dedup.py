@@ -70,7 +70,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFr
     per_doc = written(again.groupBy("__d", "__u").agg(F.sort_array(F.collect_set("s")).alias("found")), "chunk-repeats")
 
     def with_found(found: DataFrame, how: str) -> DataFrame:
-        return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), how)
+        # always by shuffle: the list grows with the documents, and sizes that switch plans would hide its cost
+        return keyed.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), how)
 
     texts = (with_found(per_doc, "inner").select("__d", "__u", lines.alias("lines"), F.explode("found").alias("s"))
              .select("__d", "__u", "s.*", _text_of(F.col("lines"), F.col("s.first"), F.col("s.n")).alias("bytes")))
