@@ -91,16 +91,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.drop(*[m for m in MEASURES if m in docs.columns and m != text])
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return (base
-            .withColumn("__words", words(F.col(text))).withColumn("__lines", lines)
-            .withColumn("n_words", F.size("__words").cast("long"))
-            .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
-            .withColumn("n_symbols", F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"))
-            .withColumn("n_lines", F.size("__lines").cast("long"))
-            .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-            .withColumn("n_repeat_words", F.coalesce(_repeat_words(F.col("__words")), F.lit(0)).cast("long"))
-            .withColumn("n_capitals", F.regexp_count(body, F.lit(r"[A-ZÀ-ÖØ-Þ]")).cast("long"))
-            .drop("__words", "__lines"))
+    # each inline() is a barrier: what it yields is computed once, also when later filters are pushed down
+    split = base.select("*", F.inline(F.array(F.struct(words(F.col(text)).alias("__words"), lines.alias("__lines")))))
+    measures = F.struct(
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(_repeat_words(F.col("__words")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.regexp_count(body, F.lit(r"[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_capitals"))
+    return split.select(*base.columns, F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
