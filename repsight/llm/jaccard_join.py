@@ -1,15 +1,19 @@
 """#2 N-gram Jaccard join with a token-group matrix.
 
 Documents with equal shingle sets are one class. Classes are partitioned into
-groups of similar ones: same smallest shingle hash, same size range. The
-token-group matrix holds, for every group, the union of its members' tokens:
-
-* lookup: a pair with Jaccard similarity t = 3/4 or more shares a token among
-  the first ``n - ceil(3n/4) + 1`` tokens of the larger set and the first
-  ``n - ceil(6n/7) + 1`` of the smaller, under any order of all tokens. The
-  matrix' rows for those tokens, spread over Spark by token, answer which
-  groups a set may have a partner in;
-* bound: beside a group's members, the number of a set's tokens in the group's
+groups of similar ones: same smallest shingle hash (of the shingles that make
+up most of the text, where most of it is shared with other texts), same size
+range. The token-group matrix holds, for every group, the union of its
+members' tokens:
+
+* lookup: a pair with Jaccard similarity t = 3/4 or more shares l tokens among
+  the first ``n - ceil(3n/4) + l`` tokens of the larger set and the first
+  ``n - ceil(6n/7) + l`` of the smaller, under any order of all tokens. The
+  matrix' rows for those tokens, spread over Spark by token, count the tokens
+  that a set shares with a group (for tokens in many sets: all sets of its
+  group at once); groups that share fewer than l with it are out
+  (``least_shared``: l grows with the smaller set);
+* bound: for each query of the asking group, the number of a set's tokens in the group's
   union bounds its overlap with every member; a group whose bound stays below
   what its smallest fitting member would need isn't opened;
 * open: in the rest, overlaps with all members come from the group's token
@@ -49,6 +53,8 @@ BLOCK_TOKENS = 1_000_000
 #: A token met by more classes than this has its lookups salted.
 SALT_ABOVE = 1 << 14
 _FLUSH = 2_000_000
+#: A looked-up token in more classes than this is answered for groups of queries at once, in fewer for each query.
+QUERIES_EACH = 64
 
 
 def size_range(n: np.ndarray | int) -> np.ndarray:
@@ -57,15 +63,26 @@ def size_range(n: np.ndarray | int) -> np.ndarray:
 
 
 _RANGES = [1]
-while _RANGES[-1] < 1 << 40:
+while _RANGES[-1] < 1 << 62 and len(_RANGES) < 254:
     _RANGES.append(_RANGES[-1] * 4 // 3 + 1)
 _RANGES = np.array(_RANGES)
 
 
-def group_of(tokens: np.ndarray) -> int:
-    """The group of a set, from its smallest token and its size range."""
-    key = mix(np.array([tokens[0] ^ (np.uint64(size_range(len(tokens))) << np.uint64(56))], np.uint64))
-    return int(key.view(np.int64)[0])
+def least_shared(n: np.ndarray | int) -> np.ndarray | int:
+    """l of the lookup for a smaller set of n tokens."""
+    return 1 + n // 40
+
+
+def group_of(tokens: np.ndarray, level: np.ndarray) -> int:
+    """The group of a set: its smallest token and size range; of a text that is mostly shared, the smallest token of about the middle level or above.
+
+    Copies of one text with edits of their own so stay together: their own
+    tokens are rare, and don't compete for the smallest.
+    """
+    middle = int(np.partition(level, len(level) // 2)[len(level) // 2])
+    first = tokens[level >= middle - 1][0] if middle > 1 else tokens[0]
+    span = int(size_range(len(tokens)))
+    return (int(mix(np.array([first], np.uint64))[0]) >> 9 << 8 | span) if span < 256 else span
 
 
 def _batch(**columns: np.ndarray | list) -> pa.RecordBatch:
@@ -90,15 +107,15 @@ def summaries(docs: DataFrame, salt: int) -> DataFrame:
             entry, at = np.unique(tokens >> np.uint64(64 - ORDER_BITS), return_index=True)
             k = len(entry)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.add.reduceat(times, at), pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(entry.astype(np.int64))],
-                ["doc_id", "row_hash", "n", "class", "check", "grp", "entry"])
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.add.reduceat(times, at), pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(entry.astype(np.int64))],
+                ["doc_id", "row_hash", "n", "class", "check", "entry"])
 
         for batch in batches:
             rows: list[tuple] = []
             for key, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens = shingle_set(text.as_py())
                 a, b = digests(tokens, salt) if len(tokens) else (None, None)
-                rows.append((key, row_hash, len(tokens), a, b, group_of(tokens) if len(tokens) else None, None))
+                rows.append((key, row_hash, len(tokens), a, b, None))
                 if a is not None and a not in seen:
                     seen.add(a)
                     held.append(tokens)
@@ -108,12 +125,12 @@ def summaries(docs: DataFrame, salt: int) -> DataFrame:
                             yield out
                         held, n_held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "row_hash", "n", "class", "check", "grp", "entry"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "row_hash", "n", "class", "check", "entry"])
         if held and (out := shared()) is not None:
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, row_hash long, n long, class long, check long, grp long, entry long")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, n long, class long, check long, entry long")
 
 
 def order_levels(shared: DataFrame) -> np.ndarray:
@@ -124,91 +141,136 @@ def order_levels(shared: DataFrame) -> np.ndarray:
     return levels
 
 
-def ordered_prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def ordered_prefix(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The probing prefix in global order, its levels, and how many of it are in the indexing prefix."""
     n = len(tokens)
-    probe, index = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
-    level = levels[tokens >> np.uint64(64 - ORDER_BITS)]
+    shared = least_shared(n)
+    probe, index = n - -(-3 * n // 4) + shared, n - -(-6 * n // 7) + shared
     order = np.argsort(level, kind="stable")[:probe]  # tokens ascend already
     return tokens[order], level[order], index
 
 
+_MATRIX = {"token": np.int64, "part": np.int32, "class": np.int64, "grp": np.int64, "n": np.int32, "kind": np.int8}
+#: Kinds of matrix rows: of the probing prefix only, of both prefixes, a further copy of an indexed row, a class' membership in its group.
+PROBE, BOTH, COPY, MEMBER = range(4)
+#: Kinds of lookup rows.
+OWN, QUERY, GROUP = range(3)
+
+
 def matrix_rows(docs: DataFrame, levels, salt: int) -> DataFrame:
-    """The looked-up part of the matrix and its queries: (token, part, class, grp, n, indexed)."""
+    """The looked-up part of the matrix, its queries and memberships: (token, part, class, grp, n, kind)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = set(), levels.value
+        cols, held = [[] for _ in _MATRIX], 0
+
+        def out() -> pa.RecordBatch:
+            return _batch(**{k: np.concatenate(c).astype(t) for (k, t), c in zip(_MATRIX.items(), cols, strict=True)})
+
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            held = 0
             for text in batch.column(0):
                 tokens = shingle_set(text.as_py())
                 if not len(tokens) or (a := digests(tokens, salt)[0]) in seen:
                     continue
                 seen.add(a)
-                prefix, level, index = ordered_prefix(tokens, table)
-                indexed = np.arange(len(prefix)) < index
-                parts = np.left_shift(1, np.maximum(0, level.astype(np.int64) - (SALT_ABOVE.bit_length() - 1)))
+                level = table[tokens >> np.uint64(64 - ORDER_BITS)]
+                prefix, own_level, index = ordered_prefix(tokens, level)
+                prefix, grp = prefix.view(np.int64), group_of(tokens, level)
+                parts = np.left_shift(1, np.maximum(0, own_level.astype(np.int64) - (SALT_ABOVE.bit_length() - 1)))
                 own = a % parts
-                # frequent tokens: a query looks into one part, an indexed row stands in all of them, to be looked up only
-                extra = np.flatnonzero(indexed & (parts > 1))
-                again = np.repeat(extra, parts[extra] - 1)
-                nth = np.arange(len(again)) - np.repeat(np.cumsum(parts[extra] - 1) - (parts[extra] - 1), parts[extra] - 1)
-                for out, main, more in zip(cols, (prefix.view(np.int64), own, np.full(len(prefix), a), np.full(len(prefix), group_of(tokens)), np.full(len(prefix), len(tokens)), np.where(indexed, 1, 0)),
-                                           (prefix.view(np.int64)[again], (own[again] + 1 + nth) % parts[again], np.full(len(again), a), np.full(len(again), group_of(tokens)), np.full(len(again), len(tokens)), np.full(len(again), 2)), strict=True):
-                    out += [main, more] if len(again) else [main]
-                held += len(prefix) + len(again)
+                # frequent tokens: a query looks into one part, an indexed row stands in all of them
+                copied = np.flatnonzero((np.arange(len(prefix)) < index) & (parts > 1))
+                more = parts[copied] - 1
+                again = np.repeat(copied, more)
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(more) - more, more)
+                kind = np.where(np.arange(len(prefix)) < index, BOTH, PROBE)
+                k = len(prefix) + len(again) + 1
+                for c, values in zip(cols, ((prefix, prefix[again], [a]), (own, (own[again] + 1 + nth) % parts[again], [0]), (np.full(k, a),), (np.full(k, grp),),
+                                            (np.full(k, len(tokens)),), (kind, np.full(len(again), COPY), [MEMBER])), strict=True):
+                    c.extend(np.asarray(v) for v in values)
+                held += k
                 if held > 500_000:
-                    yield _batch(**{k: np.concatenate(c).astype(np.int32 if k in ("part", "n") else np.int8 if k == "indexed" else np.int64) for k, c in zip(("token", "part", "class", "grp", "n", "indexed"), cols, strict=True)})
-                    cols, held = [[], [], [], [], [], []], 0
-            if held:
-                yield _batch(**{k: np.concatenate(c).astype(np.int32 if k in ("part", "n") else np.int8 if k == "indexed" else np.int64) for k, c in zip(("token", "part", "class", "grp", "n", "indexed"), cols, strict=True)})
-
-    return docs.select("text").mapInArrow(run, "token long, part int, class long, grp long, n int, indexed byte")
-
-
-def _lookup(cls: np.ndarray, grp: np.ndarray, n: np.ndarray, indexed: np.ndarray) -> list[np.ndarray]:
-    """The (query, group) pairs of one token's rows: the group has an indexed member that is smaller than the query, yet large enough."""
-    at = np.flatnonzero(indexed)
-    asked = np.flatnonzero(indexed < 2)
-    if len(cls) < 2 or not len(at) or not len(asked) or (cls == cls[0]).all():
-        return []
-    at = at[np.lexsort((cls[at], n[at], grp[at]))]
-    edges = np.flatnonzero(np.diff(grp[at])) + 1
-    out = []
-    for members in np.split(at, edges):
-        # the largest member below the query in (n, class) order: if it is large enough, the group qualifies
-        sizes, ids = n[members], cls[members]
-        below = np.searchsorted(sizes, n[asked], "left")
-        for k, upto in enumerate(np.searchsorted(sizes, n[asked], "right")):
-            while below[k] < upto and ids[below[k]] < cls[asked[k]]:
-                below[k] += 1
-        fits = asked[(below > 0) & (4 * sizes[np.maximum(below - 1, 0)].astype(np.int64) >= 3 * n[asked])]
-        if len(fits):
-            out.append(np.stack([cls[fits], np.full(len(fits), grp[members[0]])]))
-    return out
+                    yield out()
+                    cols, held = [[] for _ in _MATRIX], 0
+        if held:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "token long, part int, class long, grp long, n int, kind byte")
+
+
+def _lookup(cls: np.ndarray, grp: np.ndarray, n: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (querying group, group) pairs of one token's rows: sizes allow a smaller indexed member to partner a larger querying one."""
+    order = np.lexsort((cls, grp))
+    cls, grp, n, kind = cls[order], grp[order], n[order].astype(np.int64), kind[order]
+    first = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
+    several = np.logical_or.reduceat(np.concatenate(([False], (cls[1:] != cls[:-1]) & (grp[1:] == grp[:-1]))), first)
+    if len(first) == 1 and not several[0]:
+        return
+    asks, holds = kind < COPY, (kind == BOTH) | (kind == COPY)
+    least_q, most_q = np.minimum.reduceat(np.where(asks, n, 1 << 60), first), np.maximum.reduceat(np.where(asks, n, 0), first)
+    least_i, most_i = np.minimum.reduceat(np.where(holds, n, 1 << 60), first), np.maximum.reduceat(np.where(holds, n, 0), first)
+    groups, inner = grp[first], np.flatnonzero(most_i > 0)
+    if not len(inner):
+        return
+    step = max(1, 4_000_000 // len(inner))
+    for at in range(0, len(groups), step):
+        q = np.arange(at, min(at + step, len(groups)))
+        fits = (most_q[q, None] >= least_i[inner]) & (4 * most_i[inner] >= 3 * least_q[q, None]) & ((q[:, None] != inner) | several[inner])
+        i, j = np.nonzero(fits)
+        if len(i):
+            yield groups[q[i]], groups[inner[j]]
 
 
 def lookups(rows: DataFrame) -> DataFrame:
-    """Distinct (class, grp): the groups each set may have a partner in, its own included."""
+    """(id, grp, kind, shared): tokens that a query (kind QUERY) or a group of queries (kind GROUP) shares with a group; each class' own group (kind OWN)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, carry, found, held = ("token", "part", "class", "grp", "n", "indexed"), None, [], 0
+        carry, found, held = None, [], 0
 
         def pairs() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            return _batch(**{"class": both[0], "grp": both[1]})
+            both = np.concatenate(found, axis=1)
+            both = both[:, np.lexsort(both)]
+            first = np.flatnonzero(np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0))))
+            return _batch(id=both[0][first], grp=both[1][first], kind=both[2][first].astype(np.int8), shared=np.diff(np.append(first, both.shape[1])))
 
-        def tokens(cols: list[np.ndarray]) -> None:
+        def add(ids: np.ndarray, groups: np.ndarray, kind: int) -> None:
             nonlocal held
+            if len(ids):
+                found.append(np.stack([ids, groups, np.full(len(ids), kind)]))
+                held += len(ids)
+
+        def tokens(cols: list[np.ndarray]) -> None:
+            cls, grp, kind = cols[2], cols[3], cols[5]
+            n = cols[4].astype(np.int64)
             cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(cols[0])]))
-            for k in np.flatnonzero(ends - starts > 1):
-                a, b = starts[k], ends[k]
-                for got in _lookup(*(c[a:b] for c in cols[2:])):
-                    found.append(got)
-                    held += got.shape[1]
+            size = ends - starts
+            for k in range(2, 5):  # by far most: all runs of one length at once
+                at = starts[(size == k) & (size <= QUERIES_EACH)]
+                for a in range(k if len(at) else 0):
+                    q, hits = at + a, []
+                    for i in (at + b for b in range(k) if b != a):
+                        fits = (kind[q] < COPY) & ((kind[i] == BOTH) | (kind[i] == COPY)) & (cls[q] != cls[i]) & (n[q] >= n[i]) & (4 * n[i] >= 3 * n[q])
+                        hits.append(np.stack([cls[q[fits]], grp[i[fits]], cols[0][q[fits]]]))
+                    one = np.concatenate(hits, axis=1)
+                    # a token counts once for a query and group, however many members hold it
+                    one = np.unique(one, axis=1) if k > 2 and one.shape[1] else one
+                    add(one[0], one[1], QUERY)
+            for k in np.flatnonzero((size > 4) & (size <= QUERIES_EACH)):
+                c, g, m, t = (x[starts[k] : ends[k]] for x in (cls, grp, n, kind))
+                fits = (t[:, None] < COPY) & ((t == BOTH) | (t == COPY)) & (c[:, None] != c) & (m[:, None] >= m) & (4 * m >= 3 * m[:, None])
+                i, j = np.nonzero(fits)
+                if len(i):
+                    one = np.unique(np.stack([c[i], g[j]]), axis=1)
+                    add(one[0], one[1], QUERY)
+            for k in np.flatnonzero(size > QUERIES_EACH):
+                for ids, groups in _lookup(*(c[starts[k] : ends[k]] for c in cols[2:])):
+                    add(ids, groups, GROUP)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _MATRIX]
+            own = cols[5] == MEMBER
+            if own.any():
+                yield _batch(id=cols[2][own], grp=cols[3][own], kind=np.full(int(own.sum()), OWN, np.int8), shared=np.zeros(int(own.sum()), np.int64))
+                cols = [c[~own] for c in cols]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -227,7 +289,22 @@ def lookups(rows: DataFrame) -> DataFrame:
             yield pairs()
 
     spread = rows.repartition("token", "part").sortWithinPartitions("token", "part")
-    return spread.mapInArrow(run, "class long, grp long").distinct()
+    return spread.mapInArrow(run, "id long, grp long, kind byte, shared long").groupBy("id", "grp", "kind").agg(F.sum("shared").alias("shared"))
+
+
+def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, grp): own groups, (class, grp): groups that share enough tokens with the class to hold a partner).
+
+    What a query shares is what it was counted for itself plus what its group
+    was; the latter is at least what the query has of those tokens.
+    """
+    own = found.filter(F.col("kind") == OWN).select(F.col("id").alias("class"), F.col("grp").alias("own"))
+    least = F.element_at(F.array(*[F.lit(int(x)) for x in least_shared(_RANGES)]), F.col("grp").bitwiseAND(F.lit(255)).cast("int"))
+    by_group = found.filter(F.col("kind") == GROUP).select(F.col("id").alias("own"), "grp", F.col("shared").alias("more"))
+    by_query = found.filter(F.col("kind") == QUERY).select(F.col("id").alias("class"), "grp", "shared")
+    some = by_query.join(own, "class").join(by_group, ["own", "grp"], "left").filter(F.col("shared") + F.coalesce("more", F.lit(0)) >= least)
+    whole = by_group.filter(F.col("more") >= least).join(own, "own")
+    return own.withColumnRenamed("own", "grp"), some.select("class", "grp").unionByName(whole.select("class", "grp")).distinct()
 
 
 def routes(classes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -239,7 +316,7 @@ def routes(classes: DataFrame, asked: DataFrame) -> DataFrame:
     size = lambda: F.sum("n")
     hit = asked.select("grp").distinct()
     groups = classes.join(hit, "grp").groupBy("grp").agg(F.ceil(size() / BLOCK_TOKENS).cast("int").alias("blocks"))
-    queries = (asked.join(classes.select("class", "n"), "class").join(groups, "grp")
+    queries = (asked.join(groups, "grp").join(classes.select("class", "n"), "class")
                .select("class", "grp", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
     parts = queries.groupBy("grp", "block").agg(F.ceil(size() / BLOCK_TOKENS).cast("int").alias("parts"))
     deal = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(m)).cast("int")
@@ -332,15 +409,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         summary = written(summaries(docs, salt), "shingle-summaries")
         rows = summary.filter("entry is null").drop("entry")
         classes = rows.filter("class is not null").groupBy("class").agg(
-            F.first("n").alias("n"), F.first("grp").alias("grp"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "row_hash")).alias("rep"),
+            F.first("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "row_hash")).alias("rep"),
             F.min("doc_id").alias("least_id"), (F.min("check") != F.max("check")).alias("clash"))
         classes = written(classes, "shingle-classes")
         if not classes.filter("clash").limit(1).count():  # two sets under one 64-bit class number: take other numbers
             break
         salt += 1
     levels = spark.sparkContext.broadcast(order_levels(summary.filter("entry is not null")))
-    asked = written(lookups(matrix_rows(docs, levels, salt)), "group-lookups")
-    to = routes(classes.select("class", "n", "grp"), asked).groupBy("class").agg(F.collect_list(F.struct("grp", "block", "part", "is_query")).alias("to"))
+    found_groups = written(lookups(matrix_rows(docs, levels, salt)), "group-lookups")
+    own, asked = candidates(found_groups)
+    to = routes(own.join(classes.select("class", "n"), "class"), written(asked, "group-queries")).groupBy("class").agg(F.collect_list(F.struct("grp", "block", "part", "is_query")).alias("to"))
     needed = classes.join(to, "class").select("class", "n", "copies", "to", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
     opened = _sets(docs, needed).groupBy("grp", "block", "part").applyInPandas(open_block, "u long, v long, links long")
     found = written(opened, "group-links")
