@@ -58,7 +58,7 @@ def search(base: np.ndarray, base_id: np.ndarray, queries: np.ndarray, query_id:
     at, q_at = unit @ lines, q_unit @ lines
     order = np.argsort(at, axis=0, kind="stable")
     values = np.take_along_axis(at, order, axis=0)
-    radii = [0.05]
+    radii = [0.25]
     while radii[-1] < 2.0:
         radii.append(radii[-1] * widen)
     half = [r * sure for r in radii]
@@ -91,7 +91,7 @@ def search(base: np.ndarray, base_id: np.ndarray, queries: np.ndarray, query_id:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 4096,
-            projections: int = 48, share: float = 0.75, sure: float = 1.645, widen: float = 1.15) -> DataFrame:
+            projections: int = 24, share: float = 0.75, sure: float = 1.645, widen: float = 1.3) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score. ``sure``: half width of a window in radii (1.645: a vector at that distance collides with 90 %)."""
     v = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
          .filter(F.col("id").isNotNull()).filter(usable(F.col("v"))))
