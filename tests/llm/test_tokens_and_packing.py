@@ -37,6 +37,17 @@ def test_long_texts_in_segments(plain, monkeypatch):
     assert tokens.encode(text, tokens.default_vocabulary()).tolist() == plain(text).tolist()
 
 
+def test_added_tokens_as_the_library_gives_them():
+    path = tokens.default_vocabulary()
+    loaded = Tokenizer.from_file(path)
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "a", "Word's", " ", "\n", "é", "中", "\u0338"]
+    mixed = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(500)]
+    for text in ["a <|endoftext|> b", "x<|startoftext|>y", *mixed]:
+        assert tokens.encode(text, path).tolist() == [*loaded.encode(text, add_special_tokens=False).ids, tokens.END_ID], text
+    assert tokens.encode("a <|endoftext|> b", path).tolist() == [320, 49407, 321, tokens.END_ID]
+
+
 def wanted(rows, plain):
     ids = [(r.doc_id, plain(r.text)) for r in rows]
     return sorted(((d is not None, d or 0, len(i), zlib.crc32(i.tobytes())) for d, i in ids))
