@@ -7,9 +7,12 @@ corpus, rarest first; a block can reach the threshold only if it holds one of
 the template's first ``|T| - needed + 1`` words (prefix filter), holds enough
 template words at all (length filter), and enough words are left on both sides
 from the place of the first common word on (positional filter). What passes is
-counted in full. Of templates that share so many words that one would stand
-for the other, only the one found more completely is reported. Blocks of ``block`` words start every ``block / 2`` words, so
-every stretch of up to ``block / 2`` words lies inside one. The template list
+counted in full. ``blocks`` holds every block and template found. Labels leave
+out a template in a block only where a template found more completely has all
+words that it matched there and, by the words' counts, takes up their places;
+a notice that stands there itself keeps its label. Blocks of ``block`` words
+start every ``block / 2`` words, so every stretch of up to ``block / 2`` words
+lies inside one. The template list
 is a parameter and small; its words' corpus frequencies are the only thing
 that is collected.
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -96,9 +99,8 @@ def frequencies(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     return {r["word"].encode(): r["n"] for r in counts.collect()}
 
 
-def matches(hits: list[tuple[int, bytes]], templates: list[Template], rank: dict[bytes, int], by_prefix: dict[bytes, list[int]], block: int) -> dict[str, float]:
-    """label -> largest containment over the blocks of one text; ``hits`` are its template words with their places."""
-    found: dict[str, float] = {}
+def block_matches(hits: list[tuple[int, bytes]], templates: list[Template], rank: dict[bytes, int], by_prefix: dict[bytes, list[int]], block: int) -> Iterator[tuple[int, dict[int, int], Counter[bytes]]]:
+    """(first word, template -> distinct words held, counts of template words) of every block that reaches a threshold."""
     step, at, to = block // 2, 0, 0
     place = [p for p, _ in hits]
     starts = sorted({s for p in place for s in (p // step * step, max(0, p // step - 1) * step)})
@@ -108,7 +110,8 @@ def matches(hits: list[tuple[int, bytes]], templates: list[Template], rank: dict
         to = max(to, at)
         while to < len(hits) and place[to] < start + block:
             to += 1
-        held = sorted({w for _, w in hits[at:to]}, key=rank.__getitem__)
+        count = Counter(w for _, w in hits[at:to])
+        held = sorted(count, key=rank.__getitem__)
         where = {w: i for i, w in enumerate(held)}
         here: dict[int, int] = {}
         for t in {t for w in held for t in by_prefix.get(w, ())}:
@@ -121,17 +124,47 @@ def matches(hits: list[tuple[int, bytes]], templates: list[Template], rank: dict
             n = sum(w in where for w in template.ordered)
             if n >= template.needed:
                 here[t] = n
-        strength = {t: (n / len(templates[t].ordered), n) for t, n in here.items()}
-        for t in here:
-            own = templates[t]
-            stronger = (u for u in here if strength[u] > strength[t])
-            if not any(len(set(own.ordered) & set(templates[u].ordered)) >= own.needed for u in stronger):
-                found[own.label] = max(found.get(own.label, 0.0), strength[t][0])
+        if here:
+            yield start, here, count
+
+
+def own_matches(here: dict[int, int], count: Counter[bytes], templates: list[Template]) -> list[int]:
+    """The templates of one block that no stronger one stands for.
+
+    Strongest first, each takes the words of as many copies as the block holds
+    of it. A template is left out only if the words left don't reach its
+    threshold and a stronger template has every word it matched.
+    """
+    strength = {t: (n / len(templates[t].ordered), n) for t, n in here.items()}
+    order = sorted(here, key=lambda t: (*(-x for x in strength[t]), t))
+    rest, own = count.copy(), []
+    for t in order:
+        matched = [w for w in templates[t].ordered if count[w]]
+        if sum(rest[w] > 0 for w in matched) < templates[t].needed and any(strength[u] > strength[t] and set(matched) <= set(templates[u].ordered) for u in order):
+            continue
+        own.append(t)
+        copies = max(1, min(rest[w] for w in matched))
+        for w in matched:
+            rest[w] = max(0, rest[w] - copies)
+    return own
+
+
+def matches(hits: list[tuple[int, bytes]], templates: list[Template], rank: dict[bytes, int], by_prefix: dict[bytes, list[int]], block: int) -> dict[str, float]:
+    """label -> largest containment over the blocks of one text; ``hits`` are its template words with their places."""
+    return best_of(block_matches(hits, templates, rank, by_prefix, block), templates)
+
+
+def best_of(blocks: Iterable[tuple[int, dict[int, int], Counter[bytes]]], templates: list[Template]) -> dict[str, float]:
+    """label -> largest containment of the templates that stand for themselves in some block."""
+    found: dict[str, float] = {}
+    for _, here, count in blocks:
+        for t in own_matches(here, count, templates):
+            found[templates[t].label] = max(found.get(templates[t].label, 0.0), here[t] / len(templates[t].ordered))
     return found
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold_percent: int = 85, block: int = 64) -> DataFrame:
-    """Per document: doc_id, n_words, places (struct<label, word> of base phrases), found (map label -> containment)."""
+    """Per document: doc_id, n_words, places (struct<label, word> of base phrases), blocks (struct<label, word, share>: every block and template at or above the threshold), found (map label -> containment)."""
     ready, rank = prepared(templates, frequencies(docs, templates), threshold_percent)
     by_prefix: dict[bytes, list[int]] = {}
     for t, template in enumerate(ready):
@@ -142,16 +175,18 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch["doc_id"].astype("Int64"), "n_words": [], "places": [], "found": []}
+            out: dict[str, list] = {"doc_id": batch["doc_id"].astype("Int64"), "n_words": [], "places": [], "blocks": [], "found": []}
             for text in batch["text"]:
                 words = words_of(text)
                 hits = [(i, w) for i, w in enumerate(words) if w in wanted]
                 out["n_words"].append(len(words))
                 out["places"].append([{"label": label, "word": i} for i, w in hits if w in heads for p, label in spoken if words[i : i + len(p)] == p])
-                out["found"].append(matches([h for h in hits if h[1] in rank], ready, rank, by_prefix, block))
+                met = list(block_matches([h for h in hits if h[1] in rank], ready, rank, by_prefix, block))
+                out["blocks"].append([{"label": ready[t].label, "word": start, "share": n / len(ready[t].ordered)} for start, here, _ in met for t, n in sorted(here.items())])
+                out["found"].append(best_of(met, ready))
             yield pd.DataFrame(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_words bigint, places array<struct<label: string, word: bigint>>, found map<string, double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_words bigint, places array<struct<label: string, word: bigint>>, blocks array<struct<label: string, word: bigint, share: double>>, found map<string, double>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -156,3 +156,31 @@ def test_license_join_finds_every_block_above_the_threshold():
         assert set(got) <= set(best) and (bool(got) == bool(best))
         if best:
             assert max(got.values()) == max(best.values())
+
+
+def test_license_labels_of_neighbouring_notices(llm):
+    lgpl, gpl = "licensed under the gnu lesser general public license", "licensed under the gnu general public license version"
+    texts = {f"{lgpl} or else {gpl} 3": {"lgpl", "gpl-3.0"}, "licensed under cc by 4 0 while pictures are licensed under cc by nc 4 0": {"cc-by-4.0", "cc-by-nc-4.0"},
+             f"{gpl} 3": {"gpl-3.0"}, f"{gpl} 3 and {gpl} 2": {"gpl-3.0", "gpl-2.0"}, f"{gpl} 2 or version 3": {"gpl-3.0", "gpl-2.0"}, lgpl: {"lgpl"},
+             "licensed under cc by nc 4 0 " * 3: {"cc-by-nc-4.0"}, "licensed under cc by 4 0": {"cc-by-4.0"}}
+    rows = license_scans.scan_licenses(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: set(r.found) for r in rows} == dict(enumerate(texts.values()))
+
+
+def test_license_blocks_are_all_returned(llm):
+    import random
+    rnd = random.Random(6)
+    vocabulary = sorted({w for _, wording in license_scans.TEMPLATES for w in wording.split()})
+    texts = [" ".join([rnd.choice(vocabulary) if rnd.random() < 0.6 else "other" for _ in range(rnd.randrange(90))] + rnd.choice(license_scans.TEMPLATES)[1].split() * rnd.randrange(3)) for _ in range(150)]
+    want = Counter()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for start in range(0, max(1, len(words)), 32):
+            for label, wording in license_scans.TEMPLATES:
+                distinct = set(wording.split())
+                n = len(distinct & set(words[start : start + 64]))
+                if 100 * n >= 85 * len(distinct):
+                    want[(i, label, start, n / len(distinct))] += 1
+    rows = license_scans.scan_licenses(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, b.label, b.word, b.share) for r in rows for b in r.blocks) == want
+    assert all(set(r.found) <= {b.label for b in r.blocks} and bool(r.found) == bool(r.blocks) for r in rows)
