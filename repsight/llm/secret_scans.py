@@ -9,11 +9,18 @@ list ends. Every character of a layer knows the stretch of the original text
 it came from; a secret found in a layer is reported at that place, under the
 kind ``<layer>/<layer>/.../<kind>``.
 
+Decoded bytes are searched wherever they hold ``LEAST`` printable characters
+in a row, in UTF-8 (other bytes stand for themselves) or UTF-16; no base kind
+and no encoding of one is shorter. Concatenated compressed members are one
+layer; of damaged ones, what comes before the damage is searched.
+
 Edge cases: null and empty texts have no spans; null doc_ids and repeated rows
 are scanned row by row; further columns are ignored, whatever their names; an
 empty table gives an empty table. A compressed layer that unpacks to more than
-``MAX_LAYER_BYTES`` is reported as kind ``oversized`` and not searched, which
-bounds a task's memory against decompression bombs.
+``MAX_LAYER_BYTES`` is reported as kind ``oversized`` and searched in segments
+of about that size, which bounds a task's memory against decompression bombs;
+a segment repeats the end of its predecessor: ``OVERLAP`` bytes, or from where
+an encoded stretch begins that the end cuts (up to half a segment).
 """
 
 from __future__ import annotations
@@ -21,11 +28,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import itertools
 import lzma
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +41,11 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
+OVERLAP = 1 << 16
+#: Bytes handed to a decompressor and taken from it at once.
+STEP = 1 << 16
+#: Characters of the shortest base kind (``token=`` and six more).
+LEAST = 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -42,6 +55,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_PRINTABLE = re.compile(rb"[\x20-\x7e\t\r\n]{%d}" % LEAST)
+_WIDE = re.compile(rb"((?:[\x20-\x7e\t\r\n]\x00){%d,})|(?:\x00[\x20-\x7e\t\r\n]){%d,}" % (LEAST, LEAST))
+#: Bytes of encoded stretches, also wrapped or in UTF-16.
+_STRETCH = re.compile(rb"[A-Za-z0-9+/_=%\\&#;\r\n\t\x00-]*")
 
 Found = list[tuple[str, int, int]]
 
@@ -59,10 +76,23 @@ def find(text: str) -> Found:
     return out
 
 
+class Same:
+    """``n`` times one place."""
+
+    def __init__(self, value: int, n: int) -> None:
+        self.value, self.n = value, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: int | slice) -> int | array:
+        return array("q", [self.value]) * len(range(*at.indices(self.n))) if isinstance(at, slice) else self.value
+
+
 class Layer:
     """Decoded text; character i came from ``begin[i]:end[i]`` of the original, ``new[i]`` if it was decoded by this layer."""
 
-    def __init__(self, chain: str, text: str, begin: array, end: array, new: bytearray | None) -> None:
+    def __init__(self, chain: str, text: str, begin: array | Same, end: array | Same, new: bytearray | None) -> None:
         self.chain, self.text, self.begin, self.end, self.new = chain, text, begin, end, new
 
     def place(self, a: int, b: int) -> tuple[int, int]:
@@ -120,30 +150,76 @@ def _unicode(run: str) -> Iterator[tuple[str, int, int]]:
         i += used
 
 
-def _unpacked(data: bytes) -> tuple[str, bytes | None] | None:
-    """The content of compressed bytes: (format, content, or None when it is too large); None if it isn't compressed."""
-    makers = {b"\x1f\x8b": ("gzip", lambda: zlib.decompressobj(31)), b"BZh": ("bzip2", bz2.BZ2Decompressor), b"\xfd7zXZ": ("xz", lzma.LZMADecompressor)}
-    makers |= {bytes([0x78, x]): ("zlib", zlib.decompressobj) for x in (0x01, 0x5E, 0x9C, 0xDA)}
-    for magic, (name, maker) in makers.items():
-        if data.startswith(magic):
-            try:
-                content = maker().decompress(data, MAX_LAYER_BYTES + 1)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return None
-            return name, None if len(content) > MAX_LAYER_BYTES else content
-    return None
+_GZIP, _ZLIB = (lambda: zlib.decompressobj(31)), zlib.decompressobj
+_FORMATS = (("gzip", re.compile(rb"\x1f\x8b\x08"), _GZIP), ("bzip2", re.compile(rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)"), bz2.BZ2Decompressor),
+            ("xz", re.compile(rb"\xfd7zXZ\x00"), lzma.LZMADecompressor), ("zlib", re.compile(rb"x[\x01\x5e\x9c\xda]"), _ZLIB))
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _inflated(chunks: Iterator[bytes], make, whole: list[bool]) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, up to its end (then ``whole`` gets a True) or to damage."""
+    engine, begins = make(), False
+    for chunk in chunks:
+        while True:
+            chunk = chunk.lstrip(b"\0") if begins else chunk
+            if begins and not chunk:
+                break
+            begins = False
+            try:
+                out = engine.decompress(chunk, STEP)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            if out:
+                yield out
+            if engine.eof:
+                chunk, engine, begins = engine.unused_data, make(), True
+                continue
+            chunk = getattr(engine, "unconsumed_tail", b"")
+            if not chunk and len(out) < STEP and getattr(engine, "needs_input", True):
+                break
+    if begins:
+        whole.append(True)
+
+
+def _opened(chunks: Iterator[bytes], whole: list[bool]) -> tuple[str, Iterator[bytes]]:
+    """(formats, content): all compressed formats at the start of the stream undone, one in another; ``whole`` gets a True when the outer one ends undamaged."""
+    names = ""
+    while True:
+        head = b""
+        for chunk in chunks:
+            head += chunk
+            if len(head) >= 10:
+                break
+        chunks = itertools.chain([head], chunks)
+        found = next(((name, make) for name, magic, make in _FORMATS if magic.match(head)), None)
+        if found is None or (found[0] == "zlib" and next(_inflated(iter([head]), zlib.decompressobj, []), None) is None and len(head) >= 64):
+            return names, chunks
+        names, chunks = f"{names}{found[0]}/", _inflated(chunks, found[1], [] if names else whole)
+
+
+def _segments(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """(segment, whether others came before) of at most about one and a half MAX_LAYER_BYTES."""
+    held, kept = bytearray(), 0
+    for chunk in chunks:
+        held += chunk
+        if len(held) - kept > MAX_LAYER_BYTES:
+            yield bytes(held), kept > 0
+            kept = max(OVERLAP, _STRETCH.match(held[: -(MAX_LAYER_BYTES // 2) - 1 : -1]).end())
+            del held[:-kept]
+            kept = len(held)
+    if len(held) > kept:
+        yield bytes(held), kept > 0
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, int, Callable[[str], int]]]:
+    """(text, its first byte, bytes of a character) of each reading of decoded bytes that can hold a secret."""
+    if _PRINTABLE.search(data):
+        yield data.decode("utf-8", "surrogateescape"), 0, lambda char: len(char.encode("utf-8", "surrogateescape"))
+    for little, odd in sorted({(m[1] is not None, m.start() % 2) for m in _WIDE.finditer(data)}):
+        yield data[odd : len(data) - (len(data) - odd) % 2].decode("utf-16-le" if little else "utf-16-be", "surrogatepass"), odd, lambda char: 4 if ord(char) > 0xFFFF else 2
 
 
 def _encoded(layer: Layer, oversized: Found) -> Iterator[Layer]:
-    """One layer per base64 run that holds readable text or compressed bytes."""
+    """The layers of base64 runs that hold readable text or compressed bytes."""
     for m in _LONG_RUN.finditer(layer.text):
         a, b = m.span()
         if not layer.fresh(a, b):
@@ -154,23 +230,24 @@ def _encoded(layer: Layer, oversized: Found) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        chain, whole = f"{layer.chain}base64/", layer.place(a, b)
-        while (got := _unpacked(data)) and got[1] is not None:
-            chain, data, packed = f"{chain}{got[0]}/", got[1], True
-            if (text := _readable(data)) is not None:
-                yield Layer(chain, text, array("q", [whole[0]]) * len(text), array("q", [whole[1]]) * len(text), None)
-                break
-        else:
-            if got:
-                oversized.append((f"{chain}{got[0]}/oversized", *whole))
-            elif chain.endswith("base64/") and (text := _readable(data)) is not None:
-                begin, end, at = array("q"), array("q"), 0
-                for char in text:
-                    n = len(char.encode())
-                    begin.append(layer.begin[a + at * 8 // 6])
-                    end.append(layer.end[min(b - 1, a + ((at + n) * 8 - 1) // 6)])
-                    at += n
-                yield Layer(chain, text, begin, end, None)
+        whole = layer.place(a, b)
+        ended: list[bool] = []
+        names, content = _opened((data[i : i + STEP] for i in range(0, len(data), STEP)), ended)
+        chain = f"{layer.chain}base64/{names}"
+        if names:
+            for segment, later in _segments(content):
+                if later:
+                    oversized.append((f"{chain}oversized", *whole))
+                for text, _, _ in _texts(segment):
+                    yield Layer(chain, text, Same(whole[0], len(text)), Same(whole[1], len(text)), None)
+        for text, at, width in () if ended else _texts(data):
+            begin, end = array("q"), array("q")
+            for char in text:
+                n = width(char)
+                begin.append(layer.begin[a + at * 8 // 6])
+                end.append(layer.end[min(b - 1, a + ((at + n) * 8 - 1) // 6)])
+                at += n
+            yield Layer(f"{layer.chain}base64/", text, begin, end, None)
 
 
 def scan(text: str | None) -> tuple[Found, Found]:

@@ -1,10 +1,13 @@
 """Quality rules, line dedup, secrets, licenses: edge cases and brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -115,6 +118,24 @@ def test_secrets_in_layers():
     assert secret_scans.scan("%41" * 50_000 + "\\u0041" * 50_000)[0] == []
 
 
+def test_secrets_in_binary_layers(monkeypatch):
+    secret = b'password = "hunter2hunter2"'
+    wide = {e: "see password = 'hunter2hunter2' there".encode(e) for e in ("utf-16", "utf-16-le", "utf-16-be")}
+    bodies = [(b"\x00 config " + secret, ""), (b"\xef\xbb\xbf" + secret, ""), (b"x^ " + secret, ""), (b"BZh " + secret, ""), (secret + "​\x01".encode(), ""), (b"\xff\xfe\xfd\x80" * 9 + secret + bytes(range(256)), ""), *((w, "") for w in wide.values()),
+              (gzip.compress(b"\x00" * 700 + secret + bytes(range(256))), "gzip/"), (gzip.compress(b"first member") + gzip.compress(b"second: " + secret), "gzip/"), (gzip.compress(wide["utf-16"]), "gzip/"),
+              (bz2.compress(b"one") + bz2.compress(secret), "bzip2/"), (lzma.compress(b"one") + lzma.compress(secret), "xz/"), (zlib.compress(gzip.compress(secret)), "zlib/gzip/")]
+    for data, layers in bodies:
+        body = base64.b64encode(data).decode()
+        kinds = [x for x in secret_scans.scan(f"ä text with {body} inside")[1] if x[0].endswith("assign")]
+        assert [k for k, _, _ in kinds] == [f"base64/{layers}assign"] and 12 <= kinds[0][1] < kinds[0][2] <= 12 + len(body), (data[:40], kinds)
+    monkeypatch.setattr(secret_scans, "MAX_LAYER_BYTES", 300_000)
+    for at in (0, 150_000, 299_990, 365_500, 1_000_000, 2_000_000 - len(secret)):
+        large = bytearray(b"lorem ipsum " * 170_000)[:2_000_000]
+        large[at : at + len(secret)] = secret
+        kinds = {k for k, _, _ in secret_scans.scan(base64.b64encode(gzip.compress(bytes(large))).decode())[1]}
+        assert kinds == {"base64/gzip/assign", "base64/gzip/oversized"}, at
+
+
 def plain_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places = [(i, label) for p, label in license_scans.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
