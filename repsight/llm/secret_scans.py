@@ -9,6 +9,11 @@ list ends. Every character of a layer knows the stretch of the original text
 it came from; a secret found in a layer is reported at that place, under the
 kind ``<layer>/<layer>/.../<kind>``.
 
+A base64 stretch may be wrapped into lines and glued to other characters of
+its alphabet: lines are joined, it is decoded at each of the four alignments,
+and compressed bytes are looked for at every ``H4sI`` and the like. Joined lines hold nothing but 16 or more characters of
+base64 and blanks around them; only the first and the last may be shorter.
+
 Decoded bytes are searched wherever they hold ``LEAST`` printable characters
 in a row, in UTF-8 (other bytes stand for themselves) or UTF-16; no base kind
 and no encoding of one is shorter. Concatenated compressed members are one
@@ -26,13 +31,13 @@ an encoded stretch begins that the end cuts (up to half a segment).
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import itertools
 import lzma
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,6 +56,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: A hex or access match that is long enough stands inside a run of this kind.
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Base64 long enough for LEAST bytes; lines are joined, the first and the last may be shorter.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++[ \t]*+\r?\n[ \t]*+)?[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]{16,}+)*+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)?+={0,2}")
+_SYMBOL = re.compile(r"[A-Za-z0-9+/_-]")
+_ONE_RUN = dict.fromkeys(map(ord, " \t\r\n=")) | {ord("-"): "+", ord("_"): "/"}
+#: Where compressed bytes may begin in base64: gzip, bzip2 and xz anywhere, zlib (two bytes) at the start of a run or line and after a delimiter.
+_PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFoA|(?<![A-Za-z0-9])(?:eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r])")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -218,36 +229,43 @@ def _texts(data: bytes) -> Iterator[tuple[str, int, Callable[[str], int]]]:
         yield data[odd : len(data) - (len(data) - odd) % 2].decode("utf-16-le" if little else "utf-16-be", "surrogatepass"), odd, lambda char: 4 if ord(char) > 0xFFFF else 2
 
 
+def _decoded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
 def _encoded(layer: Layer, oversized: Found) -> Iterator[Layer]:
-    """The layers of base64 runs that hold readable text or compressed bytes."""
-    for m in _LONG_RUN.finditer(layer.text):
+    """The layers of base64 stretches that hold readable text or compressed bytes."""
+    for m in _BASE64.finditer(layer.text):
         a, b = m.span()
         if not layer.fresh(a, b):
             continue
-        body = m[0].rstrip("=")
-        body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        whole = layer.place(a, b)
-        ended: list[bool] = []
-        names, content = _opened((data[i : i + STEP] for i in range(0, len(data), STEP)), ended)
-        chain = f"{layer.chain}base64/{names}"
-        if names:
+        body, spots, unpacked = m[0].translate(_ONE_RUN), None, False
+        for p in (x.start() for x in _PACKED.finditer(layer.text, a, b)):
+            spots, ended = spots or array("q", (x.start() for x in _SYMBOL.finditer(layer.text, a, b))), []
+            names, content = _opened((_decoded(body[i : i + STEP]) for i in range(bisect_left(spots, p), len(body), STEP)), ended)
+            if not names:
+                continue
+            chain = f"{layer.chain}base64/{names}"
             for segment, later in _segments(content):
+                whole = layer.place(p, b)
                 if later:
                     oversized.append((f"{chain}oversized", *whole))
                 for text, _, _ in _texts(segment):
                     yield Layer(chain, text, Same(whole[0], len(text)), Same(whole[1], len(text)), None)
-        for text, at, width in () if ended else _texts(data):
-            begin, end = array("q"), array("q")
-            for char in text:
-                n = width(char)
-                begin.append(layer.begin[a + at * 8 // 6])
-                end.append(layer.end[min(b - 1, a + ((at + n) * 8 - 1) // 6)])
-                at += n
-            yield Layer(f"{layer.chain}base64/", text, begin, end, None)
+            unpacked = unpacked or bool(ended) and p == a
+            if unpacked:
+                break
+        for shift in () if unpacked else range(4):
+            for text, at, width in _texts(_decoded(body[shift:])):
+                spots = spots or array("q", (x.start() for x in _SYMBOL.finditer(layer.text, a, b)))
+                begin, end = array("q"), array("q")
+                for char in text:
+                    n = width(char)
+                    begin.append(layer.begin[spots[shift + at * 8 // 6]])
+                    end.append(layer.end[spots[min(len(spots) - 1, shift + ((at + n) * 8 - 1) // 6)]])
+                    at += n
+                yield Layer(f"{layer.chain}base64/", text, begin, end, None)
 
 
 def scan(text: str | None) -> tuple[Found, Found]:
@@ -255,7 +273,7 @@ def scan(text: str | None) -> tuple[Found, Found]:
     if not text:
         return [], []
     base, extra = find(text), []
-    could = ("%" in text and _PERCENT.search(text)) or (("\\" in text or "&#" in text) and _UNICODE.search(text)) or _LONG_RUN.search(text)
+    could = ("%" in text and _PERCENT.search(text)) or (("\\" in text or "&#" in text) and _UNICODE.search(text)) or _BASE64.search(text)
     if could:
         ordinals = array("q", range(len(text) + 1))
         work, met = [Layer("", text, ordinals[:-1], ordinals[1:], None)], set()

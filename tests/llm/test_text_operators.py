@@ -136,6 +136,30 @@ def test_secrets_in_binary_layers(monkeypatch):
         assert kinds == {"base64/gzip/assign", "base64/gzip/oversized"}, at
 
 
+def test_secrets_in_short_wrapped_and_glued_base64():
+    encoded = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    wrapped = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:30].translate(str.maketrans("abcdef", "uvwxyz")) + " " for i in range(40))
+    for text in ("token=abcdef", "secret=abcdef", "token=abc12345", "password=hunter"):
+        for body in (encoded(text), base64.urlsafe_b64encode(text.encode()).decode(), encoded(text).rstrip("=")):
+            assert [k for k, _, _ in secret_scans.scan(f"see {body} there")[1]] == ["base64/assign"], body
+    for width in (16, 20, 64, 76):
+        for lead in range(60):
+            text = "x. " * lead + "password=hunter2hunter2 " + "y. " * 50
+            for end in ("\n", "\r\n", "\n    "):
+                body = wrapped(encoded(text), width, end)
+                found = secret_scans.scan(f"key\n{body}\nend")[1]
+                assert [k for k, _, _ in found] == ["base64/assign"] and 4 <= found[0][1] < found[0][2] <= 4 + len(body), (width, lead, found)
+    for packed, name in ((gzip.compress, "gzip"), (bz2.compress, "bzip2"), (lzma.compress, "xz"), (zlib.compress, "zlib")):
+        body = encoded(packed((noise + "token=abcdef1 " + noise).encode()))
+        for text in (body, wrapped(body, 76), f"data:\n{wrapped(body, 64)}\nend of data", f"https://h.example/blob/{body}", f"key_{body}", f"some-key-{wrapped(body, 76)}"):
+            assert f"base64/{name}/assign" in {k for k, _, _ in secret_scans.scan(text)[1]}, (name, text[:30])
+    for glue in ("https://h.example/blob/", "key_", "a/", "ab/", "abc-", "abcd_", "id+"):
+        text = glue + encoded("password=hunter2hunter2")
+        found = secret_scans.scan(f"{text}/tail")[1]
+        assert [k for k, _, _ in found] == ["base64/assign"] and len(glue) <= found[0][1] < found[0][2] <= len(text), (glue, found)
+
+
 def plain_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places = [(i, label) for p, label in license_scans.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
