@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 # Element classes of HTML.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video textarea title nav header footer aside form button select option label fieldset dialog menu noembed noframes xmp".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video textarea title button select option label noembed noframes xmp".split())
+#: Boilerplate by tag; a form that holds the page's text is unwrapped, a header inside an article is part of it.
+MARKED = frozenset("nav header footer aside form fieldset dialog menu".split())
+UNWRAPPED = frozenset("form fieldset".split())
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure figcaption address details summary center hr nav header footer aside form fieldset hgroup dialog menu".split())
 CONTAINERS = frozenset("body article main section div td center".split())
 ENDS_P = BLOCKS - {"td", "th", "caption", "thead", "tbody", "tfoot", "tr", "li", "dt", "dd", "html", "body"}
@@ -38,35 +42,86 @@ BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertising banne
 cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup
 promo promoted promotion recommended related reply replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget
 complementary contentinfo search alert""".split())
+#: A class or id with one of these words names what a wrapper has (no-sidebar, with-header), and these make a header one of the text (entry-header).
+LAYOUT = frozenset("no not has have with without hide hides show shows is".split())
+OF_TEXT = frozenset("entry section post article story content page chapter".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    """An open or closed element: its path, whether it is dropped, its score as a container."""
+    """An open or closed element: its path, whether it is dropped, its nearest mark as boilerplate, its score as a container."""
 
-    __slots__ = ("tag", "path", "dropped", "link", "parent", "score")
+    __slots__ = ("tag", "path", "dropped", "link", "parent", "score", "marked", "held", "n", "title")
 
-    def __init__(self, tag: str, path: str, dropped: bool, link: bool, parent: Element | None) -> None:
+    def __init__(self, tag: str, path: str, dropped: bool, link: bool, parent: Element | None, marked: bool = False) -> None:
         self.tag, self.path, self.dropped, self.link, self.parent, self.score = tag, path, dropped, link, parent, 0.0
+        self.marked = self if marked else parent.marked if parent is not None else None
+        self.held, self.n, self.title = 0.0, 0, False
+
+    def marks(self) -> Iterator[Element]:
+        """The marked elements it stands in, itself included, from the inside out."""
+        e = self.marked
+        while e is not None:
+            yield e
+            e = e.parent.marked if e.parent is not None else None
+
+
+@lru_cache(maxsize=1 << 14)
+def _names_boilerplate(name: str) -> bool:
+    words = {w.lower() for w in _WORDS.split(name)}
+    found = words & BOILERPLATE
+    return bool(found) and words.isdisjoint(LAYOUT) and not (found == {"header"} and not words.isdisjoint(OF_TEXT))
 
 
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
-    name, marks = tag, ()
+    name, marked = tag, tag in MARKED
+    if tag == "header":
+        up = parent
+        while up is not None and up.tag not in ("article", "main", "section"):
+            up = up.parent
+        marked = up is None
     if attributes and tag not in ("html", "body", "main", "article"):
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-        marks = [w.lower() for k in ("class", "id", "role") for w in _SPLIT.split(found.get(k, ""))]
+        marked = marked or any(_names_boilerplate(n) for k in ("class", "id", "role") for n in found.get(k, "").split())
         classes = sorted({_DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
         name += "".join("." + c for c in classes)
-    dropped = tag in DROPPED or bool(marks and not BOILERPLATE.isdisjoint(marks)) or (parent is not None and parent.dropped)
-    return Element(tag, f"{parent.path}>{name}" if parent else name, dropped, tag == "a" or (parent is not None and parent.link), parent)
+    return Element(tag, f"{parent.path}>{name}" if parent else name, tag in DROPPED or (parent is not None and parent.dropped), tag == "a" or (parent is not None and parent.link), parent, marked)
+
+
+Block = tuple[str, Element, int]
+
+
+def _worth(block: Block) -> float:
+    return max(0.0, len(block[0]) - 2.0 * block[2])
+
+
+def unmarked(found: list[Block]) -> list[Block]:
+    """The blocks that stand in no boilerplate.
+
+    A mark doesn't count on an element that holds more than half of the page's
+    paragraph text, if hardly any stands outside all marks or it holds the
+    page's h1. Of tags, only forms can lose their mark.
+    """
+    total = plain = 0.0
+    for block in found:
+        worth = _worth(block)
+        total += worth
+        plain += worth if block[1].marked is None else 0.0
+        for e in block[1].marks():
+            e.held, e.n, e.title = e.held + worth, e.n + 1, e.title or block[1].tag == "h1"
+
+    def void(e: Element) -> bool:
+        return (e.tag in UNWRAPPED or e.tag not in MARKED) and 2 * e.held > total and (10 * plain < e.held or e.title)
+
+    return [b for b in found if all(map(void, b[1].marks()))]
 
 
-def blocks(page: str) -> list[tuple[str, Element, int]]:
-    """(text, element it stands in, characters of it inside links) of every block outside dropped elements, in page order."""
+def blocks(page: str) -> list[Block]:
+    """(text, element it stands in, characters of it inside links) of every block outside dropped elements and boilerplate, in page order."""
     root = Element("", "", False, False, None)
     stack, out, run, links, at, raw = [root], [], [], 0, 0, ""
 
@@ -126,7 +181,7 @@ def blocks(page: str) -> list[tuple[str, Element, int]]:
     if not raw:
         say(at, len(page))
     flush()
-    return out
+    return unmarked(out)
 
 
 def _containers(e: Element) -> Iterator[Element]:
@@ -136,12 +191,12 @@ def _containers(e: Element) -> Iterator[Element]:
         e = e.parent
 
 
-def scored(found: list[tuple[str, Element, int]]) -> list[Element]:
+def scored(found: list[Block]) -> list[Element]:
     """The containers of a page's blocks, best first: a block's text counts fully for the container it stands in and half for the next one out."""
     met: dict[int, Element] = {}
-    for text, inside, links in found:
-        worth = max(0.0, len(text) - 2.0 * links)
-        for share, e in zip((1.0, 0.5), _containers(inside), strict=False):
+    for block in found:
+        worth = _worth(block)
+        for share, e in zip((1.0, 0.5), _containers(block[1]), strict=False):
             met.setdefault(id(e), e).score += worth * share * (1.25 if e.tag in ("article", "main") else 1.0)
     return sorted(met.values(), key=lambda e: (-e.score, e.path))
 

@@ -36,6 +36,20 @@ def test_host_path_wins(llm):
     assert len(got) == 10 and got[0].startswith("story text 0")
 
 
+def test_boilerplate_words_do_not_cover_the_article():
+    text = "\n".join(f"paragraph number {i} of the article with words" for i in range(6))
+    article = "".join(f"<p>{t}</p>" for t in text.split("\n"))
+    around = "<nav><a href='/'>home</a></nav>{}<footer>about this site</footer>"
+    for attributes in ("div class='content no-sidebar'", "div class='page has-sidebar'", "div class='layout with-header'", "div id='search-results'", "form id='aspnetForm'", "div class='comments-open' id=search"):
+        body = f"<{attributes}><div class=sidebar>side text</div>{article}</{attributes.split()[0]}>"
+        assert extract(page(around.format(body)), None) == text, attributes
+    for name in ("div class='entry-header'", "div class='section-header'", "header"):
+        assert extract(page(around.format(f"<article><{name}><h1>Title</h1></{name.split()[0]}>{article}</article>")), None) == "Title\n" + text, name
+    comments = "<section class=comments>" + "<p>me too, and a lot more of it, again and again</p>" * 20 + "</section>"
+    assert extract(page(around.format(f"<article>{article}</article>{comments}")), None) == text
+    assert extract(page("<header><h1>Site</h1></header><article><p>short text</p></article><aside>long side text, much longer than the article</aside>"), None) == "short text"
+
+
 def test_page_edges(llm):
     rows = [(1, None, None), (2, "not a url", ""), (2, "not a url", ""), (None, "http://h/1", page("<p>hello  \n world</p>")), (3, "http://h/2", page("<p>" + "word " * 300_000 + "</p>")),
             (4, "http://h/3", page("<div>" * 3000 + "deep" + "</div>" * 3000))]
