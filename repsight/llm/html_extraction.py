@@ -4,9 +4,9 @@ Pass one parses every page, scores its containers by the text of their
 paragraph-like blocks (less link text) and emits the generalised tag-class
 paths of the best ones. Spark sums the votes per host and path, with partial
 aggregation before the shuffle, and picks each host's path. Pass two joins the
-pages with their host's path and extracts the text of the elements on it; a
-page where that path holds less than half of the text of the page's own best
-container uses its own best.
+pages with their host's path and extracts the page's own main text (its best
+container and what belongs to it elsewhere: title, lead, further containers)
+and the text of the elements on the host's path, in page order.
 
 Edge cases: null and empty html give an empty text; a null or unusual url has
 the host ''; null page_ids and repeated rows are extracted row by row; further
@@ -49,6 +49,8 @@ OF_TEXT = frozenset("entry section post article story content page chapter".spli
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+#: Characters of a text that is more than a line of a page's frame.
+LEAST_TEXT = 60
 _DIGITS = re.compile(r"\d+")
 
 
@@ -209,18 +211,52 @@ def _within(e: Element, path: str) -> bool:
     return False
 
 
+def _is_heading(block: Block) -> bool:
+    return block[1].tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def own_text(found: list[Block], best: Element) -> set[int]:
+    """The numbers of the blocks of a page's main text: those on the best container's path and what belongs to them elsewhere.
+
+    Blocks are grouped by their innermost container. A group outside belongs to
+    the text if it isn't mostly links and stands under the container around the
+    best one, or has LEAST_TEXT characters; where only html and body hold it
+    together with the best container, its blocks must also be at least a quarter
+    as long as the best container's. The text then runs
+    from the first to the last block of these groups, with the headings before
+    it and without blocks that are mostly links.
+    """
+    text = {i for i, b in enumerate(found) if _within(b[1], best.path)}
+    around = {id(e): k for k, e in enumerate(_containers(best)) if e.tag != "body"}
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if i not in text and not _is_heading(b):
+            groups.setdefault(id(next(_containers(b[1]), None)), []).append(i)
+    mean = sum(_worth(found[i]) for i in text) / max(1, len(text))
+    for group in groups.values():
+        worth = sum(_worth(found[i]) for i in group)
+        level = next((around[id(e)] for e in _containers(found[group[0]][1]) if id(e) in around), None)
+        sibling, near = level is not None and level <= 1, level is not None
+        if 2 * worth > sum(len(found[i][0]) for i in group) and (sibling or worth >= LEAST_TEXT and (near or 4 * worth >= mean * len(group))):
+            text |= set(group)
+    first, last = min(text), max(text)
+    for i in range(first - 1, -1, -1):  # headings, with what stands between the page's h1 and the text
+        if found[i][1].tag == "h1" or (_is_heading(found[i]) and i == first - 1):
+            first = i
+    inside = {i for i in range(first, last + 1) if _is_heading(found[i]) or 2 * found[i][2] <= len(found[i][0])}
+    return text | inside
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """The main text: of the elements on ``path`` (the host's), or of the page's own best container."""
+    """The main text: the page's own, with what stands on ``path`` (the host's) besides."""
     found = blocks(page or "")
     best = scored(found)
     if not best:
         return "\n".join(t for t, _, _ in found)
-    own = [t for t, e, _ in found if _within(e, best[0].path)]
+    text = own_text(found, best[0])
     if path and path != best[0].path:
-        host = [t for t, e, _ in found if _within(e, path)]
-        if 2 * sum(map(len, host)) >= sum(map(len, own)):
-            return "\n".join(host)
-    return "\n".join(own)
+        text |= {i for i, b in enumerate(found) if _within(b[1], path)}
+    return "\n".join(found[i][0] for i in sorted(text))
 
 
 def host_of(url: Column) -> Column:

@@ -50,6 +50,23 @@ def test_boilerplate_words_do_not_cover_the_article():
     assert extract(page("<header><h1>Site</h1></header><article><p>short text</p></article><aside>long side text, much longer than the article</aside>"), None) == "short text"
 
 
+def test_whole_article_over_several_containers():
+    lead, body = "lead words " * 9, [f"sentence number {i} of the body, " * 3 for i in range(9)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in body)
+    want = "\n".join(" ".join(t.split()) for t in ("T", lead, *body))
+    links = "<div class=more>" + "".join(f"<p><a href=/{i}>another article of the site, number {i}, to be read</a></p>" for i in range(9)) + "</div>"
+    for outer in ("div class=post", "article", "section"):
+        for bodied in (f"<div class=body>{'. '.join(body)}</div>", f"<div class=body>{paragraphs}</div>"):
+            got = extract(page(f"<nav>menu</nav><{outer}><h1>T</h1><div class=lead>{lead}</div>{bodied}</{outer.split()[0]}>{links}<footer>end</footer>"), None)
+            assert got.split("\n")[:2] == want.split("\n")[:2] and "sentence number 8" in got and "another article" not in got, (outer, got)
+    got = extract(page(f"<div class=post><div class=lead>In short.</div><div class=body>{paragraphs}</div><div class=end>The end.</div></div>"), None)
+    assert got.split("\n") == ["In short.", *map(str.strip, body), "The end."]
+    halves = f"<div class=left>{paragraphs}</div><div class=ad>buy this now</div><div class=right><h2>Part two</h2>{paragraphs}</div>"
+    got = extract(page(halves), None)
+    assert got == "\n".join([*map(str.strip, body), "Part two", *map(str.strip, body)])
+    assert extract(page(halves), "html>body>div.left") == extract(page(halves), "html>body>div.right") == got
+
+
 def test_page_edges(llm):
     rows = [(1, None, None), (2, "not a url", ""), (2, "not a url", ""), (None, "http://h/1", page("<p>hello  \n world</p>")), (3, "http://h/2", page("<p>" + "word " * 300_000 + "</p>")),
             (4, "http://h/3", page("<div>" * 3000 + "deep" + "</div>" * 3000))]
