@@ -68,7 +68,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the pieces of all documents into sequences."""
     ship(spark)
-    return pack(docs)
+    return pack(docs).drop("bins", "bound")
 
 
 STAGES: list[tuple[str, Stage]] = [

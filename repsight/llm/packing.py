@@ -4,11 +4,15 @@ Documents are tokenized, cut only where longer than a sequence, and the pieces
 are dealt by hash to partitions of bounded size. Each partition packs its
 pieces by best-fit decreasing and computes a lower bound of its number of
 sequences from dual-feasible functions. A partition that meets its bound is
-certified: no packing of its pieces needs fewer. Partitions with a gap release
-their sequences that aren't nearly full; the released pieces are dealt anew
-(so pieces of different partitions meet) and packed again. A round counts only
-if it needs fewer sequences; the rounds end when nothing has a gap, when a
-round saves nothing, or after ``max_rounds``.
+certified: no packing of its pieces needs fewer. While all sequences together
+are more than the same bound of all pieces, the partitions release those that
+aren't nearly full; the released pieces are dealt anew (so pieces of different
+partitions meet) and packed again. A round counts only
+if it needs fewer sequences; after one that doesn't, the pieces are dealt by
+another seed. The rounds end when there is no such gap or when ``IDLE`` deals in
+a row (one, if all released pieces fit one partition) save nothing. ``bins`` and ``bound`` of the
+result are those of the partition that packed the piece last; ``certificate``
+gives those of the whole result.
 
 Edge cases: a null text is an empty one (one piece with the end id); repeated
 rows are packed once per row, also with equal or null doc_ids; ties are broken
@@ -31,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import default_vocabulary, encode
 
+#: Deals in a row without a gain that end the rounds.
+IDLE = 3
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, part long, bin long, offset long, fill long, bins long, bound long"
 
+RESULT = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "round", "bins", "bound")
+
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None) -> DataFrame:
     """The pieces of every document: (doc_id, piece, start, length, ids_crc32)."""
@@ -86,7 +94,12 @@ def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 24) -> int:
     Second family, for k = 1..steps: (k+1) * x / capacity is rounded down and
     divided by k, unless it is whole, when x counts as it is.
     """
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(object)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity, steps)
+
+
+def bound_of(count: np.ndarray, capacity: int, steps: int = 24) -> int:
+    """``lower_bound`` of ``count[x]`` pieces of each length x."""
+    count = count.astype(object)
     volume = [int(c) * x for x, c in enumerate(count)]
     best = -(-sum(volume) // capacity)
     below, above = np.cumsum([0, *volume]), np.cumsum([0, *count])
@@ -120,33 +133,50 @@ def packer(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 4096, partition_rows: int = 50_000, release_below: float = 0.995, max_rounds: int = 3, vocabulary: str | None = None) -> DataFrame:
+def all_bound(rows: DataFrame, capacity: int) -> int:
+    """The lower bound of all pieces together, from the number of pieces of each length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():
+        count[r["length"]] = r["n"]
+    return bound_of(count, capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
+    """(sequences of the whole result, sequences that any packing of its pieces needs)."""
+    return packed.filter("offset = 0").count(), all_bound(packed, capacity)
+
+
+def pack(docs: DataFrame, capacity: int = 4096, partition_rows: int = 50_000, release_below: float = 0.995, max_rounds: int | None = None, vocabulary: str | None = None) -> DataFrame:
     """Pack all documents into sequences of ``capacity`` ids: one row per piece with its sequence and offset.
 
     ``partition_rows`` bounds what one task packs. The result also carries
-    ``fill`` (ids in the sequence) and ``round`` (0: never released).
+    ``fill`` (ids in the sequence), ``round`` (0: never released), and ``bins``
+    and ``bound`` of the piece's partition.
     """
     left = written(pieces(docs, capacity, vocabulary), "pieces")
-    done, before, base = None, None, 0
-    for k in range(max_rounds + 1):
-        n = left.count()
-        if not n and done is not None:
-            break
+    done, before, base, k, deal, idle, settled, least = None, None, 0, 0, 0, 0, 0, None
+    while n := left.count() or done is None:
         parts = max(1, math.ceil(n / partition_rows))
-        dealt = left.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("long").alias("part"))
+        dealt = left.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(deal), "doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("long").alias("part"))
         packed = written(dealt.groupBy("part").applyInPandas(packer(capacity), PACKED), "packed")
-        bins = packed.filter("offset = 0").count()
-        if before is not None and bins >= before[0]:
-            done = done.unionByName(before[1])
-            break
+        bins, deal = packed.filter("offset = 0").count(), deal + 1
+        if before is not None and bins >= before:
+            idle += 1
+            if parts == 1 or idle == IDLE:
+                return done.unionByName(left).select(*RESULT)
+            continue
+        idle = 0
         numbered = packed.withColumn("sequence_id", (F.col("part") + F.lit(base)) * F.lit(1 << 32) + F.col("bin")).withColumn("round", F.lit(k))
         base += parts
-        loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < F.lit(math.floor(release_below * capacity)))
+        least = all_bound(packed, capacity) if least is None else least  # of all pieces: they are in the first deal
+        loose = F.lit(settled + bins > least) & (F.col("fill") < F.lit(math.floor(release_below * capacity)))
         kept = numbered.filter(~loose)
         done = kept if done is None else done.unionByName(kept)
         left = numbered.filter(loose)
-        before = (left.filter("offset = 0").count(), left)
-        if k == max_rounds or before[0] < 2:
+        before = left.filter("offset = 0").count()
+        settled += bins - before
+        if k == max_rounds or before < 2:
             done = done.unionByName(left)
             break
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "round")
+        k += 1
+    return done.select(*RESULT)

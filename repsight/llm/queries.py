@@ -64,7 +64,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """#9 Best-fit packing: the pieces of all documents in sequences of 4096 ids."""
-    return pack(table(spark, sf_dir, "documents")).drop("fill", "round")
+    return pack(table(spark, sf_dir, "documents")).drop("fill", "round", "bins", "bound")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

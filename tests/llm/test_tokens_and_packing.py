@@ -107,6 +107,15 @@ def test_packing_rounds_exchange_documents(documents, plain):
     assert -(-total // 512) <= n <= first
 
 
+def test_packing_goes_on_while_rounds_save(documents):
+    docs = documents.limit(400).cache()
+    few = packing.certificate(packing.pack(docs, capacity=512, partition_rows=25, max_rounds=3), 512)
+    rows = packing.pack(docs, capacity=512, partition_rows=25)
+    n, least = packing.certificate(rows, 512)
+    assert least <= n < 740 and n <= few[0] and least == few[1] == packing.lower_bound(np.array([r.length for r in rows.select("length").collect()]), 512)
+    assert all(r.bound <= r.bins for r in rows.select("bins", "bound").distinct().collect())
+
+
 def test_best_fit_and_bounds():
     rnd = random.Random(9)
     for _ in range(200):
