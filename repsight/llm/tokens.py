@@ -54,6 +54,7 @@ class _Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = False  # whether the segment at hand holds an added token
         self.names = _byte_names()
         self.pieces: dict[str, int] = {}
         self.flat, self.first = array("i"), array("q", [0])
@@ -71,7 +72,7 @@ class _Chunks(dict):
         return n
 
     def __missing__(self, chunk: str) -> int:
-        if _PLAIN.fullmatch(chunk) and not any(t in chunk for t in self.added):
+        if _PLAIN.fullmatch(chunk) and not (self.special and any(t in chunk for t in self.added)):
             parts = [self._piece(p) for p in _PIECES.findall(chunk.lower())]
             first, flat = self.first, self.flat
             n = parts[0] if len(parts) == 1 else self._put([x for p in parts for x in flat[first[p] : first[p + 1]]])
@@ -117,6 +118,7 @@ def encode(text: str | None, path: str) -> np.ndarray:
     """The ids of a whole text (null: none) with the end id appended, as little-endian unsigned 32-bit integers."""
     table, out = _chunks(path), []
     for part in segments(text or ""):
+        table.special = any(t in part for t in table.added)
         out.append(table.ids(part.replace("\n", " ").split(" ")))
         table.trim()
     return np.concatenate([*out, [END_ID]]).astype("<u4")
