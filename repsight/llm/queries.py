@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import license_scans, secret_scans, sql
 from .common import ship, table
+from .exact_dedup import exact_classes
 from .html_extraction import extract_pages
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
@@ -17,7 +18,9 @@ from .mixing import mix
 from .nearest import nearest
 from .packing import pack
 from .quality_rules import quality
+from .spelling import spelling_variants
 from .token_output import token_binary
+from .whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,21 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#11 Spelling variant grouping: the words of all documents, their near words, forms and roots."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#12 Exact dedup: the class of every document by the bytes of its normalised text."""
+    return exact_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """#13 Embedding whitening: all vectors on the components of their distinct vectors' covariance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +101,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (op1_mixing, op2_jaccard_join, op3_html_extraction, op4_line_dedup, op5_nearest, op6_secret_scans,
-                                      op7_quality_rules, op8_license_scans, op9_packing, op10_token_output)
+                                      op7_quality_rules, op8_license_scans, op9_packing, op10_token_output,
+                                      op11_spelling_variants, op12_exact_dedup, op13_whitening)
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": sql.MIXING, "op4_line_dedup": sql.LINE_DEDUP, "op7_quality_rules": sql.QUALITY}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": sql.MIXING, "op4_line_dedup": sql.LINE_DEDUP, "op7_quality_rules": sql.QUALITY, "op12_exact_dedup": sql.EXACT_DEDUP}

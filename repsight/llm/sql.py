@@ -91,3 +91,10 @@ judged as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed
 from judged
 """
+
+EXACT_DEDUP = f"""
+with bodies as (select doc_id, regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g') as body from documents)
+select doc_id, min(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
+  row_number() over (partition by body order by doc_id nulls last) = 1 as kept, sha256(body) as text_sha256
+from bodies
+"""
