@@ -18,7 +18,8 @@ def left_join_spread(rows: DataFrame, keys: DataFrame, on: Sequence[str], n_rows
     at most 1,024 of them, and together they are no longer than 1,024 mean rows.
     Their rows are found without a shuffle by key and then dealt evenly over
     the partitions of the other keys' join. Both sides' key columns must not be
-    null. Result: the columns of ``rows``, then those of ``keys`` outside ``on``.
+    null. The other keys always meet their rows in a sort-merge join, so the work
+    keeps its kind as the tables grow. Result: the columns of ``rows``, then those of ``keys`` outside ``on``.
     """
     values = [c for c in keys.columns if c not in on]
     limit = max(n_rows // HOT_KEYS, 1)
@@ -27,5 +28,5 @@ def left_join_spread(rows: DataFrame, keys: DataFrame, on: Sequence[str], n_rows
     met = rows.join(F.broadcast(hot), [F.col(c) == F.col(f"__h_{c}") for c in on], "left")
     # a hot row's place is drawn from the seeded generator of its partition, the same in a repeated task
     met = met.withColumn("__deal", F.when(F.col("__h_n").isNull(), F.lit(-1)).otherwise((F.rand(11) * (1 << 20)).cast("int")))
-    joined = met.join(cold, [F.col("__deal") == F.col("__c_deal"), *[F.col(c) == F.col(f"__c_{c}") for c in on]], "left")
+    joined = met.join(cold.hint("merge"), [F.col("__deal") == F.col("__c_deal"), *[F.col(c) == F.col(f"__c_{c}") for c in on]], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"__h_{c}", f"__c_{c}").alias(c) for c in values])
