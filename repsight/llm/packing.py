@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import default_vocabulary, encode
+from .tokens import default_vocabulary, encode_all
 
 #: Deals in a row without a gain that end the rounds.
 IDLE = 3
@@ -50,8 +50,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None) -> Dat
         path = vocabulary or default_vocabulary()
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, key = encode(text.as_py(), path), key.as_py()
+            for key, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1), path), strict=True):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((key, k, at, len(part), zlib.crc32(part.tobytes())))

@@ -2,11 +2,14 @@
 
 The public ``word_bpe_49k`` tokenizer lower-cases, drops white space and never
 lets a token cross a space, so a text's ids are the ids of its chunks between
-spaces and line ends, one after the other. Texts repeat chunks often; each
-Python worker keeps the ids of the chunks it has met in a bounded table and
-assembles a text's ids by array gathering. ``tests/llm`` compares the result
-with encoding the whole text by the library as loaded: chunks that hold an
-added token (``<|endoftext|>``) go to the library, which gives that token's id.
+spaces and line ends, one after the other. Arrow splits a batch of texts into
+chunks and numbers the distinct ones; only these are looked at. Chunks of
+plain letters and signs are split into the tokenizer's pieces, all by one
+search, and each Python worker keeps the ids of the pieces it has met in a
+bounded table. All other chunks, and those that hold an added token
+(``<|endoftext|>``), go to the library as they are. The ids of the texts are
+gathered from the chunks' ids. ``tests/llm`` compares the result with encoding
+the whole text by the library as loaded.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
-#: Entries of a worker's tables of chunks and of pieces, and ids held for them; a full table is emptied, which costs time only.
-CHUNK_ENTRIES, PIECE_ENTRIES, HELD_IDS = 600_000, 600_000, 8_000_000
-#: Characters handled at once, so that one very long text needs no list of all its words.
-SEGMENT_CHARS = 1 << 20
+#: Entries of a worker's table of pieces and ids held for them; a full table is emptied, which costs time only.
+PIECE_ENTRIES, HELD_IDS = 800_000, 8_000_000
+#: Bytes of texts handled at once; longer texts are cut into segments of about so many characters.
+BATCH_BYTES, SEGMENT_CHARS = 16 << 20, 4 << 20
 # The tokenizer's split pattern, restricted to printable ASCII and the Latin letters U+00C0..U+017F after lower-casing.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 #: Chunks of these characters are in normal form, lower-case letter by letter, and hold no white space.
-_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PLAIN = r"^[!-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]+$"
 
 
 def default_vocabulary() -> str:
@@ -44,8 +49,14 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-class _Chunks(dict):
-    """chunk -> number; the chunk's ids stand in ``flat`` from ``first[number]`` on, and so do those of its pieces."""
+def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``flat[start : start + n]`` of all entries, one after the other."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Pieces(dict):
+    """piece -> number; the piece's ids stand in ``flat`` from ``first[number]`` on. Number 0 is the line end, without ids."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -54,52 +65,62 @@ class _Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = False  # whether the segment at hand holds an added token
         self.names = _byte_names()
-        self.pieces: dict[str, int] = {}
-        self.flat, self.first = array("i"), array("q", [0])
-
-    def _put(self, ids: list[int] | array) -> int:
-        self.flat.extend(ids)
-        self.first.append(len(self.flat))
-        return len(self.first) - 2
+        self.empty()
 
-    def _piece(self, piece: str) -> int:
-        n = self.pieces.get(piece)
-        if n is None:
-            named = piece if piece.isascii() else "".join([self.names[b] for b in piece.encode()])
-            self.pieces[piece] = n = self._put([t.id for t in self.tokenizer.model.tokenize(named)])
-        return n
+    def empty(self) -> None:
+        self.clear()
+        self["\n"] = 0
+        self.flat, self.first = array("i"), array("q", [0, 0])
 
-    def __missing__(self, chunk: str) -> int:
-        if _PLAIN.fullmatch(chunk) and not (self.special and any(t in chunk for t in self.added)):
-            parts = [self._piece(p) for p in _PIECES.findall(chunk.lower())]
-            first, flat = self.first, self.flat
-            n = parts[0] if len(parts) == 1 else self._put([x for p in parts for x in flat[first[p] : first[p + 1]]])
-        else:
-            n = self._put(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        self[chunk] = n
+    def __missing__(self, piece: str) -> int:
+        named = piece if piece.isascii() else "".join([self.names[b] for b in piece.encode()])
+        self.flat.extend([t.id for t in self.tokenizer.model.tokenize(named)])
+        self.first.append(len(self.flat))
+        self[piece] = n = len(self.first) - 2
         return n
 
-    def ids(self, chunks: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        first, flat = np.frombuffer(self.first, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
-        start, n = first[at], first[at + 1] - first[at]
-        where = np.repeat(start - (np.cumsum(n) - n), n)
-        return flat[where + np.arange(len(where))]
-
-    def trim(self) -> None:
-        if len(self.flat) > HELD_IDS or len(self.pieces) > PIECE_ENTRIES:
-            self.clear()
-            self.pieces.clear()
-            self.flat, self.first = array("i"), array("q", [0])
-        elif len(self) > CHUNK_ENTRIES:
-            self.clear()
+    def _plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks, one after the other, and how many each has."""
+        if not len(chunks):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "\n")[0].as_py()
+        items = _PIECES.findall(joined.lower())
+        number = np.fromiter(map(self.__getitem__, items), np.int64, len(items))
+        first = np.frombuffer(self.first, np.int64)
+        n = first[number + 1] - first[number]
+        ids = _gather(np.frombuffer(self.flat, np.int32), first[number], n)
+        return ids, np.add.reduceat(n, np.concatenate(([0], np.flatnonzero(number == 0))))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (none null), one after the other, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary.cast(pa.string())
+        plain = pc.match_substring_regex(distinct, _PLAIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(distinct, token))
+        mask = np.asarray(plain.to_numpy(zero_copy_only=False), bool)
+        known, n_known = self._plain(distinct.filter(plain))
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(distinct.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        flat = np.concatenate([known, *(np.array(o, np.int32) for o in others)])
+        n = np.zeros(len(distinct), np.int64)
+        n[mask], n[~mask] = n_known, [len(o) for o in others]
+        start = np.zeros(len(distinct), np.int64)
+        start[mask] = np.cumsum(n[mask]) - n[mask]
+        start[~mask] = len(known) + np.cumsum(n[~mask]) - n[~mask]
+        at = chunks.indices.to_numpy()
+        ids = _gather(flat, start[at], n[at])
+        # every text has a chunk, if only an empty one
+        sizes = np.add.reduceat(n[at], np.cumsum(np.concatenate(([0], np.asarray(lists.value_lengths())[:-1])))) if len(texts) else np.zeros(0, np.int64)
+        if len(self) > PIECE_ENTRIES or len(self.flat) > HELD_IDS:
+            self.empty()
+        return ids, sizes
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
 
 
 def segments(text: str) -> Iterator[str]:
@@ -116,9 +137,22 @@ def segments(text: str) -> Iterator[str]:
 
 def encode(text: str | None, path: str) -> np.ndarray:
     """The ids of a whole text (null: none) with the end id appended, as little-endian unsigned 32-bit integers."""
-    table, out = _chunks(path), []
-    for part in segments(text or ""):
-        table.special = any(t in part for t in table.added)
-        out.append(table.ids(part.replace("\n", " ").split(" ")))
-        table.trim()
-    return np.concatenate([*out, [END_ID]]).astype("<u4")
+    table = _pieces(path)
+    return np.concatenate([*(table.ids(pa.array([part]))[0] for part in segments(text or "")), [END_ID]]).astype("<u4")
+
+
+def encode_all(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """``encode`` of every text of an Arrow column, in order; about BATCH_BYTES of texts at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, side="right")))
+        if end == at + 1:
+            yield encode(texts[at].as_py(), path)
+        else:
+            ids, n = _pieces(path).ids(pc.fill_null(texts.slice(at, end - at), ""))
+            ends = np.cumsum(n)
+            ids = np.insert(ids, ends, END_ID).astype("<u4")
+            for k, e in enumerate(ends.tolist()):
+                yield ids[e - int(n[k]) + k : e + k + 1]
+        at = end

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from repsight.llm import mixing, packing, tokens
@@ -16,7 +18,6 @@ from repsight.llm.token_output import read_tokens, token_binary, write_tokens
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, tokens.END_ID], "<u4")
 
 
@@ -27,14 +28,19 @@ def test_encoding_equals_whole_text(plain, texts):
     path = tokens.default_vocabulary()
     for text in [*list(texts.values())[:300], *odd, "", None]:
         assert tokens.encode(text, path).tolist() == plain(text).tolist(), text
+    column = [*odd, None, "", *list(texts.values())[:300], "a <|endoftext|> b<|startoftext|>", " ", "\n\n"]
+    for got, text in zip(tokens.encode_all(pa.array(column).slice(5), path), column[5:], strict=True):
+        assert got.tolist() == plain(text).tolist(), text
 
 
 def test_long_texts_in_segments(plain, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT_CHARS", 50)
-    monkeypatch.setattr(tokens, "CHUNK_ENTRIES", 20)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 200)
     monkeypatch.setattr(tokens, "PIECE_ENTRIES", 30)
     text = " ".join(f"Word{i}, other {i % 7}'s" for i in range(500)) + "y" * 500
     assert tokens.encode(text, tokens.default_vocabulary()).tolist() == plain(text).tolist()
+    column = [text, "one", None, text[:150], text[:90], "", text[7:]]
+    assert [i.tolist() for i in tokens.encode_all(pa.array(column), tokens.default_vocabulary())] == [plain(t).tolist() for t in column]
 
 
 def test_added_tokens_as_the_library_gives_them():
@@ -70,6 +76,43 @@ def test_orc_files(llm, documents):
     assert one.count() == 1
 
 
+def scanned(df):
+    """Rows that the scan of a collected frame handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_orc_indexes_and_bloom_filters_prune(llm):
+    path = scratch(llm, "orc")
+    docs = llm.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.format_string("word %d", "id").alias("text"))
+    write_tokens(docs, path, row_index_stride=1000)
+    jvm, conf = llm._jvm, llm._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        kinds = {str(s.getKind()) for s in reader.rows().readStripeFooter(reader.getStripes()[0]).getStreamsList() if s.getColumn() == 1}
+        assert "ROW_INDEX" in kinds and "BLOOM_FILTER_UTF8" in kinds
+    ids = read_tokens(llm, path)
+    assert scanned(ids) == 20_000
+    assert scanned(ids.filter("doc_id = 7000")) <= 1000  # one row group, by its least and largest id
+    assert scanned(ids.filter("doc_id = 7001")) < 1000  # inside that range, but not in its Bloom filter
+
+
+def test_rows_without_id_are_divided(llm):
+    llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be joined again
+    path = scratch(llm, "orc")
+    docs = llm.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("word"), "id").alias("text"))
+    got = sorted((r.start, r.n_tokens) for r in token_binary(docs, path).collect())
+    llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(llm.read.orc(path).select(F.input_file_name()).distinct().collect()) > 1
+    assert [g[0] for g in got] == np.cumsum([0, *(g[1] for g in got)])[:-1].tolist() and len(got) == 400
+
+
 def check_packing(rows, docs, plain, capacity):
     ids = defaultdict(Counter)
     for r in docs:
