@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--star", help="folder with territories, products, reps, physicians, sales, call_logs")
     src.add_argument("--tpch", help="folder with the TPC-H-shaped test tables (fixture mapping)")
     ap.add_argument("--star-format", default="csv", choices=("csv", "parquet"))
+    ap.add_argument("--ingest", help="first write a CSV star to this folder as Parquet, its bad records to <folder>/quarantine")
     ap.add_argument("--out", required=True, help="output folder (one sub-folder per result)")
     ap.add_argument("--format", default="csv", choices=("csv", "parquet", "json"))
     ap.add_argument("--only", nargs="*", choices=RESULTS, help="write only these results")
@@ -56,9 +57,14 @@ def main(argv: list[str] | None = None) -> int:
         p = _params(fixture_params(), args.set)
         star = fixture_star(spark, args.tpch, p)
     else:
-        from repsight.sources.readers import read_star
+        from repsight.sources.readers import ingest_star, read_star
         p = _params(Params(), args.set)
-        star = read_star(spark, args.star, fmt=args.star_format)
+        if args.ingest:
+            star, bad = ingest_star(spark, args.star, args.ingest)
+            for row in bad.groupBy("table").count().orderBy("table").collect():
+                print(f"{row['table']}: {row['count']} records don't fit, see {args.ingest.rstrip('/')}/quarantine")
+        else:
+            star = read_star(spark, args.star, fmt=args.star_format)
     written = run_analysis(star, p, args.out, fmt=args.format, only=tuple(args.only) if args.only else None,
                            region=args.region, territory_id=args.territory)
     print("\n".join(f"wrote {args.out.rstrip('/')}/{name}" for name in written))
