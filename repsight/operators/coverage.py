@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repsight.functions.exprs import as_int, coverage_status, distinct_count, lookup, round_half_away, safe_div
+from repsight.functions.ranking import exact_medians, rank_distributed
 from repsight.params import Params
 
 PHYSICIAN_COLS = ("hcp_id", "hcp_name", "territory_id", "specialty", "prescriber_tier", "monthly_rx_volume",
@@ -54,6 +55,21 @@ def hcp_coverage_gap(physicians: DataFrame, call_logs: DataFrame, p: Params) ->
                     .alias("estimated_monthly_revenue_potential")))
 
 
+def hcp_ranking(physicians: DataFrame, call_logs: DataFrame) -> DataFrame:
+    """Every HCP by calls received, most first, and by Rx volume: ``RANK`` over all HCPs, most of them tied."""
+    calls = call_logs.groupBy("hcp_id").agg(F.count(F.lit(1)).alias("_n"))
+    frame = physicians.select("hcp_id", "monthly_rx_volume").join(calls, "hcp_id", "left").select(
+        "hcp_id", "monthly_rx_volume", F.coalesce("_n", F.lit(0)).cast("bigint").alias("total_calls_received"))
+    return rank_distributed(rank_distributed(frame, [("total_calls_received", "desc")], "call_rank"), [("monthly_rx_volume", "desc")], "rx_rank")
+
+
+def hcp_medians(physicians: DataFrame, call_logs: DataFrame) -> DataFrame:
+    """Exact medians over all HCPs of Rx volume and calls received (unreached HCPs count with 0)."""
+    calls = call_logs.groupBy("hcp_id").agg(F.count(F.lit(1)).alias("_n"))
+    frame = physicians.select("hcp_id", "monthly_rx_volume").join(calls, "hcp_id", "left")
+    return exact_medians(frame.select("monthly_rx_volume", F.coalesce("_n", F.lit(0)).alias("calls")), ["monthly_rx_volume", "calls"])
+
+
 def coverage_status_counts(coverage: DataFrame) -> DataFrame:
     """#18 HCPs per coverage status."""
     return coverage.groupBy("coverage_status").agg(F.count(F.lit(1)).alias("n"))

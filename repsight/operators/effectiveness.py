@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, once, round_half_away, safe_div,
                                       to_money)
-from repsight.functions.ranking import ntile_distributed, scalar
+from repsight.functions.ranking import exact_medians, ntile_distributed, rank_distributed, scalar
 from repsight.params import Params
+from repsight.plans.session import ensure_checkpoint_dir
 
 
 def _rep_sales_cents(sales: DataFrame, rsd: float | None = None) -> DataFrame:
@@ -71,20 +72,14 @@ def _rep_calls(call_logs: DataFrame, physicians: DataFrame, rsd: float | None) -
                     "tier_a_calls", "tier_b_calls", "tier_c_calls"))
 
 
-def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame,
-                p: Params) -> DataFrame:
-    """#14 one row per rep with both sales and calls: rates, per-call and per-HCP revenue,
-    productivity index against the best rep (null when no rep has revenue), revenue quartile.
-
-    The numbering checkpoints the rep frame once; the best rep is a scalar over
-    that written frame.
-    """
+def _rep_frame(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame, p: Params) -> DataFrame:
+    """One row per rep with both sales and calls; ``_rpc`` is the unrounded revenue per call."""
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
             .join(_rep_sales_cents(sales, p.approx_distinct_rsd), "rep_id")
             .join(_rep_calls(call_logs, physicians, p.approx_distinct_rsd), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))
-    cols = [
+    return base.select(
         "rep_id", "rep_name", "territory_id", "region", "experience_years", "education",
         "total_revenue", "total_units", "products_sold", "total_calls", "total_conversions",
         round_half_away(F.col("conversion_rate") * 100.0, 1).alias("conversion_rate_pct"),
@@ -94,10 +89,25 @@ def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physici
         round_half_away(safe_div("total_calls", "months_active"), 1).alias("avg_monthly_calls"),
         round_half_away(F.col("_rpc"), 2).alias("revenue_per_call"),
         round_half_away(safe_div("total_revenue", "unique_hcps_visited"), 2).alias("revenue_per_hcp"),
-        "_rpc"]
-    out = ntile_distributed(base.select(*cols), p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile")
-    best = scalar(out.agg(F.max("_rpc").alias("best")), "best")
-    out = once(out, "_pi", F.col("_rpc") / F.nullif(best, F.lit(0.0)) * 100.0)
+        "_rpc")
+
+
+def _indexed(frame: DataFrame) -> DataFrame:
+    """``frame`` (cut off from its lineage) with ``_pi``, revenue per call against the best rep's."""
+    best = scalar(frame.agg(F.max("_rpc").alias("best")), "best")
+    return once(frame, "_pi", F.col("_rpc") / F.nullif(best, F.lit(0.0)) * 100.0)
+
+
+def sfe_metrics(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame,
+                p: Params) -> DataFrame:
+    """#14 one row per rep with both sales and calls: rates, per-call and per-HCP revenue,
+    productivity index against the best rep (null when no rep has revenue), revenue quartile.
+
+    The numbering checkpoints the rep frame once; the best rep is a scalar over
+    that written frame.
+    """
+    frame = _rep_frame(reps, sales, call_logs, physicians, p)
+    out = _indexed(ntile_distributed(frame, p.rep_tiles, ["total_revenue", "rep_id"], "performance_quartile"))
     return out.select(*[c for c in out.columns if c not in ("_rpc", "_pi", "performance_quartile")],
                       round_half_away("_pi", 1).alias("productivity_index"), "performance_quartile")
 
@@ -106,3 +116,26 @@ def sfe_averages(sfe: DataFrame) -> DataFrame:
     """#15 mean revenue per call and mean productivity index over reps (of the rounded columns)."""
     return sfe.agg(exact_mean("revenue_per_call", 2).alias("avg_revenue_per_call"),
                    exact_mean("productivity_index", 1).alias("avg_productivity_index"))
+
+
+def rep_averages(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame, p: Params) -> DataFrame:
+    """#15 straight from the facts, for callers without #14: no numbering, and only what the two means need."""
+    ensure_checkpoint_dir(reps.sparkSession)
+    frame = _rep_frame(reps, sales, call_logs, physicians, p).select("revenue_per_call", "_rpc").checkpoint(eager=True)
+    return sfe_averages(_indexed(frame).select("revenue_per_call", round_half_away("_pi", 1).alias("productivity_index")))
+
+
+def rep_ranking(sales: DataFrame, p: Params | None = None) -> DataFrame:
+    """Reps by revenue and by units, largest first: two ``RANK``s over an entity that grows with the data, ties share a place."""
+    totals = sales.groupBy("rep_id").agg(money_sum("revenue_usd").alias("_cents"), F.sum("units_sold").cast("bigint").alias("total_units"),
+                                         F.count(F.lit(1)).alias("n_sales"))
+    ranked = rank_distributed(totals, [("_cents", "desc")], "revenue_rank")
+    ranked = rank_distributed(ranked, [("n_sales", "desc")], "sales_rank")
+    return ranked.select("rep_id", to_money("_cents").alias("total_revenue"), "total_units", "n_sales", "revenue_rank", "sales_rank")
+
+
+def rep_medians(sales: DataFrame) -> DataFrame:
+    """Exact medians over reps of revenue, units and number of sales, by distributed selection."""
+    totals = sales.groupBy("rep_id").agg(to_money(money_sum("revenue_usd")).alias("revenue"), F.sum("units_sold").cast("bigint").alias("units"),
+                                         F.count(F.lit(1)).alias("n_sales"))
+    return exact_medians(totals, ["revenue", "units", "n_sales"])

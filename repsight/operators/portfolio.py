@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import (distinct_count, money_sum, once, pct_change, round_half_away, to_money,
+from repsight.functions.exprs import (distinct_count, money_sum, pct_change, round_half_away, to_money,
                                       wide_sum)
-from repsight.functions.ranking import scalar
+from repsight.functions.ranking import over_all
 from repsight.params import Params
 
 PRODUCT_ATTRS = ("product_id", "product_name", "therapeutic_area", "bcg_quadrant", "market_share_pct",
@@ -61,11 +61,13 @@ def product_totals(sales: DataFrame, products: DataFrame, p: Params) -> DataFram
 
 
 def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataFrame:
-    """#22 product totals + YoY growth % and share of all revenue %."""
+    """#22 product totals + YoY growth % and share of all revenue %.
+
+    The grand total is a window over the product rows (a dimension), so the facts are read once.
+    """
     y0, y1 = f"rev_{p.prior_year}", f"rev_{p.current_year}"
-    totals = _product_totals_cents(sales, products, p)
-    grand = to_money(scalar(totals.agg(wide_sum("total_revenue").alias("grand")), "grand"))
-    return once(totals, "_share", to_money("total_revenue") / F.nullif(grand, F.lit(0.0)) * 100.0).select(
+    totals = _product_totals_cents(sales, products, p).withColumn("_grand", over_all(wide_sum("total_revenue")))
+    return totals.withColumn("_share", to_money("total_revenue") / F.nullif(to_money("_grand"), F.lit(0.0)) * 100.0).select(
         *PRODUCT_ATTRS, to_money("total_revenue").alias("total_revenue"), "total_units",
         to_money(y0).alias(y0), to_money(y1).alias(y1), "peak_reps_selling", "peak_territories",
         round_half_away(pct_change(y1, y0), 1).alias("revenue_growth_pct"),

@@ -54,7 +54,7 @@ QUERIES: dict[str, Query] = {
     "rep_call_stats": lambda s, p: effectiveness.rep_call_stats(s.call_logs, p),
     "rep_tier_mix": lambda s, p: effectiveness.rep_tier_mix(s.call_logs, s.physicians),
     "sfe_metrics": _sfe,
-    "sfe_averages": lambda s, p: effectiveness.sfe_averages(_sfe(s, p)),
+    "sfe_averages": lambda s, p: effectiveness.rep_averages(s.reps, s.sales, s.call_logs, s.physicians, p),
     # M4 coverage
     "hcp_call_stats": lambda s, p: coverage.hcp_call_stats(s.call_logs, p),
     "hcp_coverage_gap": _cov,
@@ -109,5 +109,11 @@ QUERIES |= {
     "coverage_mandate_tier": lambda s, p: reports.coverage_mandate_tier(_cov(s, p), p),
     "channel_summary_weighted": lambda s, p: promotion.channel_summary(s.call_logs, weighted=True),
     "promotional_response_weighted": lambda s, p: promotion.promotional_response(s.call_logs, p, weighted=True),
+    # the original's RANK and median over entities that grow with the data
+    "rep_ranking": lambda s, p: effectiveness.rep_ranking(s.sales, p),
+    "hcp_ranking": lambda s, p: coverage.hcp_ranking(s.physicians, s.call_logs),
+    "rep_medians": lambda s, p: effectiveness.rep_medians(s.sales),
+    "hcp_medians": lambda s, p: coverage.hcp_medians(s.physicians, s.call_logs),
 }
-INVENTORY_NUMBER |= {"filter_scope_territory": 35, "coverage_mandate_tier": 37, "channel_summary_weighted": 25, "promotional_response_weighted": 27}
+INVENTORY_NUMBER |= {"filter_scope_territory": 35, "coverage_mandate_tier": 37, "channel_summary_weighted": 25, "promotional_response_weighted": 27,
+                     "rep_ranking": 27, "hcp_ranking": 27, "rep_medians": 7, "hcp_medians": 7}
