@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from repsight.functions.exprs import as_int, coverage_status, distinct_count, lookup, round_half_away, safe_div
 from repsight.functions.ranking import exact_medians, rank_distributed
+from repsight.grains import CallGrains
 from repsight.params import Params
 
 PHYSICIAN_COLS = ("hcp_id", "hcp_name", "territory_id", "specialty", "prescriber_tier", "monthly_rx_volume",
                   "hospital_affiliation", "digital_engagement")
 
 
-def hcp_call_stats(call_logs: DataFrame, p: Params) -> DataFrame:
+def hcp_call_stats(call_logs: DataFrame | CallGrains, p: Params) -> DataFrame:
     """#16 calls, distinct reps and months, conversion rate and calls per month of the fixed period."""
-    return (call_logs.groupBy("hcp_id")
-            .agg(F.count(F.lit(1)).alias("total_calls_received"),
-                 distinct_count("rep_id", p.approx_distinct_rsd).alias("unique_reps"),
-                 distinct_count("month", p.approx_distinct_rsd).alias("months_contacted"),
-                 F.sum(as_int("converted")).alias("_conv"))
-            .select("hcp_id", "total_calls_received", "unique_reps", "months_contacted",
+    if isinstance(call_logs, CallGrains):
+        grouped = call_logs.hcp()
+    else:
+        grouped = call_logs.groupBy("hcp_id").agg(F.count(F.lit(1)).alias("total_calls_received"),
+                                                  distinct_count("rep_id", p.approx_distinct_rsd).alias("unique_reps"),
+                                                  distinct_count("month", p.approx_distinct_rsd).alias("months_contacted"),
+                                                  F.sum(as_int("converted")).alias("_conv"))
+    return (grouped.select("hcp_id", "total_calls_received", "unique_reps", "months_contacted",
                     safe_div("_conv", "total_calls_received").alias("conversion_rate"),
                     (F.col("total_calls_received").cast("double") / F.lit(float(p.period_months)))
                     .alias("avg_monthly_calls")))

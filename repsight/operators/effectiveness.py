@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, once, round_half_away, safe_div,
                                       to_money)
 from repsight.functions.ranking import exact_medians, ntile_distributed, rank_distributed, scalar
+from repsight.grains import CallGrains, SalesGrains
 from repsight.params import Params
 from repsight.plans.session import ensure_checkpoint_dir
 
 
-def _rep_sales_cents(sales: DataFrame, rsd: float | None = None) -> DataFrame:
+def _rep_sales_cents(sales: DataFrame | SalesGrains, rsd: float | None = None) -> DataFrame:
+    if isinstance(sales, SalesGrains):
+        return sales.rep()
     return (sales.groupBy("rep_id")
             .agg(money_sum("revenue_usd").alias("total_revenue"),
                  F.sum("units_sold").cast("bigint").alias("total_units"),
@@ -61,15 +64,16 @@ def rep_tier_mix(call_logs: DataFrame, physicians: DataFrame) -> DataFrame:
             .groupBy("rep_id").agg(*_tier_aggregates()))
 
 
-def _rep_calls(call_logs: DataFrame, physicians: DataFrame, rsd: float | None) -> DataFrame:
+def _rep_calls(call_logs: DataFrame | CallGrains, physicians: DataFrame, rsd: float | None) -> DataFrame:
     """#12 and #13 in one pass over the calls; a rep needs a call to a known HCP, as #13 does."""
-    known = physicians.select("hcp_id", "prescriber_tier", F.lit(1).alias("_known"))
     rate, duration = _call_ratios()
+    shown = ["rep_id", "total_calls", "total_conversions", rate, "unique_hcps_visited", "months_active", duration, "tier_a_calls", "tier_b_calls", "tier_c_calls"]
+    if isinstance(call_logs, CallGrains):
+        return call_logs.rep(physicians).where(F.col("_matched") > 0).select(*shown)
+    known = physicians.select("hcp_id", "prescriber_tier", F.lit(1).alias("_known"))
     return (call_logs.select("rep_id", "hcp_id", "month", "converted", "call_duration_min").join(known, "hcp_id", "left")
             .groupBy("rep_id").agg(*_call_aggregates(rsd), *_tier_aggregates(), F.sum("_known").alias("_matched"))
-            .where(F.col("_matched") > 0)
-            .select("rep_id", "total_calls", "total_conversions", rate, "unique_hcps_visited", "months_active", duration,
-                    "tier_a_calls", "tier_b_calls", "tier_c_calls"))
+            .where(F.col("_matched") > 0).select(*shown))
 
 
 def _rep_frame(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame, p: Params) -> DataFrame:

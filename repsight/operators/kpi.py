@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from repsight.functions.exprs import distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money, wide_sum
 from repsight.functions.ranking import scalars
+from repsight.grains import SalesGrains
 from repsight.params import Params
 
 
 def kpi_sales(sales: DataFrame, p: Params) -> DataFrame:
     """#28 revenue (all years, current, prior), growth %, active territories and reps, revenue per rep."""
     y0, y1 = p.prior_year, p.current_year
-    fine = sales.groupBy("year", "territory_id", "rep_id").agg(money_sum("revenue_usd").alias("_rev"))
+    if isinstance(sales, SalesGrains):
+        fine = sales.year_territory_rep()
+    else:
+        fine = sales.groupBy("year", "territory_id", "rep_id").agg(money_sum("revenue_usd").alias("_rev"))
     yr, rev = F.col("year"), F.col("_rev")
     agg = fine.agg(to_money(wide_sum(rev)).alias("_all"),
                    to_money(wide_sum(F.when(yr == y0, rev))).alias("_prior"),

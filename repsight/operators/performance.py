@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from repsight.functions.exprs import distinct_count, money_sum, pct_change, round_half_away, safe_div, to_money
 from repsight.functions.ranking import ntile_window
+from repsight.grains import SalesGrains
 from repsight.params import Params
 
 TERRITORY_ATTRS = ("market_potential_index", "competitor_intensity", "urban_index", "num_target_hcps")
 
 
-def _yearly(sales: DataFrame, rsd: float | None = None) -> DataFrame:
+def _yearly(sales: DataFrame | SalesGrains, rsd: float | None = None) -> DataFrame:
+    if isinstance(sales, SalesGrains):
+        return sales.territory_year()
     return (sales.groupBy("territory_id", "year")
             .agg(money_sum("revenue_usd").alias("revenue"),
                  money_sum("net_revenue_usd").alias("net_revenue"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import (distinct_count, money_sum, pct_change, round_half_away, to_money,
                                       wide_sum)
 from repsight.functions.ranking import over_all
+from repsight.grains import SalesGrains
 from repsight.params import Params
 
 PRODUCT_ATTRS = ("product_id", "product_name", "therapeutic_area", "bcg_quadrant", "market_share_pct",
@@ -25,7 +26,9 @@ def _products(products: DataFrame) -> DataFrame:
                            "bcg_quadrant", "market_share_pct", "market_growth_rate", "list_price")
 
 
-def _product_month_cents(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
+def _product_month_cents(sales: DataFrame | SalesGrains, products: DataFrame, rsd: float | None = None) -> DataFrame:
+    if isinstance(sales, SalesGrains):
+        return sales.product_month().join(_products(products), "product_id")
     monthly = (sales.groupBy("product_id", "year", "month_num", "month")
                .agg(money_sum("revenue_usd").alias("monthly_revenue"),
                     F.sum("units_sold").cast("bigint").alias("monthly_units"),
@@ -76,8 +79,10 @@ def product_portfolio(sales: DataFrame, products: DataFrame, p: Params) -> DataF
 
 def product_monthly_trend(sales: DataFrame, products: DataFrame) -> DataFrame:
     """#23 monthly revenue per product (for sparklines)."""
-    monthly = (sales.groupBy("product_id", "month", "year", "month_num")
-               .agg(to_money(money_sum("revenue_usd")).alias("monthly_revenue")))
+    if isinstance(sales, SalesGrains):
+        monthly = sales.product_month().withColumn("monthly_revenue", to_money("monthly_revenue"))
+    else:
+        monthly = sales.groupBy("product_id", "month", "year", "month_num").agg(to_money(money_sum("revenue_usd")).alias("monthly_revenue"))
     return (monthly.join(products.select("product_id", F.col("name").alias("product_name"), "bcg_quadrant"),
                          "product_id")
             .select("product_id", "product_name", "bcg_quadrant", "month", "year", "month_num",

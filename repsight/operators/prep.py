@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import (bcg_label, deployment_label, lookup, money_sum, round_half_away, safe_div,
                                       to_money, wide_sum)
 from repsight.functions.ranking import over_all, scalar
+from repsight.grains import SalesGrains
 from repsight.params import Params
 from repsight.sources.schema import Star
 
@@ -80,11 +81,15 @@ def deployment_segment(reps: DataFrame, territories: DataFrame, p: Params) -> Da
 
 def dataset_summary(star: Star) -> DataFrame:
     """#48 row count per table, total revenue, first and last month (one row)."""
-    monthly = star.sales.groupBy("month").agg(F.count(F.lit(1)).alias("_n"), money_sum("revenue_usd").alias("_rev"))
+    if isinstance(star.sales, SalesGrains):
+        monthly, calls = star.sales.month(), star.call_logs.total()
+    else:
+        monthly = star.sales.groupBy("month").agg(F.count(F.lit(1)).alias("_n"), money_sum("revenue_usd").alias("_rev"))
+        calls = star.call_logs.agg(F.count(F.lit(1)).alias("n"))
     s = monthly.agg(F.sum("_n").cast("bigint").alias("sales"),
                     round_half_away(to_money(wide_sum("_rev")), 2).alias("total_revenue_usd"),
                     F.min("month").alias("first_month"), F.max("month").alias("last_month"))
     n = lambda df: scalar(df.agg(F.count(F.lit(1)).alias("n")), "n")
     return s.select(n(star.territories).alias("territories"), n(star.products).alias("products"),
                     n(star.reps).alias("reps"), n(star.physicians).alias("physicians"), "sales",
-                    n(star.call_logs).alias("call_logs"), "total_revenue_usd", "first_month", "last_month")
+                    scalar(calls, "n").alias("call_logs"), "total_revenue_usd", "first_month", "last_month")

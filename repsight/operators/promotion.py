@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import (as_int, fixed_ratio, lookup, rate, round_half_away, round_mean_of_fixed,
                                       safe_div)
 from repsight.functions.ranking import rank_window
+from repsight.grains import CallGrains
 from repsight.params import Params
 
 
-def _cells(call_logs: DataFrame) -> DataFrame:
+def _cells(call_logs: DataFrame | CallGrains) -> DataFrame:
+    if isinstance(call_logs, CallGrains):
+        return call_logs.cells()
     return (call_logs.groupBy("channel", "product_promoted", "territory_id")
             .agg(F.count(F.lit(1)).alias("total_interactions"),
                  F.sum(as_int("converted")).cast("bigint").alias("conversions"),
@@ -40,6 +43,12 @@ def channel_summary(call_logs: DataFrame, weighted: bool = False) -> DataFrame:
     Unweighted (default): means of the cell means of operator 24, each cell
     counting once whatever its size. Weighted: straight over the calls.
     """
+    if weighted and isinstance(call_logs, CallGrains):
+        total = lambda c: F.sum(c).cast("bigint")
+        return call_logs.cells().groupBy("channel").agg(
+            total("total_interactions").alias("total_interactions"), total("conversions").alias("total_conversions"),
+            round_half_away(safe_div(total("conversions"), total("total_interactions")) * 100.0, 1).alias("avg_conversion_rate_pct"),
+            round_half_away(safe_div(total("_duration"), total("total_interactions")), 1).alias("avg_duration_min"), total("samples_dropped").alias("total_samples_dropped"))
     if weighted:
         return (call_logs.groupBy("channel")
                 .agg(F.count(F.lit(1)).alias("total_interactions"),
@@ -64,7 +73,8 @@ def channel_summary(call_logs: DataFrame, weighted: bool = False) -> DataFrame:
 
 def channel_cost(call_logs: DataFrame, p: Params) -> DataFrame:
     """#26 cost per interaction of every channel present (null for an unknown channel)."""
-    return (call_logs.select("channel").distinct()
+    rows = call_logs.cells() if isinstance(call_logs, CallGrains) else call_logs
+    return (rows.select("channel").distinct()
             .select("channel", lookup("channel", p.channel_costs).cast("bigint").alias("cost_per_interaction")))
 
 

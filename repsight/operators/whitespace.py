@@ -13,18 +13,25 @@ from pyspark.sql import functions as F
 from repsight.functions.exprs import (money_sum, rate, round_half_away, safe_div, to_money,
                                       whitespace_quadrant)
 from repsight.functions.ranking import over_all
+from repsight.grains import CallGrains, SalesGrains
 from repsight.params import Params
 
 
-def territory_sales_for_year(sales: DataFrame, year: int) -> DataFrame:
+def territory_sales_for_year(sales: DataFrame | SalesGrains, year: int) -> DataFrame:
     """#4 revenue and units per territory in one year."""
+    if isinstance(sales, SalesGrains):
+        return (sales.territory_year().where(F.col("year") == year)
+                .select("territory_id", to_money("revenue").alias("total_revenue"), F.col("units").alias("total_units")))
     return (sales.where(F.col("year") == year).groupBy("territory_id")
             .agg(to_money(money_sum("revenue_usd")).alias("total_revenue"),
                  F.sum("units_sold").cast("bigint").alias("total_units")))
 
 
-def territory_call_stats(call_logs: DataFrame, year: int) -> DataFrame:
+def territory_call_stats(call_logs: DataFrame | CallGrains, year: int) -> DataFrame:
     """#5 calls and conversion rate per territory in one year."""
+    if isinstance(call_logs, CallGrains):
+        return (call_logs.territory_year().where(F.col("year") == year)
+                .select("territory_id", F.col("n").alias("total_calls"), safe_div("conversions", "n").alias("conversion_rate")))
     return (call_logs.where(F.col("year") == year).groupBy("territory_id")
             .agg(F.count(F.lit(1)).alias("total_calls"), rate("converted").alias("conversion_rate")))
 

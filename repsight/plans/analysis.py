@@ -1,20 +1,24 @@
 """The whole analysis run: every module over one star schema, each result to a sink.
 
 This is the original's end-to-end script re-expressed: the star tables are
-the inputs, each module result is written by Spark (one folder per result),
-and the two results the KPI summary re-reads (whitespace, coverage) are
-persisted once and released at the end. Nothing is collected to the driver.
+the inputs; one pass over each fact table writes every grain the modules need
+(``repsight.grains``), each module result is written by Spark (one folder per
+result), and the four results that others read (whitespace, coverage, rep
+metrics, channels) are persisted once and released at the end. Nothing is
+collected to the driver.
 """
 
 from __future__ import annotations
 
 import os
+from functools import cache
 from typing import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repsight.grains import fact_grains
 from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion, reports,
                                 whitespace)
 from repsight.params import Params
@@ -62,19 +66,28 @@ RESULTS = ("m1_sales_performance", "m2_whitespace_analysis", "m3_sfe_metrics", "
 
 
 def analysis_results(star: Star, p: Params) -> tuple[dict[str, Callable[[], DataFrame]], list[DataFrame]]:
-    """Builders of every result, and the frames that are persisted for reuse."""
+    """Builders of every result, and the frames that are persisted for reuse (filled as they are built)."""
+    kept: list[DataFrame] = []
+
+    def shared(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        def once() -> DataFrame:
+            kept.append(build().persist(StorageLevel.MEMORY_AND_DISK))
+            return kept[-1]
+        return cache(once)
+
+    sfe = shared(lambda: effectiveness.sfe_metrics(star.reps, star.sales, star.call_logs, star.physicians, p))
+    promo = shared(lambda: promotion.promotional_response(star.call_logs, p))
     ws = whitespace.whitespace_analysis(star.territories, star.sales, star.call_logs, p) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     cov = coverage.hcp_coverage_gap(star.physicians, star.call_logs, p).persist(StorageLevel.MEMORY_AND_DISK)
     builders: dict[str, Callable[[], DataFrame]] = {
         "m1_sales_performance": lambda: performance.sales_performance(star.sales, star.territories, p),
         "m2_whitespace_analysis": lambda: ws,
-        "m3_sfe_metrics": lambda: effectiveness.sfe_metrics(star.reps, star.sales, star.call_logs,
-                                                            star.physicians, p),
+        "m3_sfe_metrics": sfe,
         "m4_hcp_coverage_gap": lambda: cov,
         "m5_product_portfolio": lambda: portfolio.product_portfolio(star.sales, star.products, p),
         "m5b_product_monthly_trend": lambda: portfolio.product_monthly_trend(star.sales, star.products),
-        "m6_promotional_response": lambda: promotion.promotional_response(star.call_logs, p),
+        "m6_promotional_response": promo,
         "kpi_summary": lambda: kpi.kpi_summary(star.sales, ws, cov, p),
         "state_map_data": lambda: reports.state_map(star.sales, star.territories, ws, p),
         "revenue_by_region": lambda: reports.revenue_by_region(star.sales, star.territories, p),
@@ -83,17 +96,18 @@ def analysis_results(star: Star, p: Params) -> tuple[dict[str, Callable[[], Data
         "dataset_summary": lambda: prep.dataset_summary(star),
         "quadrant_counts": lambda: whitespace.quadrant_counts(ws),
         "whitespace_total_gap": lambda: whitespace.whitespace_total_gap(ws),
-        "sfe_averages": lambda: effectiveness.sfe_averages(builders["m3_sfe_metrics"]()),
+        "sfe_averages": lambda: effectiveness.sfe_averages(sfe()),
         "coverage_status_counts": lambda: coverage.coverage_status_counts(cov),
         "critical_gap_revenue": lambda: coverage.critical_gap_revenue(cov),
         "quadrant_scatter": lambda: reports.quadrant_scatter(ws),
         "high_potential_low_realization": lambda: reports.high_potential_low_realization(ws, p),
         "coverage_mandate_list": lambda: reports.coverage_mandate_list(cov, p),
         "coverage_mandate_tier": lambda: reports.coverage_mandate_tier(cov, p),
-        "channel_cost_ratio": lambda: reports.channel_cost_ratio(promotion.promotional_response(star.call_logs, p)),
+        "channel_cost_ratio": lambda: reports.channel_cost_ratio(promo()),
         "state_revenue_spread": lambda: reports.state_revenue_spread(star.sales, star.territories, p),
     }
-    return builders, [ws, cov]
+    kept += [ws, cov]
+    return builders, kept
 
 
 def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
@@ -103,7 +117,7 @@ def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
     ``region`` and ``territory_id`` narrow the finished results that carry
     those columns (#35), after medians and ranks.
     """
-    builders, cached = analysis_results(star, p)
+    builders, cached = analysis_results(fact_grains(star), p)
     order = _sink_order(p)
     written = []
     try:
