@@ -155,14 +155,30 @@ def whitespace_quadrant(mpi, revenue, med_mpi, med_revenue) -> Column:
     return _by_two(_c(mpi) >= _c(med_mpi), _c(revenue) >= _c(med_revenue), ("Star", "Whitespace", "Saturated", "Abandon"))
 
 
+_TESTS = {"=": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+
+
+def first_match(rules: Iterable[tuple], values: dict[str, Column]) -> Column:
+    """The label of the first rule all of whose bounds hold; null when none does.
+
+    A rule is (label, bounds), a bound (name of a value, test, limit). A missing
+    value fulfils no bound; a rule without bounds always holds.
+    """
+    expr = None
+    for label, bounds in rules:
+        unknown = [b for b in bounds if b[0] not in values or b[1] not in _TESTS]
+        if unknown:
+            raise ValueError(f"rule {label!r}: unknown bounds {unknown}")
+        holds = F.lit(True)
+        for name, test, limit in bounds:
+            holds = holds & _TESTS[test](values[name], F.lit(limit))
+        expr = F.when(holds, label) if expr is None else expr.when(holds, label)
+    return F.lit(None).cast("string") if expr is None else expr
+
+
 def coverage_status(tier, monthly_calls, total_calls, p) -> Column:
-    """First-match coverage rule; an unreached tier A/B HCP is never 'Not Reached'."""
-    t, m = _c(tier), _c(monthly_calls)
-    return (F.when((t == "A") & (m < p.tier_a_critical), "Critical Gap")
-            .when((t == "A") & (m < p.tier_a_under), "Undercovered")
-            .when((t == "B") & (m < p.tier_b_under), "Undercovered")
-            .when(_c(total_calls) == 0, "Not Reached")
-            .otherwise("Adequately Covered"))
+    """First match of ``p.coverage_table``; by default an unreached tier A/B HCP is never 'Not Reached'."""
+    return first_match(p.coverage_table, {"tier": _c(tier), "monthly_calls": _c(monthly_calls), "calls": _c(total_calls)})
 
 
 def bcg_label(share, growth, p) -> Column:
@@ -171,8 +187,5 @@ def bcg_label(share, growth, p) -> Column:
 
 
 def deployment_label(mpi, productivity, p) -> Column:
-    m = _c(mpi).cast("double") / 100.0
-    pr = _c(productivity)
-    return (F.when((m > p.under_mpi) & (pr < p.under_productivity), "Underperforming")
-            .when((m < p.over_mpi) & (pr > p.over_productivity), "Oversaturated")
-            .otherwise("Normal"))
+    """First match of ``p.deployment_table`` on the potential (MPI / 100) and the productivity score."""
+    return first_match(p.deployment_table, {"potential": _c(mpi).cast("double") / 100.0, "productivity": _c(productivity)})

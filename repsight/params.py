@@ -75,6 +75,11 @@ class Params:
     over_mpi: float = 0.4
     over_productivity: float = 0.7
 
+    # first-match rules as data, in order: (label, ((value, test, limit), ...)); None: the rules
+    # of the thresholds above. Values: tier, monthly_calls, calls; potential, productivity
+    coverage_rules: tuple[tuple[str, tuple[tuple[str, str, object], ...]], ...] | None = None
+    deployment_rules: tuple[tuple[str, tuple[tuple[str, str, object], ...]], ...] | None = None
+
     # call plan weights
     tier_weights_tenths: tuple[tuple[str, int], ...] = DEFAULT_TIER_WEIGHTS_TENTHS
 
@@ -100,6 +105,30 @@ class Params:
         if problems:
             raise ValueError("; ".join(problems))
 
+    @property
+    def coverage_table(self) -> tuple:
+        """The coverage rules of #17 in order."""
+        if self.coverage_rules is not None:
+            return self.coverage_rules
+        return (
+            ("Critical Gap", (("tier", "=", "A"), ("monthly_calls", "<", self.tier_a_critical))),
+            ("Undercovered", (("tier", "=", "A"), ("monthly_calls", "<", self.tier_a_under))),
+            ("Undercovered", (("tier", "=", "B"), ("monthly_calls", "<", self.tier_b_under))),
+            ("Not Reached", (("calls", "=", 0),)),
+            ("Adequately Covered", ()),
+        )
+
+    @property
+    def deployment_table(self) -> tuple:
+        """The deployment rules of #47 in order."""
+        if self.deployment_rules is not None:
+            return self.deployment_rules
+        return (
+            ("Underperforming", (("potential", ">", self.under_mpi), ("productivity", "<", self.under_productivity))),
+            ("Oversaturated", (("potential", "<", self.over_mpi), ("productivity", ">", self.over_productivity))),
+            ("Normal", ()),
+        )
+
     @property
     def period_start(self) -> _dt.date:
         return _dt.date(self.first_year or self.prior_year, 1, 1)

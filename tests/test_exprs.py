@@ -58,3 +58,23 @@ def test_params_are_validated():
         Params(prior_year=2024, current_year=2024)
     with pytest.raises(ValueError):
         Params(rep_tiles=0)
+
+
+def test_rules_are_data_and_their_order_counts(spark):
+    import pytest
+
+    from repsight.functions.exprs import coverage_status, deployment_label, first_match
+    from repsight.params import Params
+    p = Params()
+    rows = spark.createDataFrame([("A", 0.5, 3), ("A", 1.5, 40), ("A", 0.0, 0), ("B", 0.1, 1), ("B", 0.0, 0), ("C", 0.0, 0), ("C", 0.1, 2), (None, None, None)], "t string, m double, n long")
+    label = lambda q: [r[0] for r in rows.select(coverage_status("t", "m", "n", q)).collect()]
+    assert label(p) == ["Critical Gap", "Undercovered", "Critical Gap", "Undercovered", "Undercovered", "Not Reached", "Adequately Covered", "Adequately Covered"]
+    first = p.with_(coverage_rules=(p.coverage_table[3], *p.coverage_table[:3], p.coverage_table[4]))
+    assert label(first) == ["Critical Gap", "Undercovered", "Not Reached", "Undercovered", "Not Reached", "Not Reached", "Adequately Covered", "Adequately Covered"]
+    assert label(p.with_(coverage_rules=())) == [None] * 8
+    both = spark.createDataFrame([(80.0, 0.4), (30.0, 0.9), (30.0, 0.2), (None, 0.1)], "mpi double, s double")
+    where = lambda q: [r[0] for r in both.select(deployment_label("mpi", "s", q)).collect()]
+    assert where(p) == ["Underperforming", "Oversaturated", "Normal", "Normal"]
+    assert where(p.with_(deployment_rules=(("Low", (("potential", "<", 0.5),)), *p.deployment_table))) == ["Underperforming", "Low", "Low", "Normal"]
+    with pytest.raises(ValueError, match="unknown bounds"):
+        first_match([("x", (("nothing", "<", 1),))], {})
