@@ -1,32 +1,37 @@
 """#4 Line dedup by content-defined line chunks.
 
-A rolling hash over each line's hash and its predecessor's closes a chunk
-where the hash is divisible by ``divisor``. Whether a line closes a chunk
-depends on two lines only, so inserting or deleting lines elsewhere leaves the
-other boundaries in place. A chunk of ``min_lines`` lines or more that occurs
-in several places is kept where it comes first (smallest doc_id, then text
-hash, then line) and removed elsewhere, after its bytes were compared with the
-kept one's. Only DataFrame functions are used.
-
-Chunk hashes are counted without texts, with partial aggregation before the
-shuffle, so a chunk that a third of all documents share is one row per task;
-texts are fetched for repeated chunks only.
+A rolling hash over the hashes of two consecutive lines opens a chunk where it
+is divisible by ``divisor``; whether it does depends on these two lines only,
+so inserting or deleting lines elsewhere leaves the other boundaries in place.
+A chunk's head, its first two lines, anchors a match: where it occurs earlier
+(smaller doc_id, then text hash, then line), the match is extended line by
+line to both sides, through the chunk and beyond it, as long as each two
+lines in a row occur earlier as well. The lines of a match go if at least
+``min_lines`` of them hold a word; what occurs first stays. Every two lines
+are removed only after their bytes were compared with the first occurrence's.
+Only DataFrame functions are used.
+
+Pairs of lines are counted as hashes, with partial aggregation before the
+shuffle; pairs that hang on much of the corpus are joined by broadcast and
+spread (``spread``); texts are fetched for documents with repeated pairs only.
 
 Edge cases: a null text stays null; an empty text has one empty line; rows
 with equal doc_id and text are one document and get the same result; null
-doc_ids come first; further columns pass through, whatever their names except
-those added (``n_lines``, ``n_removed_lines``); an empty table gives an empty
-table.
+doc_ids come first; blank lines go only inside a match; further columns pass
+through, whatever their names except those added (``n_lines``,
+``n_removed_lines``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
+from .spread import left_join_spread
 
-WINDOW = 2
+#: A pair of lines in one of so many opens a chunk.
+DIVISOR = 2
 
 
 def line_hash(line: Column) -> Column:
@@ -34,51 +39,52 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunks(lines: Column, divisor: int, min_lines: int) -> Column:
-    """array<struct<first, n>>: the chunks of ``min_lines`` lines or more, lines counted from 0."""
-    hashes = F.transform(lines, line_hash)
+def line_pairs(lines: Column, divisor: int) -> Column:
+    """array<struct<pair, opens>>: per two consecutive lines their 64-bit hash and whether they open a chunk."""
+    def of(h: Column) -> Column:
+        def pair(line: Column, i: Column) -> Column:
+            opens = F.pmod(F.pmod(F.get(h, i) * F.lit(31) + F.get(h, i + 1), F.lit(1 << 32)), F.lit(divisor)) == 0
+            return F.struct(F.xxhash64(line, F.get(lines, i + 1)).alias("pair"), opens.alias("opens"))
 
-    def closes(h: Column, i: Column) -> Column:
-        rolled = F.pmod(F.get(h, i - 1) * F.lit(31) + F.get(h, i), F.lit(1 << 32))
-        return (i == F.size(h) - 1) | ((i > 0) & (F.pmod(rolled, F.lit(divisor)) == 0))
+        return F.transform(F.slice(lines, 1, F.size(lines) - 1), pair)
 
-    def cut(h: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: closes(h, i))
+    return F.flatten(F.transform(F.array(F.transform(lines, line_hash)), of))
 
-    def spans(ends: Column) -> Column:
-        return F.transform(ends, lambda e, k: F.struct((F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1).alias("first"), (e - F.coalesce(F.get(ends, k - 1), F.lit(-1))).alias("n")))
 
-    found = F.flatten(F.transform(F.array(hashes), lambda h: F.flatten(F.transform(F.array(cut(h)), spans))))
-    return F.filter(found, lambda s: s["n"] >= min_lines)
-
-
-def _text_of(lines: Column, first: Column, n: Column) -> Column:
-    return F.array_join(F.slice(lines, first + 1, n), "\n")
-
-
-def dedup_lines(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
-    """``docs`` with globally repeated chunks removed from ``text``, and n_lines, n_removed_lines (long)."""
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2) -> DataFrame:
+    """``docs`` with globally repeated runs of lines removed from ``text``, and n_lines, n_removed_lines (long)."""
     docs = docs.drop("n_lines", "n_removed_lines")
     keyed = docs.withColumn("__t", F.xxhash64("text"))
     lines = F.split("text", "\n")
-    small = keyed.select("doc_id", "__t", lines.alias("lines")).filter(F.size("lines") >= min_lines)
-    places = (small.select("doc_id", "__t", "lines", F.explode(chunks(F.col("lines"), divisor, min_lines)).alias("s"))
-              .select(F.xxhash64(_text_of(F.col("lines"), F.col("s.first"), F.col("s.n")), F.col("s.n")).alias("chunk"), F.struct("doc_id", "__t", F.col("s.first").alias("first")).alias("place"), F.col("s.n").alias("n")))
-    places = written(places, "chunk-places")
-    kept = places.groupBy("chunk").agg(F.min("place").alias("kept"), F.max("place").alias("last")).filter("kept != last").select("chunk", "kept")
-    again = places.join(kept, "chunk").select("chunk", F.col("place.doc_id").alias("__d"), F.col("place.__t").alias("__u"), F.struct(F.col("place.first").alias("first"), "n", (F.col("place") == F.col("kept")).alias("is_kept"), "chunk").alias("s"))
-    per_doc = written(again.groupBy("__d", "__u").agg(F.sort_array(F.collect_set("s")).alias("found")), "chunk-repeats")
+    small = keyed.select("doc_id", "__t", lines.alias("lines")).filter(F.size("lines") >= 2)
+    places = (small.select("doc_id", "__t", F.posexplode(line_pairs(F.col("lines"), divisor)).alias("i", "p"))
+              .select(F.col("p.pair").alias("pair"), F.struct("doc_id", "__t", F.col("i").alias("i")).alias("place"), F.col("p.opens").alias("opens")))
+    places = written(places, "line-pairs")
+    kept = places.groupBy("pair").agg(F.min("place").alias("kept"), F.max("place").alias("last"), F.count("*").alias("n")).filter("kept != last").drop("last")
+    again = left_join_spread(places, written(kept, "line-pairs-kept"), ["pair"], places.count()).filter("kept is not null")
+    again = again.select(F.col("place.doc_id").alias("__d"), F.col("place.__t").alias("__u"), F.struct(F.col("place.i").alias("i"), "opens", (F.col("place") == F.col("kept")).alias("is_kept"), "pair", "n").alias("s"))
+    per_doc = written(again.groupBy("__d", "__u").agg(F.collect_set("s").alias("found")), "line-repeats")
 
     def with_found(found: DataFrame, how: str) -> DataFrame:
         # always by shuffle: the list grows with the documents, and sizes that switch plans would hide its cost
         return keyed.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), how)
 
+    first, second = F.get("lines", F.col("s.i")), F.get("lines", F.col("s.i") + 1)
     texts = (with_found(per_doc, "inner").select("__d", "__u", lines.alias("lines"), F.explode("found").alias("s"))
-             .select("__d", "__u", "s.*", _text_of(F.col("lines"), F.col("s.first"), F.col("s.n")).alias("bytes")))
-    texts = written(texts, "chunk-texts")
-    original = texts.filter("is_kept").groupBy(F.col("chunk").alias("o_chunk")).agg(F.first("bytes").alias("o_bytes"))
-    same = texts.filter("not is_kept").join(original, F.col("chunk") == F.col("o_chunk")).filter(F.col("bytes") == F.col("o_bytes"))
-    gone = same.groupBy("__d", "__u").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone"))
+             .select("__d", "__u", "s.*", F.concat_ws("\n", first, second).alias("bytes"), first.rlike(WORD).alias("word_1"), second.rlike(WORD).alias("word_2")))
+    texts = written(texts, "line-texts")
+    original = texts.filter("is_kept").groupBy("pair").agg(F.first("bytes").alias("o_bytes"), F.first("n").alias("n"))
+    copies = texts.filter("not is_kept").drop("n", "is_kept")
+    same = left_join_spread(copies, written(original, "line-originals"), ["pair"], copies.count()).filter(F.col("bytes") == F.col("o_bytes"))
+
+    # runs of pairs in a row; rows with equal doc_id and text are one document
+    once = same.groupBy("__d", "__u", "i").agg(*[F.max(c).alias(c) for c in ("opens", "word_1", "word_2")])
+    run = F.col("i") - F.row_number().over(Window.partitionBy("__d", "__u").orderBy("i"))
+    runs = once.withColumn("run", run).groupBy("__d", "__u", "run").agg(
+        F.min("i").alias("first"), (F.count("*") + 1).cast("int").alias("n"), F.max("opens").alias("opens"),
+        (F.sum(F.col("word_1").cast("int")) + F.max_by(F.col("word_2").cast("int"), "i")).alias("with_words"))
+    matches = runs.filter(F.col("opens") & (F.col("with_words") >= min_lines))
+    gone = matches.groupBy("__d", "__u").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
 
     begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["first"] + g["n"]))
     stops = F.concat(F.transform("gone", lambda g: g["first"]), F.array(F.size(lines)))
