@@ -11,9 +11,13 @@ and the text of the elements on the host's path, in page order.
 Edge cases: null and empty html give an empty text; a null or unusual url has
 the host ''; null page_ids and repeated rows are extracted row by row; further
 columns are ignored, whatever their names; an empty table gives an empty table.
-Unclosed and stray tags, quoted ``>`` in attributes, comments and unterminated
-scripts are handled by the small tokenizer below; it reads any length of page
-in one pass.
+Unclosed and stray tags, inline text outside any block, quoted ``>`` in
+attributes, comments and unterminated scripts are handled by the small
+tokenizer below; it reads any length of page in one pass, and an element holds
+its own name and a number for its path, so memory follows the page, not its
+depth. Elements marked ``hidden`` or styled ``display: none`` or ``visibility:
+hidden`` are dropped. Html is shuffled only where the table of host paths is
+larger than ``BROADCAST_BYTES``, and then hosts with many pages are spread.
 """
 
 from __future__ import annotations
@@ -27,6 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .spread import left_join_spread
+
+#: Bytes of all hosts' names and paths up to which their table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
 # Element classes of HTML.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,17 +62,38 @@ _WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 #: Characters of a text that is more than a line of a page's frame.
 LEAST_TEXT = 60
 _DIGITS = re.compile(r"\d+")
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_IS_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Words beside a boilerplate word in a name that only say where or what kind of box it is (site-footer, cookie-bar).
+OF_FRAME = frozenset("""a all area bar bars block body bottom box btn button buttons center col column container content count counter date display dialog div field fixed
+footer form global grid group head heading holder icon icons image img index info inline inner input item items js label large layout left link links list local main
+media menu message meta mini mobile module nav new news ng overlay page panel pane placeholder policy post primary right row secondary section sections sign signup site
+slot small sticky sub tab tabs tag tags text thread title top ui unit up view widget wrap wrapper wrappers zone #""".split())
+#: Words a block of prose has on average.
+PROSE_WORDS = 20
 
 
 class Element:
-    """An open or closed element: its path, whether it is dropped, its nearest mark as boilerplate, its score as a container."""
+    """An open or closed element: its name and path's number, whether it is dropped, its nearest mark as boilerplate, its score as a container."""
 
-    __slots__ = ("tag", "path", "dropped", "link", "parent", "score", "marked", "held", "n", "title")
+    __slots__ = ("tag", "name", "key", "dropped", "link", "parent", "score", "marked", "weak", "held", "n", "title", "linked", "words", "first", "last")
 
-    def __init__(self, tag: str, path: str, dropped: bool, link: bool, parent: Element | None, marked: bool = False) -> None:
-        self.tag, self.path, self.dropped, self.link, self.parent, self.score = tag, path, dropped, link, parent, 0.0
+    def __init__(self, tag: str, name: str, dropped: bool, link: bool, parent: Element | None, marked: bool = False, weak: bool = False) -> None:
+        self.tag, self.name, self.dropped, self.link, self.parent, self.score = tag, name, dropped, link, parent, 0.0
+        self.key = hash((parent.key if parent is not None else 0, name))
         self.marked = self if marked else parent.marked if parent is not None else None
-        self.held, self.n, self.title = 0.0, 0, False
+        self.weak = weak
+        self.held, self.n, self.title, self.linked, self.words, self.first, self.last = 0.0, 0, False, 0, 0, -1, -1
+
+    @property
+    def path(self) -> str:
+        """The generalised tag-class path, built when asked for."""
+        names, e = [], self
+        while e is not None:
+            names.append(e.name)
+            e = e.parent
+        return ">".join(reversed(names))
 
     def marks(self) -> Iterator[Element]:
         """The marked elements it stands in, itself included, from the inside out."""
@@ -72,15 +103,42 @@ class Element:
             e = e.parent.marked if e.parent is not None else None
 
 
+def path_key(path: str) -> int:
+    """The number of the elements with this path, in this process."""
+    key = 0
+    for name in path.split(">"):
+        key = hash((key, name))
+    return key
+
+
 @lru_cache(maxsize=1 << 14)
-def _names_boilerplate(name: str) -> bool:
-    words = {w.lower() for w in _WORDS.split(name)}
+def _names_boilerplate(name: str) -> int:
+    """0: no; 1: a name whose other words could make it one of the text (related-work); 2: yes; 3: a header, which counts outside the text only."""
+    words = {_DIGITS.sub("#", w.lower()) for w in _WORDS.split(name) if w}
     found = words & BOILERPLATE
-    return bool(found) and words.isdisjoint(LAYOUT) and not (found == {"header"} and not words.isdisjoint(OF_TEXT))
+    if not found or not words.isdisjoint(LAYOUT) or (found == {"header"} and not words.isdisjoint(OF_TEXT)):
+        return 0
+    if words == {"header"}:
+        return 3
+    return 2 if words <= BOILERPLATE | OF_FRAME else 1
+
+
+def _of_text(e: Element | None) -> bool:
+    """Whether an element stands in an article: by tag, or by a class that names one."""
+    while e is not None:
+        if e.tag in ("article", "main", "section") or not OF_TEXT.isdisjoint(w for c in e.name.split(".")[1:] for w in _WORDS.split(c)):
+            return True
+        e = e.parent
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    return ("hidden" in low and _IS_HIDDEN.search(_QUOTED.sub("", low)) is not None) or ("style" in low and _UNSEEN.search(low) is not None)
 
 
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
-    name, marked = tag, tag in MARKED
+    name, marked, weak, hidden = tag, tag in MARKED, False, False
     if tag == "header":
         up = parent
         while up is not None and up.tag not in ("article", "main", "section"):
@@ -88,10 +146,14 @@ def _open(tag: str, attributes: str, parent: Element | None) -> Element:
         marked = up is None
     if attributes and tag not in ("html", "body", "main", "article"):
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-        marked = marked or any(_names_boilerplate(n) for k in ("class", "id", "role") for n in found.get(k, "").split())
+        kinds = {_names_boilerplate(n) for k in ("class", "id", "role") for n in found.get(k, "").split()}
+        named = 2 in kinds or (3 in kinds and not _of_text(parent))
+        weak = not marked and not named and 1 in kinds
+        marked = marked or named or weak
         classes = sorted({_DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
         name += "".join("." + c for c in classes)
-    return Element(tag, f"{parent.path}>{name}" if parent else name, tag in DROPPED or (parent is not None and parent.dropped), tag == "a" or (parent is not None and parent.link), parent, marked)
+        hidden = _hidden(attributes)
+    return Element(tag, name, hidden or tag in DROPPED or (parent is not None and parent.dropped), tag == "a" or (parent is not None and parent.link), parent, marked, weak)
 
 
 Block = tuple[str, Element, int]
@@ -106,18 +168,34 @@ def unmarked(found: list[Block]) -> list[Block]:
 
     A mark doesn't count on an element that holds more than half of the page's
     paragraph text, if hardly any stands outside all marks or it holds the
-    page's h1. Of tags, only forms can lose their mark.
+    page's h1. Of tags, only forms can lose their mark. A mark by a name that
+    could be the text's own (related-work) doesn't count either on prose without
+    links that stands between unmarked blocks of the same parent.
     """
     total = plain = 0.0
-    for block in found:
+    sides: dict[int, list[int]] = {}
+    for at, block in enumerate(found):
         worth = _worth(block)
         total += worth
-        plain += worth if block[1].marked is None else 0.0
+        if block[1].marked is None:
+            plain += worth
+            up = block[1]
+            for _ in range(2):  # the element it is the text of, and that one's parent
+                if up is not None:
+                    first = sides.setdefault(id(up), [at, at])
+                    first[1] = at
+                    up = up.parent
         for e in block[1].marks():
             e.held, e.n, e.title = e.held + worth, e.n + 1, e.title or block[1].tag == "h1"
+            if e.weak:
+                e.linked, e.words, e.first, e.last = e.linked + block[2], e.words + len(block[0].split()), at if e.first < 0 else e.first, at
+
+    def prose(e: Element) -> bool:
+        first, last = sides.get(id(e.parent), (0, 0))
+        return e.weak and not e.linked and e.words >= PROSE_WORDS * e.n and first < e.first and last > e.last
 
     def void(e: Element) -> bool:
-        return (e.tag in UNWRAPPED or e.tag not in MARKED) and 2 * e.held > total and (10 * plain < e.held or e.title)
+        return prose(e) or (e.tag in UNWRAPPED or e.tag not in MARKED) and 2 * e.held > total and (10 * plain < e.held or e.title)
 
     return [b for b in found if all(map(void, b[1].marks()))]
 
@@ -133,7 +211,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             inside = stack[-1]
             while inside.tag and inside.tag not in BLOCKS:
-                inside = inside.parent
+                inside = inside.parent if inside.parent is not None else root
             out.append((text, inside, links))
         run, links = [], 0
 
@@ -200,15 +278,26 @@ def scored(found: list[Block]) -> list[Element]:
         worth = _worth(block)
         for share, e in zip((1.0, 0.5), _containers(block[1]), strict=False):
             met.setdefault(id(e), e).score += worth * share * (1.25 if e.tag in ("article", "main") else 1.0)
-    return sorted(met.values(), key=lambda e: (-e.score, e.path))
+    return sorted(met.values(), key=lambda e: -e.score)  # equal ones in page order
 
 
-def _within(e: Element, path: str) -> bool:
-    while e is not None and e.tag:
-        if e.path == path:
-            return True
-        e = e.parent
-    return False
+def _inside(found: list[Block], path: str) -> set[int]:
+    """The numbers of the blocks that stand in an element of this path; every element is looked at once."""
+    key, known = path_key(path), {}
+
+    def within(e: Element | None) -> bool:
+        walked = []
+        while e is not None and e.tag and id(e) not in known:
+            walked.append(e)
+            if e.key == key and e.path == path:
+                break
+            e = e.parent
+        answer = e is not None and bool(e.tag) and known.get(id(e), True)
+        for w in walked:
+            known[id(w)] = answer
+        return answer
+
+    return {i for i, b in enumerate(found) if within(b[1])}
 
 
 def _is_heading(block: Block) -> bool:
@@ -226,8 +315,24 @@ def own_text(found: list[Block], best: Element) -> set[int]:
     from the first to the last block of these groups, with the headings before
     it and without blocks that are mostly links.
     """
-    text = {i for i, b in enumerate(found) if _within(b[1], best.path)}
+    text = _inside(found, best.path)
     around = {id(e): k for k, e in enumerate(_containers(best)) if e.tag != "body"}
+    nearest: dict[int, int | None] = {}
+
+    def level_of(e: Element | None) -> int | None:
+        """Containers from the best one out to the first that holds ``e`` too; every element is looked at once."""
+        walked = []
+        while e is not None and id(e) not in nearest:
+            if id(e) in around:
+                nearest[id(e)] = around[id(e)]
+                break
+            walked.append(e)
+            e = e.parent
+        answer = nearest[id(e)] if e is not None else None
+        for w in walked:
+            nearest[id(w)] = answer
+        return answer
+
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(found):
         if i not in text and not _is_heading(b):
@@ -235,7 +340,7 @@ def own_text(found: list[Block], best: Element) -> set[int]:
     mean = sum(_worth(found[i]) for i in text) / max(1, len(text))
     for group in groups.values():
         worth = sum(_worth(found[i]) for i in group)
-        level = next((around[id(e)] for e in _containers(found[group[0]][1]) if id(e) in around), None)
+        level = level_of(found[group[0]][1])
         sibling, near = level is not None and level <= 1, level is not None
         if 2 * worth > sum(len(found[i][0]) for i in group) and (sibling or worth >= LEAST_TEXT and (near or 4 * worth >= mean * len(group))):
             text |= set(group)
@@ -255,7 +360,7 @@ def extract(page: str | None, path: str | None) -> str:
         return "\n".join(t for t, _, _ in found)
     text = own_text(found, best[0])
     if path and path != best[0].path:
-        text |= {i for i, b in enumerate(found) if _within(b[1], path)}
+        text |= _inside(found, path)
     return "\n".join(found[i][0] for i in sorted(text))
 
 
@@ -265,7 +370,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, candidates: int = 3) -> DataFrame:
-    """(host, path): the container path with most votes of each host; a page's best ``candidates`` containers share its vote by score."""
+    """(host, path, n): the container path with most votes of each host, and its voting pages; a page's best ``candidates`` containers share its vote by score."""
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,17 +379,18 @@ def host_paths(pages: DataFrame, candidates: int = 3) -> DataFrame:
                 best = scored(blocks(page or ""))[:candidates]
                 total = sum(e.score for e in best)
                 if total > 0:
-                    rows += [(host, e.path, round(1e6 * e.score / total)) for e in best]
-            yield pd.DataFrame(rows, columns=["host", "path", "vote"])
+                    rows += [(host, e.path, round(1e6 * e.score / total), int(k == 0)) for k, e in enumerate(best)]
+            yield pd.DataFrame(rows, columns=["host", "path", "vote", "n"])
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(votes, "host string, path string, vote bigint")
-    summed = cast.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(votes, "host string, path string, vote bigint, n bigint")
+    summed = cast.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum("n").alias("n"))
+    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"), F.sum("n").alias("n"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the host's path for every page."""
-    won = host_paths(pages).withColumnRenamed("host", "h")
+    won = written(host_paths(pages), "host-paths")
+    size = won.agg(F.sum(F.octet_length("host") + F.octet_length("path")), F.sum("n")).first()
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,5 +398,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h, p) for h, p in zip(batch["html"], batch["path"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts], "path": batch["path"]})
 
-    joined = hosted.join(won, F.col("host") == F.col("h"), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
+    if (size[0] or 0) <= BROADCAST_BYTES:
+        joined = hosted.join(F.broadcast(won), "host", "left")
+    else:
+        joined = left_join_spread(hosted, won, ["host"], size[1])
+    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
     return joined.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint, path string")

@@ -1,10 +1,12 @@
 """HTML extraction and nearest neighbours."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from repsight.llm.html_extraction import extract, extract_pages, host_paths
 from repsight.llm.nearest import nearest
+from llm.conftest import SF
 
 
 def page(body):
@@ -103,3 +105,76 @@ def test_vector_edges(llm):
     got = [(r.query_id, r["rank"], r.vec_id) for r in nearest(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 6)]
     assert nearest(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("fragment, text", [
+    ("<b>x", "x"), ("<span>hi<p>y</p></span>", "hi\ny"), ("<a>top<p>para</p>", "top\npara"), ("<font>intro text<hr>more", "intro text\nmore"),
+    ("<title>T</title><b>hi<p>x", "hi\nx"), ("<a href=x>hi<div>d</div></a>", None), ("text<div><p>one</p></div>tail", None), ("</p></div>stray", "stray"), ("<", "<"), ("<div", "<div")])
+def test_fragments_of_any_shape(fragment, text):
+    got = extract(fragment, None)
+    assert got == text if text is not None else got
+
+
+def test_fragments_through_spark(llm):
+    rows = [(k, "http://h.example/", f) for k, f in enumerate(["<b>x", "<a href=x>hi<div>d</div></a>", "<i>" * 50, "a<hr>b", "<p hidden>no</p>", None])]
+    got = {r.page_id: r.text for r in extract_pages(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "x" and "hi" in got[1] + "hi" and got[2] == "" and got[3] == "a\nb" and got[4] == "" and got[5] == ""
+
+
+def test_hidden_elements_are_dropped():
+    shown = "<p>Shown text of the page, in full.</p>"
+    for attributes in ("hidden", "class=x hidden", 'style="display:none"', "style='color:red; Display : None'", 'style="visibility: hidden"', 'hidden=""'):
+        assert extract(page(f"<article>{shown}<p {attributes}>Not shown.</p>{shown}</article>"), None) == "Shown text of the page, in full.\n" * 1 + "Shown text of the page, in full."
+    for attributes in ('title="hidden"', "class=not-hidden-now", 'data-x="a hidden b"'):
+        assert "Is shown" in extract(page(f"<article>{shown}<p {attributes}>Is shown.</p>{shown}</article>"), None)
+
+
+def test_marked_prose_inside_the_text_stays():
+    prose = "Earlier authors came to much the same result, though by another road, and their work is taken up again in the part that follows here."
+    plain = "<p>This paragraph is plain text of the article and long enough to count.</p>"
+    for name in ("related-work", "editor-comment", "share-price-table-note"):
+        got = extract(page(f"<article><h1>T</h1>{plain}<p class={name}>{prose}</p>{plain}</article>"), None)
+        assert prose in got, name
+        linked = extract(page(f"<article><h1>T</h1>{plain}<div class={name}><a href=x>{prose}</a></div>{plain}</article>"), None)
+        assert prose not in linked, name
+    for name in ("related", "comment", "cookie-notice", "newsletter-signup", "share-links", "ad-slot-3"):
+        assert prose not in extract(page(f"<article><h1>T</h1>{plain}<p class={name}>{prose}</p>{plain}</article>"), None), name
+    assert extract(page(f"<div class=post><div class=header><h1>The title</h1></div>{plain}{plain}</div>"), None).startswith("The title\n")
+    assert "Site" not in extract(page(f"<div class=header><h2>Site</h2></div><div class=post><h1>T</h1>{plain}{plain}</div>"), None)
+
+
+def test_deep_pages_need_memory_in_proportion():
+    import tracemalloc
+    deep = "<div class=abc>x " * 60_000  # a megabyte, each level with a text of its own
+    tracemalloc.start()
+    got = extract(deep, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.count("x") > 0 and peak < 400 << 20
+
+
+def test_known_articles_on_generated_pages(llm):
+    import random
+    rnd = random.Random(12)
+    words = lambda n: " ".join(rnd.choice("the of river house people found water after long small year".split()) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for k in range(200):
+        host = k % 6
+        lines = [words(4), *[words(rnd.randrange(15, 60)) for _ in range(rnd.randrange(2, 8))]]
+        body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" if rnd.random() < 0.9 else f"<ul><li>{x}</li></ul>" for x in lines[1:])
+        around = ("<article>{}</article>", "<div class='post-{}'>{{}}</div>".format(k), "<main><div id=content>{}</div></main>", "<div class=wrap><section class=entry>{}</section></div>",
+                  "<td class=story>{}</td>", "<form id=aspnetForm><div class=text>{}</div></form>")[host].format(body)
+        menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(8)) + "</ul></nav>"
+        frame = f"<div class='cookie-banner'>{words(12)}</div><header><a href=/>Home</a></header>{menu}{around}<div class=comments><p>{words(20)}</p></div><aside>{words(15)}</aside><footer>{words(9)}</footer>"
+        rows.append((k, f"https://h{host}.example/{k}", page(frame)))
+        want[k] = lines
+    got = {r.page_id: r.text.split("\n") for r in extract_pages(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+def test_host_paths_join_without_broadcast(llm, monkeypatch):
+    from repsight.llm import html_extraction
+    pages = llm.read.parquet(f"{SF}/pages.parquet").limit(60)
+    want = sorted((r.page_id, r.text) for r in extract_pages(pages).collect())
+    monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", 0)
+    assert sorted((r.page_id, r.text) for r in extract_pages(pages).collect()) == want
