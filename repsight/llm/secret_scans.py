@@ -113,11 +113,20 @@ class Layer:
         return self.new is None or any(self.new[a:b])
 
 
+def _lines_with(layer: Layer, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines that hold a fresh match; a line is left at its first one, so each is walked once."""
+    at = 0
+    while m := pattern.search(layer.text, at):
+        at = m.end()
+        if layer.fresh(*m.span()):
+            stop = layer.text.find("\n", m.end())
+            at = len(layer.text) if stop < 0 else stop
+            yield layer.text.rfind("\n", 0, m.start()) + 1, at
+
+
 def _escapes(layer: Layer, name: str, pattern: re.Pattern, decode) -> Iterator[Layer]:
     """One layer per line that holds escapes: the line with all of them decoded."""
-    for line in {layer.text.rfind("\n", 0, m.start()) + 1 for m in pattern.finditer(layer.text) if layer.fresh(*m.span())}:
-        stop = layer.text.find("\n", line)
-        stop = len(layer.text) if stop < 0 else stop
+    for line, stop in _lines_with(layer, pattern):
         parts, begin, end, new, at = [], array("q"), array("q"), bytearray(), line
         for m in pattern.finditer(layer.text, line, stop):
             parts.append(layer.text[at : m.start()])

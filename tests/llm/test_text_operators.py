@@ -229,3 +229,88 @@ def test_license_blocks_are_all_returned(llm):
     rows = license_scans.scan_licenses(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert Counter((r.doc_id, b.label, b.word, b.share) for r in rows for b in r.blocks) == want
     assert all(set(r.found) <= {b.label for b in r.blocks} and bool(r.found) == bool(r.blocks) for r in rows)
+
+
+def test_line_dedup_takes_short_shared_passages(llm):
+    import random
+    rnd = random.Random(4)
+    line = lambda: " ".join(rnd.choice("abcdefgh") * rnd.randrange(2, 6) for _ in range(8))
+    rows, passages = [], {}
+    for n in (2, 3, 4, 6, 8, 12, 20, 40):
+        for k in range(60):
+            shared = [line() for _ in range(n)]
+            if n > 4 and k % 2:
+                shared[n // 2] = ""  # a blank line inside
+            for side in range(2):
+                passages[len(rows)] = (n, side, shared)
+                rows.append((len(rows), "\n".join([line() for _ in range(rnd.randrange(6))] + shared + [line() for _ in range(rnd.randrange(1, 6))])))
+    left, own = Counter(), Counter()
+    for r in dedup_lines(llm.createDataFrame(rows, "doc_id long, text string")).collect():
+        n, side, shared = passages[r.doc_id]
+        lines = rows[r.doc_id][1].split("\n")
+        if side == 0:
+            assert r.text == rows[r.doc_id][1]  # what comes first stays
+        else:
+            left[n] += sum(x in set(r.text.split("\n")) for x in shared)
+            assert [x for x in r.text.split("\n") if x not in shared] == [x for x in lines if x not in shared]
+    removed = {n: 1 - left[n] / (60 * n) for n in (2, 3, 4, 6, 8, 12, 20, 40)}
+    assert all(removed[n] >= 0.9 for n in (6, 8, 12, 20, 40)) and removed[2] > 0.3 and removed[3] > 0.55 and removed[4] > 0.7, removed
+
+
+def test_line_dedup_keeps_lone_common_lines_and_blanks(llm):
+    texts = [f"title {k}\n\n\nCommon line\n\n\nbody {k}\n" for k in range(30)] + ["\n\n\n\n"] * 2
+    got = dedup_lines(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(texts))
+
+
+def test_secret_in_random_layers():
+    import random
+    rnd = random.Random(21)
+    wrap = {"base64/": lambda t: base64.b64encode(t.encode()).decode(), "base64/gzip/": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+            "url/": lambda t: "".join(f"%{b:02x}" for b in t.encode()), "unicode/": lambda t: "".join(f"\\u{ord(c):04x}" for c in t)}
+    for _ in range(150):
+        inner = "password=" + "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(rnd.randrange(8, 30)))
+        text, chain = inner, ""
+        for _ in range(rnd.randrange(1, 5)):
+            name = rnd.choice(list(wrap))
+            text, chain = wrap[name](text), name + chain
+        whole = f"some words before {text} and after"
+        found = [(k, whole[a:b]) for k, a, b in secret_scans.scan(whole)[1] if k == chain + "assign"]
+        assert found and all(t in text for _, t in found), (chain, inner)
+
+
+def test_secret_scan_walks_a_long_line_once():
+    import time
+    def seconds(n):
+        start = time.perf_counter()
+        secret_scans.scan("%41 " * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 12 * seconds(100_000)
+
+
+def test_licenses_longer_than_a_block(llm):
+    import random
+    rnd = random.Random(30)
+    vocabulary = [f"t{k}" for k in range(2000)]
+    templates = tuple((f"lic-{n}", " ".join(rnd.sample(vocabulary, n))) for n in (5, 20, 33, 64, 100, 150, 300, 400))
+    texts, want = [], []
+    for label, wording in templates * 6:
+        words = wording.split()
+        held = [w for k, w in enumerate(words) if k >= len(words) * 10 // 100]  # 90 % of it is there
+        for _ in range(len(words) // 10):
+            held.insert(rnd.randrange(len(held)), "other")
+        texts.append(" ".join([f"own{rnd.randrange(99)}" for _ in range(rnd.randrange(200))] + held + ["end"] * rnd.randrange(100)))
+        want.append(label)
+        texts.append(" ".join(words[: len(words) * 7 // 10]))  # 70 % isn't enough
+        want.append(None)
+    rows = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.found) for r in license_scans.scan_licenses(rows, templates).collect()}
+    assert [got[k] for k in range(len(want))] == [{w} - {None} for w in want]
+
+
+def test_full_license_texts_are_found(llm):
+    rows = [(k, "Copyright 2020 someone. " + wording.title() + ". The end of it.") for k, (_, wording) in enumerate(license_scans.FULL_TEXTS)]
+    got = {r.doc_id: set(r.found) for r in license_scans.scan_licenses(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(license_scans.FULL_TEXTS)), got
