@@ -25,6 +25,8 @@ def left_join_spread(rows: DataFrame, keys: DataFrame, on: Sequence[str], n_rows
     limit = max(n_rows // HOT_KEYS, 1)
     hot = keys.filter(F.col("n") > limit).select(*[F.col(c).alias(f"__h_{c}") for c in keys.columns])
     cold = keys.filter(F.col("n") <= limit).select(F.lit(-1).alias("__c_deal"), *[F.col(c).alias(f"__c_{c}") for c in keys.columns])
+    # dealt anew by the whole join key: a side that is already dealt by ``on`` alone would draw all hot rows to one place
+    cold = cold.repartition("__c_deal", *[f"__c_{c}" for c in on])
     met = rows.join(F.broadcast(hot), [F.col(c) == F.col(f"__h_{c}") for c in on], "left")
     # a hot row's place is drawn from the seeded generator of its partition, the same in a repeated task
     met = met.withColumn("__deal", F.when(F.col("__h_n").isNull(), F.lit(-1)).otherwise((F.rand(11) * (1 << 20)).cast("int")))
