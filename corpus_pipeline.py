@@ -66,9 +66,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the pieces of all documents into sequences."""
+    """Packs the pieces of all documents into sequences; ``bins`` and ``bound`` are the certificate of the piece's partition."""
     ship(spark)
-    return pack(docs).drop("bins", "bound")
+    return pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
