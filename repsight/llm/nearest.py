@@ -11,21 +11,25 @@ verified distance is so small against the window that a closer vector would
 collide in the required share of directions with ``sure`` probability per
 direction, or when the windows span the block.
 
-Queries meet all vectors block by block: the vectors are dealt to blocks of
-about ``block_rows`` rows, the queries to blocks of ``query_rows``; each pair
-of blocks is one group, and each block pair's k best are merged in Spark.
-Nothing caps candidates.
+Queries meet all vectors block by block: every vector lies in one block of at
+most about ``block_rows`` rows and is shuffled and indexed once; the queries
+are sent to every block and stream past it batch by batch, so a task holds one
+block and one batch. The blocks' k best are merged in Spark. Nothing caps
+candidates.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null id, take no part; only vectors of equal
 length are compared; rows with the query's own id are never its neighbours;
-repeated rows of another id count row by row; further columns are ignored,
-whatever their names; an empty table gives an empty table.
+of query rows that share an id and a length the smallest vector asks; repeated
+rows of another id count row by row; further columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 
 BEST = "query_id bigint, vec_id bigint, score double"
 _SEED = 20_231
+#: Rows whose cosines are computed at once, and the least rows that make a further block worth while.
+SLICE, LEAST_ROWS = 4096, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -42,73 +48,108 @@ def usable(vector: Column) -> Column:
                       & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _cosine(many: np.ndarray, one: np.ndarray, norms: np.ndarray, norm: float) -> np.ndarray:
-    return (many * one).sum(axis=1) / (norms * norm)
+class Index(NamedTuple):
+    """One block of vectors: the vectors, their ids and lengths, and per direction the rows in order of projection."""
 
+    base: np.ndarray
+    ids: np.ndarray
+    norms: np.ndarray
+    lines: np.ndarray
+    order: list[np.ndarray]
+    values: np.ndarray
 
-def search(base: np.ndarray, base_id: np.ndarray, queries: np.ndarray, query_id: np.ndarray, k: int, projections: int, share: float, sure: float, widen: float) -> list[tuple[int, int, float]]:
-    """The k best verified (query, vector, cosine) of one block of vectors for each query."""
-    scale = np.abs(base).max(axis=1)
-    unit = base / scale[:, None]
-    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
-    q_unit = queries / np.abs(queries).max(axis=1)[:, None]
-    q_unit /= np.sqrt((q_unit * q_unit).sum(axis=1))[:, None]
-    norms, q_norms = np.sqrt((base * base).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(axis=1)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
+def index(base: np.ndarray, ids: np.ndarray, projections: int) -> Index:
+    """The sorted arrays of a block."""
     lines = np.random.default_rng(_SEED).standard_normal((base.shape[1], projections))
-    at, q_at = unit @ lines, q_unit @ lines
+    at = _unit(base) @ lines
     order = np.argsort(at, axis=0, kind="stable")
     values = np.take_along_axis(at, order, axis=0)
+    return Index(base, ids, _norms(base), lines, [np.ascontiguousarray(order[:, j]) for j in range(projections)], values)
+
+
+def _cosine(block: Index, rows: np.ndarray, one: np.ndarray, norm: float) -> np.ndarray:
+    # slice by slice: the products stay in the processor's cache
+    parts = [(block.base[r] * one).sum(axis=1) / (block.norms[r] * norm) for r in np.array_split(rows, max(1, len(rows) // SLICE))]
+    return np.concatenate(parts)
+
+
+def search(block: Index, queries: np.ndarray, query_id: np.ndarray, k: int, share: float, sure: float, widen: float) -> tuple[list[tuple[int, int, float]], int]:
+    """The k best verified (query, vector, cosine) of one block for each query, and how many vectors were verified in all."""
+    projections = len(block.order)
+    q_at, q_norms = _unit(queries) @ block.lines, _norms(queries)
     radii = [0.25]
     while radii[-1] < 2.0:
         radii.append(radii[-1] * widen)
     half = [r * sure for r in radii]
     least = math.ceil(share * projections)
     # per direction, the window ends of every query at every radius
-    low = np.stack([np.searchsorted(values[:, j], (q_at[:, j, None] - half).ravel(), "left").reshape(len(queries), -1) for j in range(projections)], axis=2)
-    high = np.stack([np.searchsorted(values[:, j], (q_at[:, j, None] + half).ravel(), "right").reshape(len(queries), -1) for j in range(projections)], axis=2)
+    low, high = (np.stack([np.searchsorted(block.values[:, j], (q_at[:, j, None] + sign * np.array(half)).ravel(), side).reshape(len(queries), -1) for j in range(projections)], axis=2)
+                 for sign, side in ((-1, "left"), (1, "right")))
     out: list[tuple[int, int, float]] = []
-    columns = [np.ascontiguousarray(order[:, j]) for j in range(projections)]
+    n_verified = 0
     for q in range(len(queries)):
-        verified = base_id == query_id[q]
+        verified = block.ids == query_id[q]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         for r, radius in enumerate(radii):
-            inside = np.concatenate([c[a:b] for c, a, b in zip(columns, low[q, r], high[q, r], strict=True)])
+            inside = np.concatenate([c[a:b] for c, a, b in zip(block.order, low[q, r], high[q, r], strict=True)])
             if r + 1 < len(radii) and len(inside) < least:
                 continue
-            hit = (np.bincount(inside, minlength=len(base)) >= least) & ~verified
+            hit = (np.bincount(inside, minlength=len(block.ids)) >= least) & ~verified
             if r + 1 == len(radii):
                 hit = ~verified if len(ids) < k else hit
             rows = np.flatnonzero(hit)
             if len(rows):
                 verified |= hit
-                ids, scores = np.concatenate((ids, base_id[rows])), np.concatenate((scores, _cosine(base[rows], queries[q], norms[rows], q_norms[q])))
+                n_verified += len(rows)
+                ids, scores = np.concatenate((ids, block.ids[rows])), np.concatenate((scores, _cosine(block, rows, queries[q], q_norms[q])))
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             if len(ids) == k and math.sqrt(max(0.0, 2.0 - 2.0 * scores[-1])) <= radius:
                 break
         out += [(int(query_id[q]), int(i), float(s)) for i, s in zip(ids, scores, strict=True)]
-    return out
+    return out, n_verified
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 4096,
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32768,
             projections: int = 24, share: float = 0.75, sure: float = 1.645, widen: float = 1.3) -> DataFrame:
-    """Each query's k nearest: query_id, rank, vec_id, score. ``sure``: half width of a window in radii (1.645: a vector at that distance collides with 90 %)."""
+    """Each query's k nearest: query_id, rank, vec_id, score. ``sure``: half width of a window in radii (1.645: a vector at that distance collides with 90 %).
+
+    Tables of few blocks are dealt to about as many blocks as there are cores, so that all of them work.
+    """
     v = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-         .filter(F.col("id").isNotNull()).filter(usable(F.col("v"))))
-    n = v.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    blocks, parts = max(1, math.ceil(n["n"] / block_rows)), max(1, math.ceil(n["q"] / query_rows))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    base = v.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), every(parts).alias("p"))
-    asked = v.filter("is_query").select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), every(blocks).alias("b"))
-
-    def pair(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        rows, queries = rows.sort_values("id", kind="stable"), queries.sort_values("id", kind="stable").drop_duplicates("id")
-        found = search(np.stack(rows["v"].to_list()), rows["id"].to_numpy(), np.stack(queries["v"].to_list()), queries["id"].to_numpy(), k, projections, share, sure, widen)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ("b", "p", "dim")
-    best = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, BEST)
+         .filter(F.col("id").isNotNull()).filter(usable(F.col("v"))).withColumn("dim", F.size("v")))
+    n, cores = v.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / block_rows), min(cores, math.ceil(n / LEAST_ROWS)))
+    base = v.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), "dim", F.lit(False).alias("asks"), "id", "v")
+    asked = (v.filter("is_query").groupBy("id", "dim").agg(F.min("v").alias("v"))
+             .select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "dim", F.lit(True).alias("asks"), "id", "v"))
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows, block = None, [], None
+        for batch in batches:
+            for (b, dim, asks), part in batch.groupby(["b", "dim", "asks"], sort=True):
+                if (b, dim) != at:
+                    at, rows, block = (b, dim), [], None
+                if not asks:
+                    rows.append((np.stack(part["v"].to_list()), part["id"].to_numpy()))
+                    continue
+                if block is None and rows:
+                    block, rows = index(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), projections), []
+                if block is not None:
+                    found, _ = search(block, np.stack(part["v"].to_list()), part["id"].to_numpy(), k, share, sure, widen)
+                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    laid = base.unionByName(asked).repartition(blocks, "b").sortWithinPartitions("b", "dim", "asks")
+    best = laid.mapInPandas(pass_by, BEST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repsight.llm.html_extraction import extract, extract_pages, host_paths
-from repsight.llm.nearest import nearest
+from repsight.llm.nearest import index, nearest, search
 from llm.conftest import SF
 
 
@@ -107,6 +107,39 @@ def test_vector_edges(llm):
     assert nearest(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_repeated_query_ids_and_blocks_of_any_size(llm):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [1.0, 0.1])]
+    frame = llm.createDataFrame(rows * 3, "vec_id long, embedding array<double>")
+    want = None
+    for block_rows in (1, 4, 1000):
+        got = [tuple(r) for r in nearest(frame, F.col("vec_id") == 0, block_rows=block_rows).orderBy("query_id", "rank").collect()]
+        assert want in (None, got)
+        want = got
+    assert [r[2] for r in want] == [1, 1, 1, 1, 1]  # of the rows of id 0 the smallest vector, (0, 1), asks
+
+
+def test_vectors_are_shuffled_once(llm):
+    from repsight.plans.inspect import plan_text
+    frame = llm.range(20_000).selectExpr("id as vec_id", "array(rand(1), rand(2), rand(3)) as embedding")
+    text = plan_text(nearest(frame, F.col("vec_id") % 50 == 0, block_rows=2000), "simple")
+    assert text.count("Generate explode") == 1 and "FlatMapCoGroupsInPandas" not in text  # only queries are copied
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_share_verified_on_clustered_vectors(dim):
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((60, dim))
+    v = centres[rnd.integers(0, 60, 6000)] + 0.25 * rnd.standard_normal((6000, dim))
+    ids = np.arange(6000)
+    queries = ids[::50]
+    found, verified = search(index(v, ids, 24), v[queries], queries, 5, 0.75, 1.645, 1.3)
+    cosines = (v[queries] @ v.T) / (np.linalg.norm(v[queries], axis=1)[:, None] * np.linalg.norm(v, axis=1))
+    cosines[np.arange(len(queries)), queries] = -9
+    best = {(q, i) for q, row in zip(queries, np.argsort(-cosines, axis=1)[:, :5], strict=True) for i in row}
+    assert verified <= 0.2 * len(queries) * len(v)
+    assert len(best & {(q, i) for q, i, _ in found}) >= 0.9 * len(best)
+
+
 @pytest.mark.parametrize("fragment, text", [
     ("<b>x", "x"), ("<span>hi<p>y</p></span>", "hi\ny"), ("<a>top<p>para</p>", "top\npara"), ("<font>intro text<hr>more", "intro text\nmore"),
     ("<title>T</title><b>hi<p>x", "hi\nx"), ("<a href=x>hi<div>d</div></a>", None), ("text<div><p>one</p></div>tail", None), ("</p></div>stray", "stray"), ("<", "<"), ("<div", "<div")])
