@@ -23,6 +23,7 @@ from repsight.operators import (coverage, effectiveness, kpi, performance, portf
                                 whitespace)
 from repsight.params import Params
 from repsight.sources.schema import Star
+from repsight.sources.single_file import can_join, write_result_file
 from repsight.sources.sinks import write_result
 
 
@@ -49,7 +50,8 @@ def _sink_order(p: Params) -> dict[str, list[Column]]:
 
 
 # Results bounded by a dimension (territories, products, channels, states, one KPI row) are
-# written as one file, like the original; rep- and HCP-level results keep one file per task.
+# written as one file by one task; as CSV the larger ordered results become one file too, from
+# part files joined in order (``sources.single_file``) where the file system can do that.
 SINGLE_FILE = ("m1_sales_performance", "m2_whitespace_analysis", "m6_promotional_response", "kpi_summary",
                "state_map_data", "revenue_by_region", "top_territories", "whitespace_kpis", "dataset_summary",
                "quadrant_counts", "whitespace_total_gap", "sfe_averages", "coverage_status_counts",
@@ -125,12 +127,16 @@ def run_analysis(star: Star, p: Params, out_dir: str, fmt: str = "csv",
             df = builders[name]()
             df = reports.filter_scope(df, region if "region" in df.columns else None,
                                       territory_id if "territory_id" in df.columns else None)
+            path = os.path.join(out_dir, name)
+            written.append(name)
+            if fmt == "csv" and name in order and name not in SINGLE_FILE and can_join(df.sparkSession, path):
+                write_result_file(df, path, order[name])
+                continue
             if name in order:
                 df = df.orderBy(*order[name])
             if name in SINGLE_FILE:
                 df = df.coalesce(1)        # keeps the sorted order: partitions are concatenated in order
-            write_result(df, os.path.join(out_dir, name), fmt)
-            written.append(name)
+            write_result(df, path, fmt)
         if only is None or "dataset_summary" in only:
             write_result(builders["dataset_summary"]().coalesce(1), os.path.join(out_dir, "dataset_summary_json"),
                          "json")

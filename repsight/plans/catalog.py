@@ -10,7 +10,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 
-from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion,
+from repsight.operators import (coverage, effectiveness, kpi, performance, portfolio, prep, promotion, reach,
                                 reports, whitespace)
 from repsight.params import Params
 from repsight.sources.fixtures import SCOPE_REGION, SCOPE_TERRITORY
@@ -114,6 +114,9 @@ QUERIES |= {
     "hcp_ranking": lambda s, p: coverage.hcp_ranking(s.physicians, s.call_logs),
     "rep_medians": lambda s, p: effectiveness.rep_medians(s.sales),
     "hcp_medians": lambda s, p: coverage.hcp_medians(s.physicians, s.call_logs),
+    # distinct counts merged from a finer rollup's sketches
+    "region_year_reach": lambda s, p: reach.region_year_reach(s.call_logs, s.territories),
+    "region_product_reach": lambda s, p: reach.region_product_reach(s.sales, s.territories),
 }
 INVENTORY_NUMBER |= {"filter_scope_territory": 35, "coverage_mandate_tier": 37, "channel_summary_weighted": 25, "promotional_response_weighted": 27,
-                     "rep_ranking": 27, "hcp_ranking": 27, "rep_medians": 7, "hcp_medians": 7}
+                     "rep_ranking": 27, "hcp_ranking": 27, "rep_medians": 7, "hcp_medians": 7, "region_year_reach": 2, "region_product_reach": 21}

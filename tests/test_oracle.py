@@ -14,7 +14,7 @@ ORACLE = {n: s for n, s in entry.oracle_sql().items() if n in INVENTORY_NUMBER}
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) == 55
+    assert len(QUERIES) == 57
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -60,6 +60,13 @@ def test_approximate_distinct_counts_are_opt_in(spark, fp, star001):
     assert all(abs(a[k] - e[k]) <= max(2, 0.1 * e[k]) for k in e)
 
 
+def test_dataset_summary_counts_without_reading_columns(spark, fp, star001):
+    """The row counts of the four dimensions and the calls come from the files' footers: their scans read no column."""
+    from repsight.operators import prep
+    scans = [ln for ln in plan_text(prep.dataset_summary(star001)).splitlines() if ln.startswith("ReadSchema")]
+    assert scans.count("ReadSchema: struct<>") >= 5, scans
+
+
 def test_calls_prune_columns(star001):
     assert "ReadSchema: struct<channel:string>" in plan_text(star001.call_logs.groupBy("channel").count())
 
