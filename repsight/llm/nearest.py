@@ -149,7 +149,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                     found, _ = search(block, np.stack(part["v"].to_list()), part["id"].to_numpy(), k, share, sure, widen)
                     yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    laid = base.unionByName(asked).repartition(blocks, "b").sortWithinPartitions("b", "dim", "asks")
+    # by range of the block's number: hashing would give some tasks several blocks and others none
+    laid = base.unionByName(asked).repartitionByRange(blocks, "b").sortWithinPartitions("b", "dim", "asks")
     best = laid.mapInPandas(pass_by, BEST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
