@@ -45,20 +45,28 @@ with docs as (select row_number() over () as r, doc_id, text from documents),
 lines as (
   select r, doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
   from docs where text is not null),
-hashed as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h, regexp_matches(line, '[^\\x20\\x09-\\x0D]')::int as word from lines),
+hashed as (
+  select *, (coalesce(doc_id, -9223372036854775808), text, i) as place, ('0x' || substr(md5(line), 1, 8))::bigint as h,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words
+  from lines),
 followed as (
-  select *, lead(line) over w as next_line, (h * 31 + lead(h) over w) % 4294967296 % 2 = 0 as opens, lead(word) over w as next_word
+  select *, lead(line) over w as next_line, (h * 31 + lead(h) over w) % 4294967296 % 2 = 0 as opens, lead(words) over w as next_words
   from hashed window w as (partition by r order by i)),
 pairs as (select *, line || chr(10) || next_line as body from followed where next_line is not null),
-firsts as (select body, min((coalesce(doc_id, -9223372036854775808), text, i)) as kept from pairs group by body),
+firsts as (select body, min(place) as kept from pairs group by body),
 again as (
   select p.*, p.i - row_number() over (partition by p.r order by p.i) as run
-  from pairs p join firsts f on p.body = f.body where (coalesce(p.doc_id, -9223372036854775808), p.text, p.i) <> f.kept),
+  from pairs p join firsts f on p.body = f.body where p.place <> f.kept),
+runs as (
+  select r, min(i) as first, max(i) + 1 as last from again group by r, run
+  having sum(least(words, 1)) + least(arg_max(next_words, i), 1) >= 2 and (bool_or(opens) or sum(words) + arg_max(next_words, i) > 50)),
+long_lines as (select r, i, place, min(place) over (partition by line) as kept from hashed where words > 50),
 gone as (
-  select r, min(i) as first, max(i) + 1 as last from again group by r, run having bool_or(opens) and sum(word) + arg_max(next_word, i) >= 2),
+  select h.r, h.i from hashed h join runs g on h.r = g.r and h.i between g.first and g.last
+  union select r, i from long_lines where place <> kept),
 rest as (
   select n.r, string_agg(n.line, chr(10) order by n.i) filter (where g.r is null) as text, count(*) as n_lines, count(g.r) as n_removed_lines
-  from hashed n left join gone g on n.r = g.r and n.i between g.first and g.last group by n.r)
+  from hashed n left join gone g on n.r = g.r and n.i = g.i group by n.r)
 select d.doc_id, coalesce(s.n_lines, 0)::bigint as n_lines, coalesce(s.n_removed_lines, 0)::bigint as n_removed_lines,
   case when d.text is null then null else coalesce(s.text, '') end as text
 from docs d left join rest s using (r)

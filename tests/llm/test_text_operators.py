@@ -257,6 +257,35 @@ def test_line_dedup_takes_short_shared_passages(llm):
     assert all(removed[n] >= 0.9 for n in (6, 8, 12, 20, 40)) and removed[2] > 0.3 and removed[3] > 0.55 and removed[4] > 0.7, removed
 
 
+def test_line_dedup_takes_every_passage_of_over_50_words(llm):
+    import random
+    rnd = random.Random(9)
+    line = lambda words: " ".join(rnd.choice("abcdefgh") * rnd.randrange(2, 6) for _ in range(words))
+    rows, want, stay = [], {}, set()
+    for n, words in ((1, 51), (1, 400), (2, 26), (3, 17), (5, 11), (1, 50), (2, 25)):
+        for _ in range(40):
+            shared = [line(words) for _ in range(n)]
+            if n * words <= 50 and n == 1:
+                stay.add(shared[0])  # a lone line of 50 words is no passage
+            for side in range(2):
+                own, tail = [line(9) for _ in range(rnd.randrange(3))], [line(9)]
+                want[len(rows)] = (shared, own, tail, side == 1 and n * words > 50)
+                rows.append((len(rows), "\n".join(own + shared + tail)))
+    rows.append((len(rows), rows[0][1].split("\n")[-2]))  # the first passage alone, as the whole text
+    got = {r.doc_id: r for r in dedup_lines(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[len(rows) - 1].text, got[len(rows) - 1].n_removed_lines) == ("", 1)
+    for k, (shared, own, tail, goes) in want.items():
+        if goes:
+            assert got[k].text.split("\n") == own + tail and got[k].n_removed_lines == len(shared)
+        elif k % 2 == 0 or shared[0] in stay:
+            assert got[k].text == rows[k][1]
+    # equal long lines in one text: the first stays; a repeated line inside a repeated run is counted once
+    long = line(60)
+    texts = [f"{long}\nx\n{long}\n{long}", f"y\n{long}\nx\n{long}"]
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in dedup_lines(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (f"{long}\nx", 2), 1: ("y", 3)}
+
+
 def test_line_dedup_keeps_lone_common_lines_and_blanks(llm):
     texts = [f"title {k}\n\n\nCommon line\n\n\nbody {k}\n" for k in range(30)] + ["\n\n\n\n"] * 2
     got = dedup_lines(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
