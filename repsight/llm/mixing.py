@@ -12,7 +12,8 @@ the target, so at most one document of a source is taken in part.
 
 Running sums are two-level: within (source, bucket of the order hash) in
 parallel, and over the buckets' totals, so a source with a third of all rows
-is spread over ``buckets`` groups.
+is spread over ``buckets`` groups, also where its rows share a doc_id or have
+none: the order hash is of doc_id and text.
 
 Edge cases: a null text has size 0; null sources form one source, last in
 order; a document without words is taken 0 words and has no position; null
@@ -59,10 +60,11 @@ def time_of(share: Column, knots: Knots) -> Column:
     return out
 
 
-def order_hash(doc_id: Column) -> Column:
-    """A fixed pseudo-random place in 0..2^32-1 from the doc_id alone."""
+def order_hash(doc_id: Column, text: Column) -> Column:
+    """A fixed pseudo-random place in 0..2^32-1 from doc_id and text, so that rows without id or sharing one spread."""
     low = F.pmod(F.coalesce(doc_id.cast("long"), F.lit(0)), F.lit(1 << 31))
-    return F.pmod(low * F.lit(2654435761), F.lit(1 << 32))
+    of_text = F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 8), 16, 10).cast("long")
+    return F.pmod(low * F.lit(2654435761) + of_text, F.lit(1 << 32))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[Knots, ...] = SCHEDULES, max_repeats: int = 3) -> DataFrame:
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[Kn
     ``positions`` holds the training time of each of the document's
     occurrences, in order; ``key`` is carried along as column ``row_key``.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("h"), (F.lit(0).cast("long") if key is None else key).alias("row_key"))
+    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("h"), (F.lit(0).cast("long") if key is None else key).alias("row_key"))
     shift = F.floor(F.col("h") / F.lit((1 << 32) // buckets))
     sized = sized.withColumn("bucket", shift.cast("int"))
     goal = targets(sized, weights, schedules, max_repeats)

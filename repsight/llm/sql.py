@@ -6,7 +6,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIXING = f"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
-         ((((coalesce(doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296 as h
+         ((((coalesce(doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 2654435761
+           + ('0x' || substr(md5(coalesce(text, '')), 1, 8))::bigint) % 4294967296 as h
   from documents),
 per as (
   select source, sum(size)::bigint as source_size,

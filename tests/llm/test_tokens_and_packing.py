@@ -192,6 +192,15 @@ def test_mix_targets_and_order(documents, edge, nothing):
     assert mixing.mix(nothing).collect() == []
 
 
+def test_mix_spreads_rows_that_share_an_id(llm):
+    rows = [(None if k % 2 else 7, f"text number {k} of many", "one") for k in range(4000)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = docs.select(F.floor(mixing.order_hash(F.col("doc_id"), F.col("text")) / F.lit((1 << 32) // 1024)).alias("b")).groupBy("b").count().collect()
+    assert len(hashes) > 900 and max(r["count"] for r in hashes) < 20
+    got = mixing.mix(docs).collect()
+    assert len(got) == 4000 and sum(r.taken for r in got) == sum(r.size for r in got) == got[0].target
+
+
 def test_training_order_follows_the_schedules(documents):
     mixed = mixing.mix(documents)
     order = [r.position for r in mixing.training_order(mixed).collect()]
