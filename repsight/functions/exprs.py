@@ -131,6 +131,32 @@ def distinct_count(x, approx_rsd: float | None = None) -> Column:
     return F.countDistinct(_c(x)) if approx_rsd is None else F.approx_count_distinct(_c(x), rsd=approx_rsd)
 
 
+def distinct_months(month, words: int, approx_rsd: float | None = None) -> Column:
+    """Number of distinct calendar months among dates, as an aggregate without copies of rows.
+
+    A second ``COUNT(DISTINCT ..)`` in one aggregation makes Spark copy each
+    row once per count. Months have dense codes, so they are kept as bits of
+    ``words`` longs per group, merged by ``bit_or`` in the same partial
+    aggregation as the sums. The place of a month is its code modulo
+    ``64 * words``, which is one-to-one within a group that spans fewer months
+    than that; a longer span is an error that names the setting, never a wrong
+    count. ``words`` 0 counts with ``COUNT(DISTINCT ..)`` instead, over any
+    span. Null months aren't counted.
+    """
+    if words == 0 or approx_rsd is not None:
+        return distinct_count(F.trunc(_c(month), "month"), approx_rsd)
+    bits = 64 * words
+    code = F.year(_c(month)) * 12 + F.month(_c(month))
+    place = F.pmod(code, F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    count = F.lit(0)
+    for k in range(words):
+        inside = (place >= 64 * k) & (place < 64 * (k + 1))
+        count = count + F.bit_count(F.bit_or(F.when(inside, bit).otherwise(F.lit(0).cast("bigint"))))
+    problem = F.raise_error(F.lit(f"months of one group span {bits} months or more: raise Params.month_words ({words}), or 0 for COUNT(DISTINCT)"))
+    return F.when(F.max(code) - F.min(code) >= bits, problem.cast("bigint")).otherwise(count.cast("bigint"))
+
+
 def lookup(key, pairs: Iterable[tuple], default=None) -> Column:
     """Simple ``CASE key WHEN k1 THEN v1 ... [ELSE default] END`` from parameter pairs."""
     k = _c(key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import as_int, coverage_status, distinct_count, lookup, round_half_away, safe_div
+from repsight.functions.exprs import as_int, coverage_status, distinct_count, distinct_months, lookup, round_half_away, safe_div
 from repsight.functions.ranking import exact_medians, rank_distributed
 from repsight.grains import CallGrains
 from repsight.params import Params
@@ -27,7 +27,7 @@ def hcp_call_stats(call_logs: DataFrame | CallGrains, p: Params) -> DataFrame:
     else:
         grouped = call_logs.groupBy("hcp_id").agg(F.count(F.lit(1)).alias("total_calls_received"),
                                                   distinct_count("rep_id", p.approx_distinct_rsd).alias("unique_reps"),
-                                                  distinct_count("month", p.approx_distinct_rsd).alias("months_contacted"),
+                                                  distinct_months("month", p.month_words, p.approx_distinct_rsd).alias("months_contacted"),
                                                   F.sum(as_int("converted")).alias("_conv"))
     return (grouped.select("hcp_id", "total_calls_received", "unique_reps", "months_contacted",
                     safe_div("_conv", "total_calls_received").alias("conversion_rate"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.functions.exprs import (as_int, distinct_count, exact_mean, money_sum, once, round_half_away, safe_div,
+from repsight.functions.exprs import (as_int, distinct_count, distinct_months, exact_mean, money_sum, once, round_half_away, safe_div,
                                       to_money)
 from repsight.functions.ranking import exact_medians, ntile_distributed, rank_distributed, scalar
 from repsight.grains import CallGrains, SalesGrains
@@ -19,23 +19,25 @@ from repsight.params import Params
 from repsight.plans.session import ensure_checkpoint_dir
 
 
-def _rep_sales_cents(sales: DataFrame | SalesGrains, rsd: float | None = None) -> DataFrame:
+def _rep_sales_cents(sales: DataFrame | SalesGrains, p: Params | None = None) -> DataFrame:
     if isinstance(sales, SalesGrains):
         return sales.rep()
+    p = p or Params()
     return (sales.groupBy("rep_id")
             .agg(money_sum("revenue_usd").alias("total_revenue"),
                  F.sum("units_sold").cast("bigint").alias("total_units"),
-                 distinct_count("product_id", rsd).alias("products_sold"),
-                 distinct_count("month", rsd).alias("active_months")))
+                 distinct_count("product_id", p.approx_distinct_rsd).alias("products_sold"),
+                 distinct_months("month", p.month_words, p.approx_distinct_rsd).alias("active_months")))
 
 
 def rep_sales_totals(sales: DataFrame, p: Params | None = None) -> DataFrame:
     """#11 revenue, units, distinct products and distinct active months per rep."""
-    rsd = p.approx_distinct_rsd if p else None
-    return _rep_sales_cents(sales, rsd).withColumn("total_revenue", to_money("total_revenue"))
+    return _rep_sales_cents(sales, p).withColumn("total_revenue", to_money("total_revenue"))
 
 
 def _call_aggregates(rsd: float | None) -> list[F.Column]:
+    # two COUNT(DISTINCT ..)s: with the months as bits (``distinct_months``) every (rep, HCP) row would
+    # carry all sums through the shuffle, measured at twice the bytes for a tenth less CPU
     return [F.count(F.lit(1)).alias("total_calls"), F.sum(as_int("converted")).cast("bigint").alias("total_conversions"),
             distinct_count("hcp_id", rsd).alias("unique_hcps_visited"), distinct_count("month", rsd).alias("months_active"),
             F.sum("call_duration_min").alias("_dur")]
@@ -79,7 +81,7 @@ def _rep_calls(call_logs: DataFrame | CallGrains, physicians: DataFrame, rsd: fl
 def _rep_frame(reps: DataFrame, sales: DataFrame, call_logs: DataFrame, physicians: DataFrame, p: Params) -> DataFrame:
     """One row per rep with both sales and calls; ``_rpc`` is the unrounded revenue per call."""
     base = (reps.select("rep_id", "rep_name", "territory_id", "region", "experience_years", "education")
-            .join(_rep_sales_cents(sales, p.approx_distinct_rsd), "rep_id")
+            .join(_rep_sales_cents(sales, p), "rep_id")
             .join(_rep_calls(call_logs, physicians, p.approx_distinct_rsd), "rep_id")
             .withColumn("total_revenue", to_money("total_revenue"))
             .withColumn("_rpc", safe_div("total_revenue", "total_calls")))

@@ -89,6 +89,9 @@ class Params:
     # COUNT(DISTINCT ..): exact when None; else HyperLogLog++ with this relative standard
     # deviation (no Expand, no extra shuffle of the distinct values)
     approx_distinct_rsd: float | None = None
+    # distinct months per rep or HCP as bits of so many longs (64 months each, the span of one
+    # group's dates); 0: COUNT(DISTINCT ..), any span
+    month_words: int = 2
 
     def __post_init__(self) -> None:
         problems = []
@@ -96,6 +99,8 @@ class Params:
             problems.append("prior_year must be before current_year")
         if self.period_months < 1 or self.months_per_year < 1:
             problems.append("period_months and months_per_year must be positive")
+        if self.month_words < 0:
+            problems.append("month_words must be >= 0")
         if min(self.revenue_tiles, self.rep_tiles, self.top_n) < 1:
             problems.append("tile counts and top_n must be positive")
         if not self.tier_a_critical <= self.tier_a_under:

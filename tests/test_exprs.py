@@ -78,3 +78,32 @@ def test_rules_are_data_and_their_order_counts(spark):
     assert where(p.with_(deployment_rules=(("Low", (("potential", "<", 0.5),)), *p.deployment_table))) == ["Underperforming", "Low", "Low", "Normal"]
     with pytest.raises(ValueError, match="unknown bounds"):
         first_match([("x", (("nothing", "<", 1),))], {})
+
+
+def test_distinct_months_equal_a_distinct_count(spark):
+    import datetime
+    import random
+
+    from repsight.functions.exprs import distinct_months
+    rnd = random.Random(5)
+    rows = [(g, None if rnd.random() < 0.1 else datetime.date(rnd.randrange(2005, 2025), rnd.randrange(1, 13), 1)) for g in range(30) for _ in range(rnd.randrange(1, 300))]
+    rows += [(99, None), (98, datetime.date(1969, 12, 1)), (98, datetime.date(1970, 1, 1)), (97, datetime.date(2003, 1, 31)), (97, datetime.date(2024, 4, 1))]
+    df = spark.createDataFrame(rows, "g int, d date")
+    want = {g: len({(d.year, d.month) for k, d in rows if k == g and d}) for g in {g for g, _ in rows}}
+    for words in (4, 5, 0):
+        assert {r.g: r.n for r in df.groupBy("g").agg(distinct_months("d", words).alias("n")).collect()} == want
+    assert df.limit(0).agg(distinct_months("d", 1).alias("n")).first().n in (None, 0)
+
+
+def test_distinct_months_refuse_a_longer_span(spark):
+    import datetime
+
+    import pytest
+
+    from repsight.functions.exprs import distinct_months
+    df = spark.createDataFrame([(datetime.date(2000, 1, 1),), (datetime.date(2005, 4, 1),)], "d date")
+    assert df.agg(distinct_months("d", 1).alias("n")).first().n == 2          # 63 months apart
+    wide = df.union(spark.createDataFrame([(datetime.date(2005, 5, 1),)], "d date"))
+    with pytest.raises(Exception, match="month_words"):
+        wide.agg(distinct_months("d", 1).alias("n")).collect()
+    assert wide.agg(distinct_months("d", 2).alias("n")).first().n == 3

@@ -60,6 +60,17 @@ def test_approximate_distinct_counts_are_opt_in(spark, fp, star001):
     assert all(abs(a[k] - e[k]) <= max(2, 0.1 * e[k]) for k in e)
 
 
+def test_distinct_months_copy_no_rows(spark, fp, star001):
+    """#11 and #16 count distinct months beside a distinct entity without an Expand, and as COUNT(DISTINCT) does."""
+    from repsight.operators import coverage
+    s = star001
+    queries = [lambda p: effectiveness.rep_sales_totals(s.sales, p), lambda p: coverage.hcp_call_stats(s.call_logs, p)]
+    for q in queries:
+        bits, copies = q(fp), q(fp.with_(month_words=0))
+        assert "Expand" not in plan_text(bits) and "Expand" in plan_text(copies)
+        assert sorted(map(tuple, bits.collect()), key=str) == sorted(map(tuple, copies.collect()), key=str)
+
+
 def test_dataset_summary_counts_without_reading_columns(spark, fp, star001):
     """The row counts of the four dimensions and the calls come from the files' footers: their scans read no column."""
     from repsight.operators import prep
