@@ -100,8 +100,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[Kn
     sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("h"), (F.lit(0).cast("long") if key is None else key).alias("row_key"))
     shift = F.floor(F.col("h") / F.lit((1 << 32) // buckets))
     sized = sized.withColumn("bucket", shift.cast("int"))
-    goal = targets(sized, weights, schedules, max_repeats)
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    # from the buckets' totals, which Spark reuses, so that the texts aren't counted once more
+    goal = targets(totals.select("source", F.col("n").alias("size")), weights, schedules, max_repeats)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     offsets = offsets.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select(F.col("o.source").alias("o_source"), F.col("o.bucket").alias("o_bucket"), "first", "source_size", "rank", "target")

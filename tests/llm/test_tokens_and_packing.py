@@ -1,6 +1,7 @@
 """Tokenizing, ORC output, packing, mixing."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from repsight.llm import mixing, packing, tokens
-from repsight.llm.common import scratch
+from repsight.llm.common import WORD, n_words, scratch
 from repsight.llm.token_output import read_tokens, token_binary, write_tokens
 
 
@@ -201,6 +202,23 @@ def test_mix_spreads_rows_that_share_an_id(llm):
     assert len(got) == 4000 and sum(r.taken for r in got) == sum(r.size for r in got) == got[0].target
 
 
+def test_words_are_counted_without_an_array_of_them(llm):
+    rnd = random.Random(5)
+    odd = [None, "", " \t\n\x0b\f\r", "a", "\f a\n", "\x0b$1 \\", *("".join(rnd.choice(" \t\n\x0b\f\r\x00\x08\x0e\x1c\x1f\x85\xa0 aé𝒳$\\x") for _ in range(rnd.randrange(40))) for _ in range(500))]
+    counted = llm.createDataFrame([(t,) for t in odd], "text string").select("text", n_words(F.col("text")).alias("n"))
+    assert all(r.n == len(re.findall(WORD, r.text or "")) for r in counted.collect())
+    docs = llm.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    for frame in (counted, mixing.mix(docs)):
+        assert "regexp_extract_all" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mix_reads_the_texts_twice_only(documents):
+    mixed = mixing.mix(documents)
+    assert len(mixed.collect()) == documents.count()
+    plan = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2 and "ReusedExchange" in plan
+
+
 def test_training_order_follows_the_schedules(documents):
     mixed = mixing.mix(documents)
     order = [r.position for r in mixing.training_order(mixed).collect()]
